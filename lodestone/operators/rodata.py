@@ -18,9 +18,10 @@ def gram_rows(df: DataFrame, keys: list[str], data: str, n: int = 16) -> DataFra
     Data shorter than ``n`` is one gram; null and empty data has none. Grams are cut in generated code, one hex text a row.
     """
     # a text becomes as many rows as it has bytes: spread the texts first
-    raw = df.select(*keys, F.hex(F.col(data).cast("binary")).alias("__h")).filter("__h <> ''").repartition(*keys)
-    at = raw.select(*keys, "__h", F.explode(F.sequence(F.lit(0), F.greatest(F.length("__h") / 2 - n, F.lit(0)).cast("int"))).alias("__i"))
-    return at.select(*keys, F.substring(F.col("__h"), F.col("__i") * 2 + 1, F.lit(2 * n)).alias("gram")).filter(F.replace("gram", F.lit("0"), F.lit("")) != "")
+    raw = df.select(*keys, F.col(data).cast("binary").alias("__b")).filter(F.octet_length("__b") > 0).repartition(*keys)
+    # slices of binary cost the same wherever they lie, unlike those of text
+    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length("__b") - (n - 1), F.lit(1))), lambda i: F.substring("__b", i, F.lit(n)))
+    return raw.select(*keys, F.explode(cuts).alias("__g")).select(*keys, F.hex("__g").alias("gram")).filter(F.ltrim("gram", F.lit("0")) != "")
 
 
 def string_weight(value: Column) -> Column:
