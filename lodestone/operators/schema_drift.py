@@ -12,25 +12,27 @@ import re
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.flooding import Leaf, SchemaGraph, correspondences, flood, trigrams
+from lodestone.plans.session import cut
 
 LEAF = "array<struct<path:array<string>,kind:string>>"
 NUMBERS = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE", "DECIMAL")
 
 
-def whole_object(payload: str) -> Column:
-    """The payload as a variant if it is exactly one JSON object, else null.
+def with_object(lines: DataFrame, payload: str) -> DataFrame:
+    """``lines`` and ``__object``: the payload as a variant if it is exactly one JSON object, else null.
 
     Inside brackets, cut-off text and anything after the object are errors of the array. An object
-    that names a key twice has no single reading and counts as not whole.
+    that names a key twice has no single reading and counts as not whole. Each text is parsed once.
     """
-    held = F.try_parse_json(F.concat(F.lit("["), F.col(payload), F.lit("]")))
-    one = F.try_variant_get(held, "$[0]", "variant")
-    single = F.try_variant_get(held, "$[1]", "variant").isNull() & F.schema_of_variant(one).startswith("OBJECT")
-    return F.when(single, one)
+    held = lines.withColumn("__held", F.try_parse_json(F.concat(F.lit("["), F.col(payload), F.lit("]"))))
+    one = held.withColumn("__one", F.try_variant_get("__held", "$[0]", "variant"))
+    single = F.try_variant_get("__held", "$[1]", "variant").isNull()
+    shaped = one.withColumn("__shape", F.when(single, F.schema_of_variant("__one")))
+    return shaped.withColumn("__object", F.when(F.col("__shape").startswith("OBJECT"), F.col("__one"))).drop("__held", "__one")
 
 
 def read_shape(shape: str) -> list[Leaf]:
@@ -83,7 +85,10 @@ def file_schemas(lines: DataFrame) -> DataFrame:
 
     Repeated lines and files delivered twice change nothing, as schemas are sets.
     """
-    shapes = lines.select("campaign_id", "file_seq", "file_id", F.schema_of_variant(whole_object("payload")).alias("shape")).distinct()
+    parsed = with_object(lines.select("campaign_id", "file_seq", "file_id", "payload"), "payload")
+    shape = F.when(F.col("__shape").startswith("OBJECT"), F.col("__shape")).alias("shape")
+    # lines are parsed once: their distinct schemas, a few a file, are needed twice
+    shapes = cut(parsed.select("campaign_id", "file_seq", "file_id", shape).distinct())
     known = shapes.select("shape").filter("shape is not null").distinct().mapInPandas(_leaves, f"shape string, leaves {LEAF}")
     return (
         shapes.join(known, "shape", "left")
@@ -244,6 +249,6 @@ def unified(lines: DataFrame, files: DataFrame, markers: Mapping[str, tuple[str,
     routes = files.filter("size(leaves) > 0").select("file_id", "leaves").repartition("file_id").mapInPandas(run, schema)
     for f in markers:
         routes = routes.withColumnRenamed(f, f"__{f}")
-    body = lines.select("file_id", "line_no", "payload").filter(whole_object("payload").isNotNull()).distinct()
+    body = with_object(lines.select("file_id", "line_no", "payload"), "payload").filter(F.col("__object").isNotNull()).select("file_id", "line_no", "payload").distinct()
     raw = {f: F.expr(f"get(filter(transform(`__{f}`, p -> get_json_object(payload, p)), x -> x is not null), 0)") for f in markers}
     return body.join(routes, "file_id").select("file_id", "line_no", *(casts[f](raw[f]).alias(f) for f in markers))

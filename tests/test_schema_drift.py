@@ -1,7 +1,7 @@
 import json
 
 from lodestone.functions.flooding import SchemaGraph, correspondences, flood
-from lodestone.operators.schema_drift import all_changes, field_changes, file_schemas, read_shape, unified, whole_object
+from lodestone.operators.schema_drift import all_changes, field_changes, file_schemas, read_shape, unified, with_object
 from lodestone.queries.problems import CASTS, MARKERS
 
 SCHEMA = "file_id bigint, campaign_id bigint, file_seq int, line_no int, payload string, leaves string, shape int"
@@ -23,7 +23,7 @@ FILES = [
 
 def test_whole_objects(spark):
     df = lines(spark, FILES)
-    assert df.filter(whole_object("payload").isNotNull()).count() == 6
+    assert with_object(df, "payload").filter("__object is not null").count() == 6
 
 
 def test_field_changes_against_the_definition(spark):
