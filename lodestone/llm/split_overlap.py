@@ -62,6 +62,8 @@ def class_overlaps(sets: DataFrame, threshold: float) -> DataFrame:
     need = F.ceil((F.col("en") + F.col("tn")) * threshold / (1 + threshold) - 1e-9)
     reach = F.least("epos", "tpos") + 1 + F.least(F.col("en") - F.col("epos"), F.col("tn") - F.col("tpos")) - 1
     hits = evals.join(train, ["elem", "tn"]).filter(reach >= need).select("e1", "e2", "t1", "t2").distinct()
+    # candidates are written, so neither they nor the prefixes are planned or made again for the comparison
+    hits = written(hits, "overlap-hits")
     bag = classes.select("c1", "c2", "elems")
     of = lambda a, b, name: bag.select(F.col("c1").alias(a), F.col("c2").alias(b), F.col("elems").alias(name))
     both = hits.join(of("e1", "e2", "es"), ["e1", "e2"]).join(of("t1", "t2", "ts"), ["t1", "t2"])
