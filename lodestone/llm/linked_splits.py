@@ -168,9 +168,10 @@ def assign(batch: DataFrame, id_col: str, key_cols: Sequence[str], stratum: str,
         return Components(found.select("key", "root"), splits, written(members, "split-members"))
 
     # old components that the batch links: the root each now belongs to, and the splits that meet there
-    old = roots.join(state.splits.withColumnRenamed("root", "node"), "node").select("root", "node", "split_name")
+    span = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    old = span.join(state.splits.withColumnRenamed("root", "node"), "node").select("root", "node", "split_name")
     met = cut(old.groupBy("root").agg(F.min("split_name").alias("low"), F.max("split_name").alias("high"), F.count_if(F.col("split_name").isNull()).alias("none")))
-    same = state.splits.join(met.select("root"), "root", "left_anti").select("root", "split_name")
+    same = state.splits.join(span.select(F.col("node").alias("root")), "root", "left_anti").select("root", "split_name")
     clash = met.filter("low <> high or none > 0").select("root")
     known = same.unionByName(met.filter("low = high and none = 0").select("root", F.col("low").alias("split_name")))
     fresh = tied.join(known, "root", "left_anti").join(clash, "root", "left_anti")
