@@ -9,16 +9,31 @@ import numpy as np
 Leaf = tuple[tuple[str, ...], str]
 
 
+#: Trigrams and likeness of the names met so far; few names make up all schemas. Emptied when it grows.
+_grams: dict[str, frozenset[str]] = {}
+_alike: dict[tuple[str, str], float] = {}
+
+
 def trigrams(name: str) -> frozenset[str]:
     """Letter trigrams of a name in lower case, separators left out, padded at both ends."""
-    s = "".join(c for c in name.lower() if c.isalnum())
-    return frozenset((f"##{s}##")[i : i + 3] for i in range(len(s) + 2)) if s else frozenset()
+    got = _grams.get(name)
+    if got is None:
+        if len(_grams) > 100_000:
+            _grams.clear()
+        s = "".join(c for c in name.lower() if c.isalnum())
+        got = _grams[name] = frozenset((f"##{s}##")[i : i + 3] for i in range(len(s) + 2)) if s else frozenset()
+    return got
 
 
 def name_similarity(a: str, b: str) -> float:
     """Dice coefficient of the two names' trigrams."""
-    x, y = trigrams(a), trigrams(b)
-    return 2 * len(x & y) / (len(x) + len(y)) if x and y else float(a == b)
+    got = _alike.get((a, b))
+    if got is None:
+        if len(_alike) > 500_000:
+            _alike.clear()
+        x, y = trigrams(a), trigrams(b)
+        got = _alike[a, b] = 2 * len(x & y) / (len(x) + len(y)) if x and y else float(a == b)
+    return got
 
 
 class SchemaGraph:
@@ -52,22 +67,24 @@ def flood(a: SchemaGraph, b: SchemaGraph, seed: Mapping[tuple, float] = {}, roun
     has = lambda rows, cols, test: np.array([[float(test(r, c)) for c in cols] for r in rows])
     name_a, name_b = has(names_a, words_a, str.__eq__), has(names_b, words_b, str.__eq__)
     kind_a, kind_b = has(a.kinds, kinds_a, lambda k, c: c in k), has(b.kinds, kinds_b, lambda k, c: c in k)
-    first = [has(a.paths, b.paths, lambda p, q: 0), has(words_a, words_b, name_similarity), has(kinds_a, kinds_b, str.__eq__)]
+    first = [np.zeros((len(a.paths), len(b.paths))), has(words_a, words_b, name_similarity), has(kinds_a, kinds_b, str.__eq__)]
     first[0] = name_a @ first[1] @ name_b.T
-    for i, p in enumerate(a.paths):
-        for j, q in enumerate(b.paths):
-            first[0][i, j] = seed.get((p, q), first[0][i, j])
+    at_a, at_b = ({p: i for i, p in enumerate(g.paths)} for g in (a, b))
+    for (p, q), score in seed.items():
+        if p in at_a and q in at_b:
+            first[0][at_a[p], at_b[q]] = score
     share = lambda m: m / np.maximum(m.sum(1, keepdims=True), 1)
     down = share(a.child), share(b.child)
-    links = [(name_a, name_b), (kind_a, kind_b)]
+    # what hands scores on, by relation: to the shared node, and back
+    links = [(share(x).T, share(y), share(x.T).T, share(y.T)) for x, y in ((name_a, name_b), (kind_a, kind_b))]
     now = [x.copy() for x in first]
     for _ in range(rounds):
         base = [f + s for f, s in zip(first, now)]
         grown = [x.copy() for x in base]
         grown[0] += down[0].T @ base[0] @ down[1] + a.child @ base[0] @ b.child.T
-        for k, (x, y) in enumerate(links, 1):
-            grown[k] += share(x).T @ base[0] @ share(y)
-            grown[0] += share(x.T).T @ base[k] @ share(y.T)
+        for k, (up_a, up_b, back_a, back_b) in enumerate(links, 1):
+            grown[k] += up_a @ base[0] @ up_b
+            grown[0] += back_a @ base[k] @ back_b
         top = max(x.max(initial=0) for x in grown) or 1.0
         grown = [x / top for x in grown]
         moved = max(np.abs(x - y).max(initial=0) for x, y in zip(grown, now))

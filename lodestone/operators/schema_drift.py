@@ -107,7 +107,17 @@ def target_matcher(markers: Mapping[str, tuple[str, str]]):
     """
     target = SchemaGraph([((f,), kind) for f, (_, kind) in markers.items()])
 
+    known: dict[tuple, list[tuple[str, tuple[str, ...], str]]] = {}
+
     def match(leaves: list[Leaf]) -> list[tuple[str, tuple[str, ...], str]]:
+        key = tuple(leaves)
+        if key not in known:
+            if len(known) > 20_000:
+                known.clear()
+            known[key] = one(leaves)
+        return known[key]
+
+    def one(leaves: list[Leaf]) -> list[tuple[str, tuple[str, ...], str]]:
         own = SchemaGraph(leaves)
         carries = {(p, (f,)): 1.0 for p in own.paths for f, (mark, _) in markers.items() if mark in "/".join(p).lower()}
         scores = flood(own, target, carries)
@@ -206,7 +216,8 @@ def all_changes(files: DataFrame) -> DataFrame:
                     s[at[p], :] = 0
                     s[:, bt[p]] = 0
                 # only keys whose paths share letters may be renamings of one another
-                s *= [[bool(trigrams("".join(p)) & trigrams("".join(q))) for q in c.paths] for p in a.paths]
+                ga, gb = [trigrams("".join(p)) for p in a.paths], [trigrams("".join(q)) for q in c.paths]
+                s *= [[not x.isdisjoint(y) for y in gb] for x in ga]
                 s /= s.max(initial=0) or 1.0
                 for p in same:
                     s[at[p], bt[p]] = 1.0
