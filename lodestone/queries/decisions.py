@@ -223,9 +223,9 @@ def evaluability(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_equivalence(spark: SparkSession, d: str) -> DataFrame:
-    """Unit names whose objects are byte-identical in two archives or more."""
-    m = _members(spark, d).filter("name is not null and object_sha256 is not null")
-    return m.groupBy(X.cu_name(F.col("name")).alias("cu"), "object_sha256").agg(F.countDistinct(F.trim("archive_basename")).alias("archives")).filter("archives >= 2")
+    """Unit names with the same code, for which the function count stands, in two archives or more."""
+    m = _members(spark, d).filter("name is not null and n_functions is not null")
+    return m.groupBy(X.cu_name(F.col("name")).alias("cu"), "n_functions").agg(F.countDistinct(F.trim("archive_basename")).alias("archives")).filter("archives >= 2")
 
 
 def catalog_constraints(spark: SparkSession, d: str) -> DataFrame:
@@ -397,7 +397,7 @@ h AS (SELECT p."case", p.family, source_value, target_value, bool_or(k.label IS
     "selection_histogram": "WITH a AS (SELECT DISTINCT ON (library_id) * FROM library_archives) SELECT role, status, count(*) AS builds, sum(try_cast(project_candidates AS BIGINT))::BIGINT AS weight FROM a GROUP BY ALL",
     "build_diversity": "SELECT trim(archive) AS archive, count(DISTINCT role) AS versions, count(DISTINCT toolchain) AS compilers, count(DISTINCT optimization) AS optimizations FROM library_archives WHERE status = 'selected' GROUP BY 1",
     "evaluability": _MEM + ", s AS (SELECT cu, CASE WHEN n_functions IS NULL THEN 2 WHEN n_functions <= 1 THEN 3 WHEN occurrence > 1 THEN 1 ELSE 0 END AS r FROM n WHERE name IS NOT NULL) SELECT cu, ['eligible', 'ambiguous', 'unknown', 'mono'][min(r) + 1] AS status, count(*) AS n_rows FROM s GROUP BY cu",
-    "source_equivalence": _MEM + " SELECT cu, object_sha256, count(DISTINCT trim(archive_basename)) AS archives FROM n WHERE name IS NOT NULL AND object_sha256 IS NOT NULL GROUP BY ALL HAVING count(DISTINCT trim(archive_basename)) >= 2",
+    "source_equivalence": _MEM + " SELECT cu, n_functions, count(DISTINCT trim(archive_basename)) AS archives FROM n WHERE name IS NOT NULL AND n_functions IS NOT NULL GROUP BY ALL HAVING count(DISTINCT trim(archive_basename)) >= 2",
     "catalog_constraints": """WITH m AS (SELECT DISTINCT ON (match_id) * FROM block_matches), c AS (SELECT match_id, unnest(['windows_add_up', 'ratio_in_range', 'status_agrees', 'score_only_if_passed', 'counts_known']) AS check_name,
 unnest([windows_evaluated + windows_skipped = windows_total, coverage_ratio BETWEEN 0 AND 1 AND assignment_ratio BETWEEN 0 AND 1, passed = (cu_status <> 'DROP'), passed OR score IS NULL, num_source_blocks IS NOT NULL AND num_target_blocks IS NOT NULL]) AS good FROM m)
 SELECT check_name, count(*) FILTER (NOT coalesce(good, false)) AS n_violations, min(match_id) FILTER (NOT coalesce(good, false)) AS first_key FROM c GROUP BY check_name""",
