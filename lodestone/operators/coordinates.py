@@ -104,3 +104,43 @@ def grid(base: DataFrame, values: Mapping[str, Sequence[float]]) -> DataFrame:
     for name, options in values.items():
         base = base.withColumn(name, F.explode(F.array(*map(F.lit, options))))
     return base
+
+
+def balanced_screen(cases: DataFrame, group: str, cell: str, per_group: int = 2, seed: str = "screen") -> DataFrame:
+    """``per_group`` cases of every group so that all cells occur nearly equally often.
+
+    Groups, in digest order, take consecutive cells of a ring, so cell counts differ by one at most. Each group
+    must have every cell, else reading the result is an error. Groups and cells are small catalogs.
+    """
+    alone = Window.partitionBy(F.lit(1))
+    cells = cases.select(cell).distinct()
+    cells = cells.select(cell, (F.row_number().over(alone.orderBy(cell)) - 1).alias("__c"), F.count(F.lit(1)).over(alone).alias("__k"))
+    groups = cases.select(group).distinct()
+    groups = groups.select(group, (F.row_number().over(alone.orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col(group)), 256))) - 1).alias("__g"))
+    turn = groups.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(per_group - 1))))
+    want = turn.crossJoin(F.broadcast(cells)).filter(F.col("__c") == F.pmod(F.col("__g") * per_group + F.col("__j"), F.col("__k"))).select(group, cell)
+    j = want.join(cases.withColumn("__have", F.lit(True)), [group, cell], "left")
+    lacks = F.raise_error(F.concat(F.lit("incomplete matrix: "), F.concat_ws("/", F.col(group).cast("string"), F.col(cell).cast("string")))).cast("boolean")
+    return j.filter(F.coalesce("__have", lacks)).drop("__have")
+
+
+def build_panel(builds: DataFrame, family: str, level: str, choice: str, variant: str, seed: str = "panel") -> DataFrame:
+    """Of every family and ``level`` all values of ``choice`` but one, each with one ``variant``, both rotating from family to family.
+
+    A family of 4 levels, 4 choices and 3 variants gives 12 builds, 3 for each level. An incomplete matrix is an error when read.
+    """
+    alone = Window.partitionBy(F.lit(1))
+
+    def index(column: str, name: str, order=None) -> DataFrame:
+        return builds.select(column).distinct().select(column, (F.row_number().over(alone.orderBy(F.col(column) if order is None else order)) - 1).alias(name), F.count(F.lit(1)).over(alone).alias(f"{name}n"))
+
+    f = index(family, "__f", F.sha2(F.concat_ws(":", F.lit(seed), F.col(family)), 256))
+    grid_ = f
+    for part in (index(level, "__l"), index(choice, "__c"), index(variant, "__v")):
+        grid_ = grid_.crossJoin(F.broadcast(part))
+    left_out = F.pmod(F.col("__f") + F.col("__l"), F.col("__cn"))
+    want = grid_.filter((F.col("__c") != left_out) & (F.col("__v") == F.pmod(F.col("__f") + F.col("__l") + F.col("__c"), F.col("__vn")))).select(family, level, choice, variant)
+    keys = [family, level, choice, variant]
+    j = want.join(builds.withColumn("__have", F.lit(True)), keys, "left")
+    lacks = F.raise_error(F.concat(F.lit("incomplete matrix: "), F.concat_ws("/", *keys))).cast("boolean")
+    return j.filter(F.coalesce("__have", lacks)).drop("__have")

@@ -77,8 +77,8 @@ def best_candidate(decisions: DataFrame, keys: list[str], score: str, accepted:
 def detection_outcome(a: Column, b: Column) -> Column:
     """How two pipelines' answers compare; null is a missing answer."""
     return (
-        F.when(a.isNull() & b.isNull(), "missing_both").when(a.isNull(), "missing_current").when(b.isNull(), "missing_libseeker")
-        .when(a & b, "both").when(a, "current_only").when(b, "libseeker_only").otherwise("neither")
+        F.when(a.isNull() & b.isNull(), "missing_both").when(a.isNull(), "missing_first").when(b.isNull(), "missing_second")
+        .when(a & b, "both").when(a, "first_only").when(b, "second_only").otherwise("neither")
     )
 
 

@@ -376,7 +376,7 @@ SQL = {
 SELECT build_id, tp, fp, fn, round(CASE WHEN tp+fp = 0 THEN 0 ELSE tp / (tp+fp) END, 6) AS "precision", round(CASE WHEN tp+fn = 0 THEN 0 ELSE tp / (tp+fn) END, 6) AS recall, round(CASE WHEN 2*tp+fp+fn = 0 THEN 0 ELSE 2*tp / (2*tp+fp+fn) END, 6) AS f1 FROM g""",
     "family_collapse": _FAMS + " SELECT build_id, family, coalesce(bool_or(expected), false) AS expected, coalesce(bool_or(predicted), false) AS predicted, count(*) AS builds FROM f GROUP BY ALL",
     "family_argmax": _FAMS + ", g AS (SELECT build_id, family, max(ROW(score, accepted, library)) AS r FROM f WHERE score IS NOT NULL GROUP BY ALL) SELECT build_id, family, r[1] AS score, r[2] AS accepted, r[3] AS library FROM g",
-    "pipeline_comparison": _J + "SELECT CASE WHEN predicted IS NULL AND expected IS NULL THEN 'missing_both' WHEN predicted IS NULL THEN 'missing_current' WHEN expected IS NULL THEN 'missing_libseeker' WHEN predicted AND expected THEN 'both' WHEN predicted THEN 'current_only' WHEN expected THEN 'libseeker_only' ELSE 'neither' END AS outcome, count(*) AS n, count(DISTINCT build_id) AS builds FROM x GROUP BY 1",
+    "pipeline_comparison": _J + "SELECT CASE WHEN predicted IS NULL AND expected IS NULL THEN 'missing_both' WHEN predicted IS NULL THEN 'missing_first' WHEN expected IS NULL THEN 'missing_second' WHEN predicted AND expected THEN 'both' WHEN predicted THEN 'first_only' WHEN expected THEN 'second_only' ELSE 'neither' END AS outcome, count(*) AS n, count(DISTINCT build_id) AS builds FROM x GROUP BY 1",
     "truth_left_join": _J + "SELECT build_id, library, CASE WHEN predicted IS NULL THEN 'MISSING' WHEN predicted THEN 'YES' ELSE 'NO' END AS status FROM x WHERE expected",
     "ablation_factorial": _FACT + ' SELECT config, tp, fp, fn, tn, "precision", recall, f1 FROM o',
     "ablation_delta": _FACT + " SELECT config, f1, round(f1 - (SELECT f1 FROM o WHERE config = 'FULL'), 6) AS delta_f1 FROM o",
