@@ -140,7 +140,7 @@ def dense_key_stats(
 def hot_keys(df: DataFrame, key: str, share: float = 0.02) -> DataFrame:
     """The non-null values of ``key`` that hold at least ``share`` of all rows: ``key_value``, ``n``.
 
-    Rows with a null key count among all rows. An empty table gives no row.
+    Rows with a null key count among all rows; a value at exactly the share is in. An empty table gives no row.
     """
     total = df.agg(F.count(F.lit(1)).alias("n"))
-    return dense_key_stats(df, key).filter(F.col("key_value").isNotNull() & (F.col("n") >= F.lit(share) * total.scalar()))
+    return dense_key_stats(df, key).filter(F.col("key_value").isNotNull() & (F.col("n") >= F.lit(share * (1 - 1e-12)) * total.scalar()))

@@ -96,6 +96,14 @@ SQL = {
 UNION ALL SELECT file_id, field_name, 'removed' FROM d WHERE op IS NOT NULL AND np IS NULL
 UNION ALL SELECT file_id, field_name, 'renamed' FROM d WHERE op <> np
 UNION ALL SELECT file_id, field_name, 'retyped' FROM d WHERE ok <> nk""",
+    "p1_unified": """
+WITH RECURSIVE ok AS (SELECT DISTINCT file_id, line_no, payload FROM feature_logs WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+t(file_id, line_no, payload, path, v) AS (
+  SELECT file_id, line_no, payload, k, json_extract(payload::JSON, '$."' || k || '"') FROM (SELECT *, unnest(json_keys(payload::JSON)) AS k FROM ok)
+  UNION ALL SELECT file_id, line_no, payload, path || '/' || k, json_extract(v, '$."' || k || '"') FROM (SELECT *, unnest(json_keys(v)) AS k FROM t WHERE json_type(v) = 'OBJECT')),
+l AS (SELECT file_id, line_no, payload, path, lower(path) AS low, trim(CASE json_type(v) WHEN 'VARCHAR' THEN v->>'$' ELSE replace(v::VARCHAR, ', ', ',') END) AS x FROM t WHERE json_type(v) NOT IN ('OBJECT', 'NULL')),
+f AS (SELECT file_id, line_no, payload, min_by(x, path) FILTER (contains(low, 'schema')) AS a, min_by(x, path) FILTER (contains(low, 'norm')) AS b, min_by(x, path) FILTER (contains(low, 'pool')) AS c FROM l GROUP BY ALL)
+SELECT file_id, line_no, try_cast(nullif(regexp_extract(a, '([0-9]+)', 1), '') AS INT) AS feature_schema_version, b AS asm_normalization, c AS palmtree_pooling FROM f""",
     "p2_found": """SELECT 'name' AS field_name, name AS key_value FROM archive_members WHERE name IS NOT NULL GROUP BY name HAVING count(*) >= 0.02 * (SELECT count(*) FROM archive_members)
 UNION ALL SELECT 'num_source_blocks', num_source_blocks::VARCHAR FROM block_matches WHERE num_source_blocks IS NOT NULL GROUP BY num_source_blocks HAVING count(*) >= 0.02 * (SELECT count(*) FROM block_matches)""",
     "p2_names": f"""WITH x AS (SELECT *, {_LATEST.format(k="name", o="extracted_at DESC NULLS LAST, ingested_at DESC NULLS LAST, member_id DESC NULLS LAST")} FROM archive_members)

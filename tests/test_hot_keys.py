@@ -54,3 +54,11 @@ def test_empty_table(spark):
 def test_hot_keys_count_all_rows_and_take_values_as_stored(spark):
     df = spark.createDataFrame([("a",)] * 2 + [("a ",)] * 1 + [(None,)] * 97, "name string")
     assert {r.key_value for r in hot_keys(df, "name").collect()} == {"a"}
+
+
+def test_a_value_at_exactly_the_share_is_in(spark):
+    for total in (50, 150, 350, 1150):
+        k = total // 50
+        df = spark.createDataFrame([("a",)] * k + [("b",)] * (k - 1) + [(f"x{i}",) for i in range(total - 2 * k + 1)], "name string")
+        hit = {r.key_value for r in hot_keys(df, "name").collect()}
+        assert "a" in hit and (k == 1 or not any(x.startswith("x") for x in hit)) and ("b" not in hit)
