@@ -14,7 +14,9 @@ from lodestone.operators import replay as P
 from lodestone.operators import scenario as C
 from lodestone.operators import truth as T
 from lodestone.plans.session import table
+from lodestone.queries.matching import SQL as MATCHING_SQL
 
+ASM_SQL = MATCHING_SQL["asm_normalize"]
 GATE = {"coverage_mean": 0.9, "coverage_ratio": 0.6, "assignment_quality": 0.8, "assignment_ratio": 0.45, "call_edge_ratio": 0.3, "function_concentration": 0.05, "function_spread": 0.05, "function_coverage": 0.3}
 
 
@@ -289,10 +291,11 @@ def label_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    """Words of all instruction lines by falling frequency, then by letter: ids from 5 on."""
-    line = F.explode(F.split("text", "\n")).alias("line")
-    ins = table(spark, d, "documents").select(line).select(F.regexp_extract("line", r"^0x[0-9a-f]+:[ \t]+([^\r]*)", 1).alias("i")).filter("i <> ''")
-    words = ins.select(F.explode(F.split(X.normalize_v2(F.col("i")), " ")).alias("word")).filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """Words of all texts' distinct instruction lines by falling frequency, then by letter: ids from 5 on."""
+    from lodestone.queries.matching import asm_normalize
+
+    lines = asm_normalize(spark, d)
+    words = lines.select(F.explode(F.split("v2", " ")).alias("word")).filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     placed = T.sharded(words.withColumn("neg", -F.col("n")), ["neg", "word"], 1)
     return placed.select("word", "n", (F.col("position") + 4).alias("token_id"))
 
@@ -359,6 +362,7 @@ SELECT library, accepted, penalised, round(CASE WHEN coalesce(len(l), 0) = 0 THE
 
 
 SQL = {
+    "vocabulary": "WITH x AS (" + ASM_SQL + "), w AS (SELECT unnest(string_split(v2, ' ')) AS word FROM x), g AS (SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY word) SELECT word, n, row_number() OVER (ORDER BY n DESC, word) + 4 AS token_id FROM g",
     "gate_filter": _W + f"SELECT match_id, build_id, library, coverage_mean FROM w WHERE {_PASS}",
     "status_counts": _W + "SELECT library, CASE WHEN NOT coalesce(passed, false) THEN 'DROP' WHEN coverage_ratio < 0.8 THEN 'DROP_RODATA' ELSE 'PASS' END AS status, count(*) AS n, max(coverage_mean) AS best_any, max(coverage_mean) FILTER (passed) AS best_matched FROM w GROUP BY ALL",
     "fn_attribution": _ATTR + f" SELECT build_id, library, depth, windows, {_CATEGORY} AS category FROM a",
