@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.tokens import RANKS, encoding
+from lodestone.plans.session import spread
 
 #: Boundaries, strongest first; a cut falls at the end of the match.
 BOUNDARIES = (
@@ -123,13 +124,16 @@ def chunk(docs: DataFrame, id_col: str, text_col: str, limit: int = 768, overlap
     ``doc_id, piece_no`` (from 0), ``start, end`` (characters of the text this piece adds),
     ``piece`` (its text with the overlap before it), ``n_tokens`` (``limit`` at most), ``overlap_chars``.
     Texts within the limit, empty and null texts give no row. Text is never changed: the spans
-    ``start..end`` of a text join up to all of it. Each text is cut in one pass where it lies; no shuffle.
+    ``start..end`` of a text join up to all of it. Each text is cut in one pass where it lies, unless the input
+    has fewer splits than there are cores.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text")).filter(F.length("__text") > 0)
     kind = src.schema["doc_id"].dataType.simpleString()
     # a token is one byte at least, so shorter texts cannot exceed the limit
     src = src.filter(F.octet_length("__text") > limit)
 
+    src = spread(src, "doc_id")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(ranks_path)
         for b in batches:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lodestone.plans.session import spread
+
 #: Where the rank file lies on every machine; a parameter of all operators that count tokens.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the vocabulary's pattern, which splits text before the merges.
@@ -27,7 +29,7 @@ def encoding(ranks_path: str = RANKS):
 def token_counts(df: DataFrame, text: str, keep: Sequence[str], count_as: str = "n_tokens", ranks_path: str = RANKS) -> DataFrame:
     """The columns ``keep`` and ``count_as``, the number of ids of the whole ``text``; null and empty texts have 0.
 
-    Only the named columns are read, and texts never cross a shuffle.
+    Only the named columns are read; texts cross a shuffle only where the input has fewer splits than there are cores.
     """
     kept = [f"__k{i}" for i in range(len(keep))]
     src = df.select(*(df[c].alias(k) for c, k in zip(keep, kept)), df[text].alias("__text"))
@@ -39,4 +41,4 @@ def token_counts(df: DataFrame, text: str, keep: Sequence[str], count_as: str =
             n = [len(enc(t)) if t else 0 for t in b.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(n, pa.int64())], names=[*kept, "__n"])
 
-    return src.mapInArrow(run, schema).toDF(*keep, count_as)
+    return spread(src, kept[0]).mapInArrow(run, schema).toDF(*keep, count_as)
