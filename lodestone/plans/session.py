@@ -43,16 +43,3 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` in at least three partitions a core, for work that costs far more than a shuffle of its rows.
-
-    Input of enough splits, as all large input is, stays where it lies; only a scan of a few splits is
-    repartitioned by ``key``. A plan with shuffles of its own is left as it is.
-    """
-    sc = df.sparkSession.sparkContext
-    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
-        return df
-    want = 3 * sc.defaultParallelism
-    return df if df._jdf.rdd().getNumPartitions() >= want // 2 else df.repartition(want, key)
