@@ -1,9 +1,11 @@
-"""Most similar vectors for every vector, by shifted space-filling curves.
+"""Most similar vectors for every vector, by shifted space-filling curves or by an exact scan.
 
-Method: vectors are projected by several random rotations; on each projection, moved by a random
+Equal vectors are searched once, by their smallest id, and expanded after the search. The curves:
+vectors are projected by several random rotations; on each projection, moved by a random
 shift, a Hilbert curve gives every vector a key. Rows are range-partitioned by curve and key, each row
 is compared with the rows of a window around it in key order, and the windows' best of all curves are
-merged. Vectors travel as 16-bit integers with a scale (cosines within about 1e-5).
+merged. Rows whose windows are crowded with near vectors are searched again by the exact scan. On
+the curves vectors travel as 16-bit integers with a scale (cosines within about 1e-5).
 """
 
 from __future__ import annotations
@@ -12,9 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.plans.session import written
+from lodestone.plans.skew import lookup_join
+
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
     """Position along the Hilbert curve of integer cells (n, dims) with ``bits`` bits a dimension, as uint64.
@@ -52,40 +57,124 @@ def _curves(dim: int, curves: int, project: int, seed: int) -> list[tuple[np.nda
     return [(np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, :project].astype(np.float32), rng.random(project)) for _ in range(curves)]
 
 
+def _unpacked(b: pa.RecordBatch, dim: int) -> np.ndarray:
+    """Unit vectors of a batch with ``scale`` and ``vec``; as 16-bit integers, or as 32-bit floats by the length."""
+    blobs, scale = b"".join(b.column("vec").to_pylist()), b.column("scale").to_numpy()
+    if len(blobs) == 4 * dim * len(scale):
+        return np.frombuffer(blobs, "<f4").reshape(-1, dim)
+    v = np.frombuffer(blobs, "<i2").reshape(-1, dim).astype(np.float32) * (scale / 32767)[:, None]
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+
+def all_pairs(queries: DataFrame, base: DataFrame, k: int, dim: int, block: int = 65536) -> DataFrame:
+    """``(id, near)``: the ``k`` nearest others in ``base`` of each of ``queries``, both ``id, scale, vec`` with each id once.
+
+    Exact: blocks of at most about ``block`` queries each meet every row of ``base``, which is streamed, so the
+    work is the product of both and ``base`` is shuffled once a block.
+    """
+    wide = queries.sparkSession.sparkContext.defaultParallelism
+    groups = wide * max(1, -(-queries.count() // (block * wide)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        ids = None
+
+        def ready() -> None:
+            nonlocal ids, vec, score, found
+            ids, vec = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+            # one more than k, as a row meets itself
+            score, found = np.full((len(ids), k + 1), -2, np.float32), np.full((len(ids), k + 1), -1, np.int64)
+
+        vec = score = found = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            i, v, side = b.column("id").to_numpy(), _unpacked(b, dim), b.column("base").to_numpy(zero_copy_only=False)
+            if not side.all():
+                parts.append((i[~side], v[~side]))
+            if not side.any():
+                continue
+            if ids is None:
+                if not parts:
+                    return
+                ready()
+            i, v = i[side], v[side]
+            for lo in range(0, len(i), 2048):
+                other, turned = i[lo : lo + 2048], np.ascontiguousarray(v[lo : lo + 2048].T)
+                for at in range(0, len(ids), 512):
+                    sim = vec[at : at + 512] @ turned
+                    floor = score[at : at + 512, -1]
+                    if floor.min() <= -2 and len(other) > k + 1:
+                        floor = np.maximum(floor, np.partition(sim, -k - 1, axis=1)[:, -k - 1])
+                    hit = np.flatnonzero(sim >= floor[:, None])
+                    if not len(hit):
+                        continue
+                    r, j = np.divmod(hit, len(other))
+                    rows = np.unique(r)
+                    s, o = np.r_[sim[r, j], score[at + rows].ravel()], np.r_[other[j], found[at + rows].ravel()]
+                    r = np.r_[r, np.repeat(rows, k + 1)]
+                    by = np.lexsort((o, -s, r))
+                    first = np.searchsorted(r[by], rows)
+                    take = by[first[:, None] + np.arange(k + 1)]
+                    score[at + rows], found[at + rows] = s[take], o[take]
+        if ids is None:
+            return
+        for at in range(0, len(ids), 8192):
+            s, o, own = score[at : at + 8192], found[at : at + 8192], ids[at : at + 8192]
+            keep = (o != own[:, None]) & (s > -2)
+            keep &= keep.cumsum(1) <= k
+            offs = np.r_[0, keep.sum(1).cumsum()].astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(-np.minimum(s[keep], 1.0)), pa.array(o[keep])], names=["far", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(pa.array(offs), pairs)], names=["id", "near"])
+
+    asked = queries.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), F.lit(False).alias("base"), "id", "scale", "vec")
+    given = base.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(True).alias("base"), "id", "scale", "vec")
+    return asked.unionByName(given).repartitionById(groups, "g").sortWithinPartitions("base").drop("g").mapInArrow(scan, "id bigint, near array<struct<far:float,id:bigint>>")
+
+
 def nearest(
-    df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int = 64, min_similarity: float = -1.0, curves: int = 6, project: int = 15, bits: int = 4, window: int = 128, seed: int = 20250101
+    df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int = 64, min_similarity: float = -1.0, curves: int = 6, project: int = 15, bits: int = 4, window: int = 128, seed: int = 20250101, exact: bool = False, crowd: float = 0.9
 ) -> DataFrame:
     """For every vector its ``k`` most similar others: ``id, neighbour_id, similarity, rank``.
 
     Similarity is the cosine; ``min_similarity`` drops neighbours below it. Only vectors of ``dim``
     finite numbers that are not all zero take part. Rows that repeat an id count once. Among neighbours
-    of equal similarity the smaller id comes first. The search is approximate: a neighbour is missed
-    when no curve brings it within ``window`` places; see the README for measured recall. Null ids take
-    no part; an empty table gives no row.
+    of equal similarity the smaller id comes first, for any number of equal vectors. With ``exact`` every
+    vector meets every other; else the search is approximate: a neighbour is missed when no curve brings
+    it within ``window`` places, but rows that have ``window // 2`` vectors at ``min_similarity`` (or
+    ``crowd``, if none is given) in a window meet every other vector too; see the README for measured
+    recall. Null ids take no part; an empty table gives no row.
     """
     project = min(project, dim, 63 // bits)
     finite = F.forall(F.col("__v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("__v")).filter(F.col("id").isNotNull() & (F.size("__v") == dim))
     src = src.filter(finite & F.exists("__v", lambda x: x != 0)).select("id", F.col("__v").cast("array<float>").alias("__v"))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns = _curves(dim, curves, project, seed)
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             v = b.column("__v").flatten().to_numpy().astype(np.float64).reshape(-1, dim)
             v = v / np.abs(v).max(1, keepdims=True)
-            v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-            top = np.abs(v).max(1)
-            short = np.rint(v * (32767 / top)[:, None]).astype("<i2")
-            blob = pa.Array.from_buffers(pa.binary(2 * dim), len(v), [None, pa.py_buffer(short.tobytes())]).cast(pa.binary())
+            v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32) + np.float32(0)
+            top = np.zeros(len(v), np.float32) if exact else np.abs(v).max(1)
+            short = v.astype("<f4") if exact else np.rint(v * (32767 / top)[:, None]).astype("<i2")
+            blob = pa.Array.from_buffers(pa.binary(short.itemsize * dim), len(v), [None, pa.py_buffer(short.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(top.astype(np.float32)), blob], names=["id", "scale", "vec"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns = _curves(dim, curves, project, seed)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = _unpacked(b, dim)
             for c, (turn, shift) in enumerate(turns):
                 # unit vectors projected to one axis are nearly normal with deviation 1 / sqrt(dim): make them uniform
                 x = v @ turn * np.float32(np.sqrt(dim))
                 u = 0.5 * (1 + np.tanh(0.7978845608 * (x + 0.044715 * x**3)))
                 cells = np.minimum(((u + shift) * (1 << (bits - 1))).astype(np.uint32), (1 << bits) - 1)
                 key = hilbert_key(cells, bits).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c, np.int32)), pa.array(key), b.column("id"), pa.array(top.astype(np.float32)), blob], names=["curve", "key", "id", "scale", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c, np.int32)), pa.array(key), b.column("id"), b.column("scale"), b.column("vec")], names=["curve", "key", "id", "scale", "vec"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = 1024
@@ -102,6 +191,8 @@ def nearest(
                 sim = vec[at:end] @ vec[lo:hi].T
                 gap = np.abs(np.arange(at, end)[:, None] - np.arange(lo, hi)[None, :])
                 sim[(gap > window) | (gap == 0) | (crv[at:end, None] != crv[None, lo:hi])] = -2
+                # a window that holds so many near rows may hide nearer ones outside it
+                full = (sim >= (min_similarity if min_similarity > -1 else crowd)).sum(1) >= max(1, window // 2)
                 if min_similarity > -1:
                     r, j = np.nonzero(sim >= min_similarity - 1e-4)
                 else:
@@ -122,7 +213,7 @@ def nearest(
                 first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
                 offs = pa.array(np.r_[first, len(r)].astype(np.int32))
                 pairs = pa.StructArray.from_arrays([pa.array(-s.astype(np.float32)), pa.array(other)], names=["far", "id"])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + r[first]]), pa.ListArray.from_arrays(offs, pairs)], names=["id", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + r[first]]), pa.ListArray.from_arrays(offs, pairs), pa.array(full[r[first]])], names=["id", "near", "full"])
             done = upto
 
         for b in batches:
@@ -131,12 +222,10 @@ def nearest(
             key = b.column("key").to_numpy()
             if not len(i):
                 continue
-            raw = np.frombuffer(b"".join(b.column("vec").to_pylist()), "<i2").reshape(-1, dim).astype(np.float32)
             # repeated rows have the same key and id, so they are neighbours here
             new = np.r_[True, (i[1:] != i[:-1]) | (key[1:] != key[:-1]) | (c[1:] != c[:-1])]
             new[0] = not (len(ids) and ids[-1] == i[0] and crv[-1] == c[0])
-            v = raw * (b.column("scale").to_numpy() / 32767)[:, None]
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            v = _unpacked(b, dim)
             ids, crv, vec = np.r_[ids, i[new]], np.r_[crv, c[new]], np.r_[vec, v[new].astype(np.float32)]
             if len(ids) - window - done >= step:
                 yield from best(len(ids) - window)
@@ -144,11 +233,37 @@ def nearest(
                 ids, crv, vec, done = ids[cut:], crv[cut:], vec[cut:], done - cut
         yield from best(len(ids))
 
-    points = src.mapInArrow(keyed, "curve int, key bigint, id bigint, scale float, vec binary")
-    lines = points.repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id")
-    found = lines.mapInArrow(scan, "id bigint, near array<struct<far:float,id:bigint>>")
-    # at most curves * k candidates a row; one found on several curves is kept once
-    merged = found.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
-    merged = merged.select("id", F.expr(f"aggregate(near, slice(near, 1, 0), (best, x) -> if(size(best) >= {k} or exists(best, y -> y.id = x.id), best, concat(best, array(x))))").alias("near"))
+    points = src.mapInArrow(packed, "id bigint, scale float, vec binary")
+    base = written(points.groupBy("vec", "scale").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count(F.lit(1)).alias("w")), "knn-vectors")
+    if exact:
+        near = all_pairs(base, base, k, dim)
+    else:
+        points_of = base.select("id", "scale", "vec").mapInArrow(keyed, "curve int, key bigint, id bigint, scale float, vec binary")
+        lines = points_of.repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id")
+        found = lines.mapInArrow(scan, "id bigint, near array<struct<far:float,id:bigint>>, full boolean")
+        # at most curves * k candidates a row; one found on several curves is kept once
+        near = written(found.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"), F.max("full").alias("full")), "knn-near")
+        crowded = near.filter("full").select("id")
+        if not crowded.isEmpty():
+            asked = base.join(crowded, "id", "left_semi")
+            near = near.filter("not full").select("id", "near").unionByName(all_pairs(asked, base, k, dim))
+    # an id that has several vectors counts once
+    near = near.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+    twins = base.filter("id <> last")
+    if not twins.isEmpty():
+        mark = F.md5(F.concat("vec", F.col("scale").cast("string").cast("binary"))).alias("mark")
+        members = written(lookup_join(points.select(mark, "id"), twins.select(mark, F.col("id").alias("rep"), "w"), "mark", "w").select("rep", "id").distinct(), "knn-twins")
+        # a group shows its k + 1 smallest ids; the limit is applied before the shuffle
+        order = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
+        shown = members.withColumn("at", order).filter(F.col("at") <= k + 1).groupBy("rep").agg(F.collect_list("id").alias("ids"))
+        shown = written(shown, "knn-shown")
+        others = near.select("id", F.explode("near").alias("n")).select("id", F.col("n.far").alias("far"), F.col("n.id").alias("rep"))
+        others = others.join(shown, "rep", "left").select("id", "far", F.explode(F.coalesce("ids", F.array("rep"))).alias("other"))
+        own = shown.select(F.col("rep").alias("id"), F.lit(-1.0).cast("float").alias("far"), F.explode("ids").alias("other"))
+        full = others.unionByName(own).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("far", F.col("other").alias("id")))).alias("near"))
+        full = written(full, "knn-full")
+        sized = full.withColumnRenamed("id", "rep").join(members.groupBy("rep").agg(F.count(F.lit(1)).alias("w")), "rep")
+        near = full.unionByName(lookup_join(members.filter("id <> rep"), sized, "rep", "w").select("id", "near"))
+    merged = near.select("id", F.expr(f"aggregate(near, slice(near, 1, 0), (best, x) -> if(x.id = id or size(best) >= {k} or exists(best, y -> y.id = x.id), best, concat(best, array(x))))").alias("near"))
     rows = merged.select("id", F.posexplode("near").alias("rank", "n"))
     return rows.select("id", F.col("n.id").alias("neighbour_id"), (-F.col("n.far")).cast("double").alias("similarity"), (F.col("rank") + 1).alias("rank")).filter(F.col("similarity") >= min_similarity)

@@ -100,5 +100,34 @@ def test_ties_go_to_smaller_ids_and_hot_vectors_cost_no_more(spark):
     assert sorted(small[small.id == 7].neighbour_id) == [0, 1, 2]
 
 
+def top(rows, k):
+    """The k nearest of each row by brute force, ties to smaller ids."""
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    sim = np.round(v @ v.T, 6)
+    np.fill_diagonal(sim, -2)
+    return {(int(ids[i]), int(ids[j])) for i in range(len(ids)) for j in np.lexsort((ids, -sim[i]))[:k]}
+
+
+def test_copies_get_the_smallest_ids(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=64)], "x", "x") for i in range(300)]
+    rows += [(1000 + i, rows[7][1], "x", "x") for i in range(2000)] + [(5000, [x * 1.001 + 0.001 for x in rows[7][1]], "x", "x")]
+    want = {(7, 1000 + i) for i in range(5)} | {(i, j) for i in range(1000, 3000) for j in [x for x in (7, *range(1000, 1006)) if x != i][:5]} | {(5000, j) for j in (7, *range(1000, 1004))}
+    for exact in (False, True):
+        got = nearest(spark.createDataFrame(rows, V).repartition(3), "id", "v", window=16, min_similarity=0.9, exact=exact).toPandas()
+        assert set(zip(got.id, got.neighbour_id)) == want and len(got) == len(want)
+
+
+def test_dense_groups_wider_than_the_window(spark):
+    rng = np.random.default_rng(4)
+    far, centre = rng.normal(size=(1500, 64)), rng.normal(size=64)
+    near = centre + rng.normal(size=(1500, 64)) * 0.2
+    rows = [(i, [float(x) for x in r], "x", "x") for i, r in enumerate(np.r_[far, near])]
+    got = nearest(spark.createDataFrame(rows, V), "id", "v", window=32, min_similarity=0.9).toPandas()
+    want = {x for x in top(rows, 5) if x[0] >= 1500}
+    assert len(set(zip(got.id, got.neighbour_id)) & want) >= 0.98 * len(want)
+
+
 def test_no_vectors(spark):
     assert nearest(spark.createDataFrame([], V), "id", "v").collect() == []
