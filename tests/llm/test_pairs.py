@@ -109,6 +109,14 @@ def top(rows, k):
     return {(int(ids[i]), int(ids[j])) for i in range(len(ids)) for j in np.lexsort((ids, -sim[i]))[:k]}
 
 
+def test_exact_search_finds_the_nearest_of_far_vectors(spark):
+    v = np.random.default_rng(2).normal(size=(3000, 64))
+    rows = [(i, [float(x) for x in r], "x", "x") for i, r in enumerate(v)]
+    got = nearest(spark.createDataFrame(rows, V), "id", "v", exact=True).toPandas()
+    have = set(zip(got.id, got.neighbour_id))
+    assert len(have & top(rows, 5)) >= 0.999 * 5 * len(rows) and (got.groupby("id")["rank"].max() == 5).all()
+
+
 def test_copies_get_the_smallest_ids(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=64)], "x", "x") for i in range(300)]
