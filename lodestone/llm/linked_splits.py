@@ -3,8 +3,8 @@
 Method: an incremental, persisted component table. A batch's keys meet the components they already
 belong to; links between components are contracted round by round, each round's links flattened by
 pointer jumping. Components that have a split keep it, new ones fill the deficits of the target
-shares, and a batch that would merge components of different splits has its merging rows
-quarantined.
+shares, and a batch that would merge components of different splits has its merging rows, and only
+those, quarantined: the components stay apart as parts, each with its split, of one larger component.
 """
 
 from __future__ import annotations
@@ -23,11 +23,12 @@ from lodestone.plans.skew import lookup_join
 
 @dataclass(frozen=True)
 class Components:
-    """What is kept between batches: ``keys(key, root)`` and ``splits(root, split_name)``, and ``members(id, root, split_name, status)``."""
+    """What is kept between batches: ``keys(key, part)`` and ``splits(part, split_name)``, ``members(id, root, part, split_name, status)``, and ``bridges(a, b)``, parts that quarantined rows link."""
 
     keys: DataFrame
     splits: DataFrame
     members: DataFrame
+    bridges: DataFrame | None = None
 
 
 def flatten_links(links: DataFrame) -> DataFrame:
@@ -113,6 +114,26 @@ def fill_deficits(sizes: DataFrame, held: DataFrame | None, targets: DataFrame,
     return placed.join(F.broadcast(chosen), "cell").select("root", "split_name")
 
 
+def _split_sides(links: DataFrame, splits: DataFrame) -> DataFrame:
+    """``links(a, b, torn)``, each once: torn where both sides have a split and it differs.
+
+    New nodes that hang together take the split of the smallest old component next to any of them.
+    """
+    pairs = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    side = lambda t, c: t.withColumnsRenamed({"node": c, "split_name": f"s{c}"})
+    own = splits.withColumnRenamed("part", "node")
+    both = cut(pairs.join(side(own, "a"), "a", "left").join(side(own, "b"), "b", "left"))
+    new = cut(connect(both.filter("sa is null and sb is null").select("a", "b")))
+    new = new.unionByName(new.select(F.col("root").alias("node"), "root").distinct())
+    next_to = both.filter("sa is not null and sb is null").select(F.col("b").alias("node"), F.col("a").alias("old"), F.col("sa").alias("split_name"))
+    next_to = next_to.unionByName(both.filter("sb is not null and sa is null").select(F.col("a").alias("node"), F.col("b").alias("old"), F.col("sb").alias("split_name")))
+    next_to = cut(next_to.join(new, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    given = next_to.groupBy("root").agg(F.min_by("split_name", "old").alias("split_name"))
+    named = cut(new.unionByName(next_to.select("node", "root")).distinct().join(given, "root").select("node", "split_name"))
+    both = both.join(side(named, "a").withColumnRenamed("sa", "na"), "a", "left").join(side(named, "b").withColumnRenamed("sb", "nb"), "b", "left")
+    return cut(both.select("a", "b", F.coalesce(F.coalesce("sa", "na") != F.coalesce("sb", "nb"), F.lit(False)).alias("torn")))
+
+
 def assign(batch: DataFrame, id_col: str, key_cols: Sequence[str], stratum: str, targets: DataFrame, state: Components | None = None) -> Components:
     """Take a batch of rows into the component table and give them splits.
 
@@ -120,7 +141,8 @@ def assign(batch: DataFrame, id_col: str, key_cols: Sequence[str], stratum: str,
     such rows. ``members`` has, of all batches so far, each row's ``id``, its component's ``root`` (the
     id of the component: its smallest row when it was first seen), ``split_name``, and ``status``: ``kept`` or ``new`` by whether the component had a
     split before, or ``quarantined`` with a null split for rows that would merge components of
-    different splits. Rows repeated within or after a batch count once; null ids take no part.
+    different splits. Components that only quarantined rows link share a ``root``, but each stays a
+    ``part`` of its own with its keys and its split, which later rows get. Rows repeated within or after a batch count once; null ids take no part.
     """
     rows = batch.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), *(F.concat(F.lit(f"{i}:"), F.col(c)).alias(f"k{i}") for i, c in enumerate(key_cols)), F.coalesce(F.col(stratum), F.lit("-")).alias("stratum"))
     rows = rows.dropDuplicates(["id"])
@@ -131,7 +153,7 @@ def assign(batch: DataFrame, id_col: str, key_cols: Sequence[str], stratum: str,
     pairs = rows.select("id", F.explode(F.array(*ks)).alias("key")).filter("key is not null")
     keys = pairs.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     if state is not None:
-        keys = keys.join(state.keys, "key", "left").select("key", F.coalesce("root", "rep").alias("rep"), "n")
+        keys = keys.join(state.keys, "key", "left").select("key", F.coalesce("part", "rep").alias("rep"), "n")
     keys = cut(keys)
     # a row links the representatives of its keys; equal key combinations link once
     combos = rows.select(*ks).distinct()
@@ -151,6 +173,10 @@ def assign(batch: DataFrame, id_col: str, key_cols: Sequence[str], stratum: str,
     # without a second key there is nothing to chain
     if links is None:
         links = keys.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    torn = None
+    if state is not None:
+        sides = _split_sides(links, state.splits)
+        links, torn = sides.filter("not torn").select("a", "b"), sides.filter("torn").select("a", "b")
     roots = cut(connect(links))
     found = keys.select("key", F.col("rep").alias("node"), "n").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     found = cut(found)
@@ -164,31 +190,44 @@ def assign(batch: DataFrame, id_col: str, key_cols: Sequence[str], stratum: str,
         sizes = tied.groupBy("root", "stratum").agg(F.count(F.lit(1)).alias("n"))
         splits = cut(fill_deficits(sizes, None, targets))
         weight = tied.groupBy("root").agg(F.count(F.lit(1)).alias("w"))
-        members = lookup_join(tied, splits.join(weight, "root"), "root", "w").select("id", "root", "stratum", "split_name", F.lit("new").alias("status"))
-        return Components(found.select("key", "root"), splits, written(members, "split-members"))
+        members = lookup_join(tied, splits.join(weight, "root"), "root", "w").select("id", "root", F.col("root").alias("part"), "stratum", "split_name", F.lit("new").alias("status"))
+        return Components(found.select("key", F.col("root").alias("part")), splits.withColumnRenamed("root", "part"), written(members, "split-members"))
 
-    # old components that the batch links: the root each now belongs to, and the splits that meet there
+    # old components that the batch links: the root each now belongs to, and the one split that they have
     span = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    old = span.join(state.splits.withColumnRenamed("root", "node"), "node").select("root", "node", "split_name")
-    met = cut(old.groupBy("root").agg(F.min("split_name").alias("low"), F.max("split_name").alias("high"), F.count_if(F.col("split_name").isNull()).alias("none")))
-    same = state.splits.join(span.select(F.col("node").alias("root")), "root", "left_anti").select("root", "split_name")
-    clash = met.filter("low <> high or none > 0").select("root")
-    known = same.unionByName(met.filter("low = high and none = 0").select("root", F.col("low").alias("split_name")))
-    fresh = tied.join(known, "root", "left_anti").join(clash, "root", "left_anti")
+    old = span.join(state.splits.withColumnRenamed("part", "node"), "node").select("root", "split_name")
+    met = old.groupBy("root").agg(F.min("split_name").alias("split_name"))
+    same = state.splits.withColumnRenamed("part", "root").join(span.select(F.col("node").alias("root")), "root", "left_anti").select("root", "split_name")
+    known = cut(same.unionByName(met))
+    fresh = tied.join(known, "root", "left_anti")
     held = state.members.filter("split_name is not null").groupBy("split_name", "stratum").agg(F.count(F.lit(1)).alias("n"))
     grown = fill_deficits(fresh.groupBy("root", "stratum").agg(F.count(F.lit(1)).alias("n")), held, targets)
-    marks = known.withColumn("status", F.lit("kept")).unionByName(grown.withColumn("status", F.lit("new"))).unionByName(clash.select("root", F.lit(None).cast("string").alias("split_name"), F.lit("quarantined").alias("status")))
-    marks = cut(marks)
+    marks = cut(known.withColumn("status", F.lit("kept")).unionByName(grown.withColumn("status", F.lit("new"))))
+    # the rows whose own keys lead to different splits
+    named = found.join(known, "root").select("key", "split_name", "n")
+    apart = lookup_join(pairs, named, "key", "n").groupBy("id").agg(F.min("split_name").alias("low"), F.max("split_name").alias("high"))
+    apart = apart.filter("low <> high").select("id", F.lit(True).alias("apart"))
     weight = tied.groupBy("root").agg(F.count(F.lit(1)).alias("w"))
-    fresh_members = lookup_join(tied, marks.join(weight, "root"), "root", "w").select("id", "root", "stratum", "split_name", "status")
+    fresh_members = lookup_join(tied, marks.join(weight, "root"), "root", "w").join(apart, "id", "left")
+    fresh_members = fresh_members.select("id", F.col("root").alias("part"), "stratum", F.when(F.col("apart").isNull(), F.col("split_name")).alias("split_name"), F.when(F.col("apart"), "quarantined").otherwise(F.col("status")).alias("status"))
     # rows of earlier batches move to their component's new root and keep their split
-    moved = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
-    sized = moved.join(state.members.groupBy("root").agg(F.count(F.lit(1)).alias("w")), "root")
-    stay = state.members.join(moved.select("root"), "root", "left_anti")
-    went = lookup_join(state.members, sized, "root", "w").select("id", F.col("above").alias("root"), "stratum", "split_name", "status")
-    members = written(stay.select("id", "root", "stratum", "split_name", "status").unionByName(went).unionByName(fresh_members), "split-members")
-    kept_keys = state.keys.join(found.select("key"), "key", "left_anti").join(moved, "root", "left").select("key", F.coalesce("above", "root").alias("root"))
-    return Components(written(kept_keys.unionByName(found.select("key", "root")), "split-keys"), written(marks.select("root", "split_name"), "split-splits"), members)
+    moved = roots.select(F.col("node").alias("part"), F.col("root").alias("above"))
+    sized = moved.join(state.members.groupBy("part").agg(F.count(F.lit(1)).alias("w")), "part")
+    stay = state.members.join(moved.select("part"), "part", "left_anti")
+    went = lookup_join(state.members, sized, "part", "w").select("id", F.col("above").alias("part"), "stratum", "split_name", "status")
+    members = written(stay.select("id", "part", "stratum", "split_name", "status").unionByName(went).unionByName(fresh_members), "split-parts")
+    # parts that quarantined rows link have one root
+    bridges = torn if state.bridges is None else torn.unionByName(state.bridges)
+    for c in ("a", "b"):
+        bridges = bridges.join(moved.withColumnRenamed("part", c), c, "left").withColumn(c, F.coalesce("above", c)).drop("above")
+    bridges = written(bridges.select("a", "b").distinct(), "split-bridges")
+    top = cut(connect(bridges)).select(F.col("node").alias("part"), "root")
+    sized = top.join(members.groupBy("part").agg(F.count(F.lit(1)).alias("w")), "part")
+    alone = members.join(top.select("part"), "part", "left_anti").withColumn("root", F.col("part"))
+    members = alone.unionByName(lookup_join(members, sized, "part", "w")).select("id", "root", "part", "stratum", "split_name", "status")
+    kept_keys = state.keys.join(found.select("key"), "key", "left_anti").join(moved, "part", "left").select("key", F.coalesce("above", "part").alias("part"))
+    keys = kept_keys.unionByName(found.select("key", F.col("root").alias("part")))
+    return Components(written(keys, "split-keys"), written(marks.select(F.col("root").alias("part"), "split_name"), "split-splits"), written(members, "split-members"), bridges)
 
 
 def leads(state: Components) -> DataFrame:

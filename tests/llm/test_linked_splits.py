@@ -94,6 +94,31 @@ def test_batches_keep_splits_merge_and_quarantine(spark):
     assert {r.lead_build_id for r in leads(two).collect() if r.build_id == train[3]} == {1}
 
 
+def test_only_bridging_rows_are_quarantined_and_parts_keep_their_splits(spark):
+    t = spark.createDataFrame(TARGETS, "split_name string, target_share double")
+    first = [(10 + i, f"p{i}", f"s{i}", "x", "z", "z") for i in range(40)]
+    one = assign(spark.createDataFrame(first, SCHEMA), "id", ["a", "b"], "st", t)
+    was = {r.id: r.split_name for r in one.members.collect()}
+    train, other = [i - 10 for i, s in was.items() if s == "train"], [i - 10 for i, s in was.items() if s != "train"]
+    a, b, c, d = train[0], train[1], other[0], other[1]
+    second = [
+        (100, f"p{a}", f"s{c}", "x", "z", "z"), (101, f"p{a}", "n1", "x", "z", "z"), (102, "n2", f"s{c}", "x", "z", "z"),  # a bridge and rows beside it
+        (103, f"p{b}", "n3", "x", "z", "z"), (104, f"p{d}", "n3", "x", "z", "z"), (105, "n4", "n3", "x", "z", "z"),  # two rows bridge by a new key
+    ]
+    two = assign(spark.createDataFrame(second, SCHEMA), "id", ["a", "b"], "st", t, one)
+    now = {r.id: r for r in two.members.collect()}
+    assert now[100].status == "quarantined" and now[100].split_name is None
+    assert now[101].split_name == "train" and now[102].split_name == was[10 + c] and now[101].status == now[102].status == "kept"
+    assert sorted(now[i].status for i in (103, 104)) == ["kept", "quarantined"] and now[105].split_name is not None
+    third = [(200, f"p{a}", None, "x", "z", "z"), (201, None, f"s{c}", "x", "z", "z"), (202, "n2", None, "x", "z", "z"), (203, f"p{d}", None, "x", "z", "z"), (204, "n5", "n1", "x", "z", "z")]
+    three = assign(spark.createDataFrame(third, SCHEMA), "id", ["a", "b"], "st", t, two)
+    end = {r.id: r for r in three.members.collect()}
+    want = {200: "train", 201: was[10 + c], 202: was[10 + c], 203: was[10 + d], 204: "train"}
+    assert {i: end[i].split_name for i in want} == want and all(end[i].status == "kept" for i in want)
+    assert all(end[i].split_name == s for i, s in was.items()) and len(end) == 51
+    assert sum(r.status == "quarantined" for r in end.values()) == 2 and grouped(three) == components(first + second + third)
+
+
 def test_empty_table(spark):
     t = spark.createDataFrame(TARGETS, "split_name string, target_share double")
     state = assign(spark.createDataFrame([], SCHEMA), "id", ["a", "b"], "st", t)
