@@ -11,7 +11,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.assignment import assignment_scores
@@ -132,9 +132,26 @@ def unit_pairs(cus: DataFrame, elfs: DataFrame) -> DataFrame:
     return a.repartition("cu_unit").crossJoin(b)
 
 
+def with_edges(units: DataFrame, blocks: DataFrame, edges: DataFrame, unit: str, function: str) -> DataFrame:
+    """``units`` with ``edges``: arrays ``[caller, callee]`` of dense function numbers, from ``edges(unit, caller, callee)`` in ``function``'s values.
+
+    Edges of functions that are not among ``blocks`` are left out; a unit without edges has an empty array.
+    """
+    at = blocks.select(F.col(unit).alias("unit"), F.col(function).alias("f")).distinct().withColumn("n", (F.dense_rank().over(Window.partitionBy("unit").orderBy("f")) - 1).cast("int"))
+    e = edges.select(F.col(unit).alias("unit"), "caller", "callee").distinct()
+    for side in ("caller", "callee"):
+        e = e.join(at.select("unit", F.col("f").alias(side), F.col("n").alias(f"{side}_no")), ["unit", side])
+    e = e.groupBy("unit").agg(F.array_sort(F.collect_list(F.array("caller_no", "callee_no"))).alias("edges"))
+    return units.join(e, "unit", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<array<int>>")))
+
+
 def match_windows(cus: DataFrame, elfs: DataFrame, params: MatchParams) -> DataFrame:
-    """Windows of all pairs of units; pairs with an empty side have none."""
+    """Windows of all pairs of units; pairs with an empty side have none.
+
+    Call edges take part where both sides have ``edges`` (see ``with_edges``); without them the call gate is met.
+    """
     given = asdict(params)
+    called = "edges" in cus.columns and "edges" in elfs.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = MatchParams(**given)
@@ -143,7 +160,7 @@ def match_windows(cus: DataFrame, elfs: DataFrame, params: MatchParams) -> DataF
             for x in b.itertuples(index=False):
                 cu = (x.cu_n_functions, np.asarray(x.cu_functions, int), x.cu_vectors)
                 elf = (x.elf_n_functions, np.asarray(x.elf_functions, int), x.elf_vectors)
-                rows += [{"cu": str(x.cu_unit), "elf": str(x.elf_unit), **w} for w in match_pair(cu, elf, p)]
+                rows += [{"cu": str(x.cu_unit), "elf": str(x.elf_unit), **w} for w in match_pair(cu, elf, p, *(({tuple(map(int, e)) for e in es} for es in (x.cu_edges, x.elf_edges)) if called else ()))]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in WINDOW.split(", ")])
 
     return unit_pairs(cus, elfs).mapInPandas(run, WINDOW)

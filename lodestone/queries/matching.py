@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
@@ -16,13 +16,21 @@ from lodestone.plans.session import table
 TEST_PARAMS = M.MatchParams(block_threshold=0.32, coverage_mean=0.31, coverage_ratio=0.4, assignment_quality=0.15, assignment_ratio=0.05, call_edge_ratio=0.3, function_concentration=0.1, function_spread=0.1, function_coverage=0.3)
 
 
-def _units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Every fourth vector is a library block (ten units of three functions), the others are one binary of thirty functions."""
+def _units(spark: SparkSession, d: str, edges: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Every fourth vector is a library block (ten units of three functions), the others are one binary of thirty functions.
+
+    With ``edges`` the function of each block calls that of the unit's next block, by ``vec_id``.
+    """
     e = table(spark, d, "embeddings").withColumn("n_instructions", F.lit(9))
     is_cu = F.col("vec_id") % 4 == 0
     cu = e.filter(is_cu).select((F.floor(F.col("vec_id") / 4) % 10).alias("u"), (F.floor(F.col("vec_id") / 40) % 3).alias("f"), "vec_id", "embedding", "n_instructions")
     elf = e.filter(~is_cu).select(F.lit(0).alias("u"), (F.col("label") * 3 + F.col("vec_id") % 3).alias("f"), "vec_id", "embedding", "n_instructions")
-    return tuple(M.units(x, "u", "f", ["vec_id"], "embedding", "n_instructions") for x in (cu, elf))
+    both = [(x, M.units(x, "u", "f", ["vec_id"], "embedding", "n_instructions")) for x in (cu, elf)]
+    if not edges:
+        return tuple(u for _, u in both)
+    follow = F.lead("f").over(Window.partitionBy("u").orderBy("vec_id"))
+    calls = [x.select("u", F.col("f").alias("caller"), follow.alias("callee")).filter("callee is not null and caller <> callee") for x, _ in both]
+    return tuple(M.with_edges(u, x, c, "u", "f") for (x, u), c in zip(both, calls))
 
 
 def block_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -38,11 +46,11 @@ def block_best_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def full_match(spark: SparkSession, d: str) -> DataFrame:
-    return M.best_windows(M.match_windows(*_units(spark, d), TEST_PARAMS))
+    return M.best_windows(M.match_windows(*_units(spark, d, edges=True), TEST_PARAMS))
 
 
 def hungarian_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return M.match_windows(*_units(spark, d), TEST_PARAMS).select("cu", "window_start", "assignment_quality", "assignment_ratio", "evaluated")
+    return M.match_windows(*_units(spark, d, edges=True), TEST_PARAMS).select("cu", "window_start", "assignment_quality", "assignment_ratio", "evaluated")
 
 
 def negative_bound(spark: SparkSession, d: str) -> DataFrame:

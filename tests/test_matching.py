@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from lodestone.functions.assignment import assign_max, assignment_scores
 from lodestone.functions.source_tokens import source_tokens
 from lodestone.operators.decide import library_score
-from lodestone.operators.similarity import MatchParams, match_pair, rolling_max, window_size
+from lodestone.operators.similarity import MatchParams, match_pair, match_windows, rolling_max, units, window_size, with_edges
 
 
 @settings(max_examples=80, deadline=None)
@@ -65,3 +65,15 @@ def test_library_score(spark):
 def test_source_tokens_ignore_comments_and_layout():
     assert source_tokens('int  a = 1; // x\n/* "y" */ char *s = "/* no */";') == source_tokens('int a=1;\nchar*s="/* no */";')
     assert source_tokens('R"x(a//b)x" 1e+5 a->b') == ['R"x(a//b)x"', "1e+5", "a", "->", "b"]
+
+
+def test_call_gate_alone_rejects_a_window(spark):
+    """Equal units whose calls run the other way: only the call gate can tell."""
+    rows = [("u", f, i, [1.0 if d == i else 0.0 for d in range(2)], 9) for i, f in enumerate((10, 20))]
+    blocks = spark.createDataFrame(rows, "u string, f int, i int, v array<double>, n int")
+    one = units(blocks, "u", "f", ["i"], "v", "n")
+    side = lambda a, b: with_edges(one, blocks, spark.createDataFrame([("u", a, b), ("u", a, 99)], "u string, caller int, callee int"), "u", "f")
+    p = MatchParams(function_coverage=0.05, coverage_mean=0.9)
+    for elf, ratio, passed in ((side(10, 20), 1.0, True), (side(20, 10), 0.0, False), (one, 1.0, True)):
+        w = match_windows(side(10, 20), elf, p).collect()
+        assert [(x.call_edge_ratio, x.passed, x.evaluated) for x in w] == [(ratio, passed, True)]
