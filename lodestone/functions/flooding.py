@@ -94,10 +94,19 @@ def flood(a: SchemaGraph, b: SchemaGraph, seed: Mapping[tuple, float] = {}, roun
     return now[0]
 
 
-def correspondences(a: SchemaGraph, b: SchemaGraph, scores: np.ndarray, relative: float = 0.6, floor: float = 0.1) -> list[tuple[tuple, tuple, float]]:
-    """Consistent leaf correspondences: one to one, best score first, each at least ``relative`` of either side's best."""
+def correspondences(a: SchemaGraph, b: SchemaGraph, scores: np.ndarray, relative: float = 0.6, floor: float = 0.1, many: bool = False) -> list[tuple[tuple, tuple, float]]:
+    """Consistent leaf correspondences: one to one, best score first, each at least ``relative`` of either side's best.
+
+    With ``many`` every leaf of ``a`` takes each leaf of ``b`` whose score is at least ``relative`` of its best
+    and above its score with ``b``'s root, which stands for no counterpart (not for paths that hold objects too,
+    which are like any root); ``floor`` is then not asked for.
+    """
     s = np.where(np.outer(a.leaf, b.leaf), scores, 0.0)
     best_a, best_b = s.max(1, initial=0), s.max(0, initial=0)
+    if many:
+        nothing = np.where(a.child.any(1), 0.0, scores[:, b.paths.index(())])
+        good = np.argwhere((s > 0) & (s >= relative * best_a[:, None]) & (s > nothing[:, None]))
+        return [(a.paths[i], b.paths[j], float(s[i, j])) for i, j in good]
     good = np.argwhere((s >= floor) & (s >= relative * best_a[:, None]) & (s >= relative * best_b[None, :]))
     taken_a, taken_b, out = set(), set(), []
     for i, j in sorted(map(tuple, good), key=lambda ij: (-s[ij], a.paths[ij[0]] != b.paths[ij[1]], ij)):

@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.flooding import Leaf, SchemaGraph, correspondences, flood, trigrams
+from lodestone.functions import flooding
+from lodestone.functions.flooding import Leaf, SchemaGraph, correspondences, trigrams
 from lodestone.plans.session import cut
 
 LEAF = "array<struct<path:array<string>,kind:string>>"
@@ -100,10 +101,11 @@ def file_schemas(lines: DataFrame) -> DataFrame:
 def target_matcher(markers: Mapping[str, tuple[str, str]]):
     """``leaves -> [(field, path, kind)]``: flooding of a file's schema graph with the target's.
 
-    ``markers`` has of each target field the letters its keys carry and its JSON type. A path that
-    carries a field's letters starts from the top score with it, and any other from its names'
-    likeness; after convergence an exact check keeps what carries the letters. A file may spread a
-    field over several paths, so a target field may take more than one.
+    ``markers`` has of each target field the letters its keys carry and its JSON type. The letters are the
+    string matcher that gives the flooding its first scores; any other pair starts from its names' likeness.
+    After convergence ``correspondences`` selects, for each path, the target fields that stand out in its
+    scores; an exact check then drops what was selected without the letters. A file may spread a field over
+    several paths, and a path may carry the letters of more than one field.
     """
     target = SchemaGraph([((f,), kind) for f, (_, kind) in markers.items()])
 
@@ -120,23 +122,29 @@ def target_matcher(markers: Mapping[str, tuple[str, str]]):
     def one(leaves: list[Leaf]) -> list[tuple[str, tuple[str, ...], str]]:
         own = SchemaGraph(leaves)
         carries = {(p, (f,)): 1.0 for p in own.paths for f, (mark, _) in markers.items() if mark in "/".join(p).lower()}
-        scores = flood(own, target, carries)
-        at = {p: i for i, p in enumerate(own.paths)}
-        out = []
-        for path, kind in leaves:
-            row = scores[at[path]]
-            for j, field in enumerate(target.paths):
-                if field and (path, field) in carries and row[j] > 0:
-                    out.append((field[0], path, kind))
-        return out
+        chosen: dict[tuple[str, ...], list[str]] = {}
+        for path, field, _ in correspondences(own, target, flooding.flood(own, target, carries), relative=0.35, many=True):
+            if (path, field) in carries:
+                chosen.setdefault(path, []).append(field[0])
+        return [(f, path, kind) for path, kind in leaves for f in chosen.get(path, ())]
 
     return match
 
 
-def _prior(files: DataFrame) -> DataFrame:
-    """Every file with ``prior``, the leaves of the file with the next lower ``file_seq`` of its campaign."""
+def _pairs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(file_id, prior_key, leaves_key)`` of every file whose schema is another than that of the file before it in its
+    campaign, and the distinct pairs of schemas ``(prior_key, leaves_key, prior, leaves)``.
+
+    Only keys of schemas meet in a campaign's window; there are few distinct schemas, however many files.
+    """
+    keyed = files.filter("campaign_id is not null and file_seq is not null").select("campaign_id", "file_seq", "file_id", F.xxhash64("leaves").alias("leaves_key"), "leaves")
     before = Window.partitionBy("campaign_id").orderBy("file_seq").rangeBetween(Window.unboundedPreceding, -1)
-    return files.filter("campaign_id is not null and file_seq is not null").withColumn("prior", F.max(F.struct("file_seq", "file_id", "leaves")).over(before)["leaves"])
+    prior = F.max(F.struct("file_seq", "file_id", "leaves_key")).over(before)["leaves_key"]
+    pairs = keyed.select("campaign_id", "file_seq", "file_id", "leaves_key").withColumn("prior_key", prior)
+    pairs = pairs.filter("prior_key is not null and prior_key <> leaves_key").select("file_id", "prior_key", "leaves_key")
+    schemas = keyed.groupBy("leaves_key").agg(F.first("leaves").alias("leaves"))
+    distinct = pairs.select("prior_key", "leaves_key").distinct().join(schemas, "leaves_key").join(schemas.toDF("prior_key", "prior"), "prior_key")
+    return pairs, distinct.repartition("prior_key", "leaves_key")
 
 
 def _read(leaves) -> list[Leaf]:
@@ -154,7 +162,7 @@ def field_changes(files: DataFrame, markers: Mapping[str, tuple[str, str]]) -> D
     takes part as one that has no field. Files without campaign or sequence are left out. Paths
     and types are joined by ``|`` where a file has several.
     """
-    schema = "file_id bigint, field_name string, change_kind string, old_path string, new_path string, old_type string, new_type string"
+    schema = "prior_key bigint, leaves_key bigint, field_name string, change_kind string, old_path string, new_path string, old_type string, new_type string"
     seen: list[tuple] = list(markers.items())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,7 +183,7 @@ def field_changes(files: DataFrame, markers: Mapping[str, tuple[str, str]]) -> D
 
         for b in batches:
             rows = []
-            for file_id, old, new in zip(b["file_id"], b["prior"], b["leaves"]):
+            for pk, lk, old, new in zip(b["prior_key"], b["leaves_key"], b["prior"], b["leaves"]):
                 was, has = fields(old), fields(new)
                 for f, _ in seen:
                     (op, ok), (np_, nk) = was.get(f, ((), ())), has.get(f, ((), ()))
@@ -183,11 +191,11 @@ def field_changes(files: DataFrame, markers: Mapping[str, tuple[str, str]]) -> D
                     if op and np_:
                         kinds = ["renamed"] * (op != np_) + ["retyped"] * (ok != nk)
                     shown = ["|".join(sorted(map(_text, op))) or None, "|".join(sorted(map(_text, np_))) or None, "|".join(sorted(ok)) or None, "|".join(sorted(nk)) or None]
-                    rows += [(file_id, f, k, *shown) for k in kinds]
+                    rows += [(pk, lk, f, k, *shown) for k in kinds]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
-    pairs = _prior(files).filter("prior is not null and prior <> leaves").select("file_id", "prior", "leaves")
-    return pairs.repartition("file_id").mapInPandas(run, schema)
+    pairs, distinct = _pairs(files)
+    return pairs.join(distinct.mapInPandas(run, schema), ["prior_key", "leaves_key"]).drop("prior_key", "leaves_key")
 
 
 def all_changes(files: DataFrame) -> DataFrame:
@@ -210,7 +218,7 @@ def all_changes(files: DataFrame) -> DataFrame:
                 same = set(kinds[0]) & set(kinds[1])
                 a, c = SchemaGraph(was), SchemaGraph(has)
                 # a key both files have under one path corresponds to itself
-                s = flood(a, c, {(p, p): 1.0 for p in same})
+                s = flooding.flood(a, c, {(p, p): 1.0 for p in same})
                 at, bt = {p: i for i, p in enumerate(a.paths)}, {p: i for i, p in enumerate(c.paths)}
                 for p in same:
                     s[at[p], :] = 0
@@ -229,18 +237,26 @@ def all_changes(files: DataFrame) -> DataFrame:
                 rows += [(ok, nk, "added", None, _text(q), None, k, None) for q, k in kinds[1].items() if q not in {x[1] for x in pairs}]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
-    pairs = _prior(files).filter("prior is not null and prior <> leaves").select("file_id", F.xxhash64("prior").alias("prior_key"), F.xxhash64("leaves").alias("leaves_key"), "prior", "leaves")
-    distinct = pairs.groupBy("prior_key", "leaves_key").agg(F.first("prior").alias("prior"), F.first("leaves").alias("leaves"))
-    found = distinct.repartition("prior_key", "leaves_key").mapInPandas(run, schema)
-    return pairs.select("file_id", "prior_key", "leaves_key").join(found, ["prior_key", "leaves_key"]).drop("prior_key", "leaves_key")
+    pairs, distinct = _pairs(files)
+    return pairs.join(distinct.mapInPandas(run, schema), ["prior_key", "leaves_key"]).drop("prior_key", "leaves_key")
+
+
+def rejected(lines: DataFrame) -> DataFrame:
+    """The lines that ``unified`` cannot read: ``file_id, line_no, reason``, each once.
+
+    ``reason`` is ``null``, ``empty``, ``broken`` (cut off, trailing text, or a key named twice) or ``no_object``.
+    """
+    read = with_object(lines.select("file_id", "line_no", "payload"), "payload")
+    reason = F.when(F.col("payload").isNull(), "null").when(F.trim("payload") == "", "empty").when(F.col("__shape").isNull(), "broken").otherwise("no_object")
+    return read.filter(F.col("__object").isNull()).select("file_id", "line_no", reason.alias("reason")).distinct()
 
 
 def unified(lines: DataFrame, files: DataFrame, markers: Mapping[str, tuple[str, str]], casts: Mapping[str, object]) -> DataFrame:
     """Every distinct whole line of every file with one typed column for each target field.
 
     ``casts`` has of each field a function from the raw text to the typed column. A line delivered
-    twice comes out once. The paths of a file come from its own schema, so no name is fixed; a key with a quote in its name
-    cannot be addressed and gives null. Lines that are no whole object are left out.
+    twice comes out once. The paths of a file come from its own schema, so no name is fixed; a key that has
+    both a quote and a dot or bracket cannot be addressed and gives null. Lines that are no whole object are in ``rejected``.
     """
     schema = "file_id bigint, " + ", ".join(f"`{f}` array<string>" for f in markers)
     seen = list(markers.items())
@@ -252,8 +268,8 @@ def unified(lines: DataFrame, files: DataFrame, markers: Mapping[str, tuple[str,
             for file_id, leaves in zip(b["file_id"], b["leaves"]):
                 paths: dict[str, list[str]] = {f: [] for f, _ in seen}
                 for f, path, _ in match(_read(leaves)):
-                    if not any("'" in x for x in path):
-                        paths[f].append("$" + "".join(f"['{x}']" for x in path))
+                    if not any("'" in x and set(x) & set(".[") for x in path):
+                        paths[f].append("$" + "".join(f".{x}" if "'" in x else f"['{x}']" for x in path))
                 rows.append((file_id, *(sorted(set(paths[f])) for f, _ in seen)))
             yield pd.DataFrame(rows, columns=["file_id", *(f for f, _ in seen)])
 

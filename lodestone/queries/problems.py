@@ -30,12 +30,24 @@ def p1_changes(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.all_changes(files)
 
 
+def p1_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Paths that each file lost and gained, and those whose type changed in place: what the reported changes must add up to."""
+    c = p1_changes(spark, d)
+    old, new, both = F.col("old_path"), F.col("new_path"), F.coalesce(F.col("old_path") == F.col("new_path"), F.lit(False))
+    gone, come = F.count_distinct(F.when(~both & (F.col("change_kind") != "added"), old)), F.count_distinct(F.when(~both & (F.col("change_kind") != "removed"), new))
+    return c.groupBy("file_id").agg(gone.alias("gone"), come.alias("come"), F.count_distinct(F.when(both & (F.col("change_kind") == "retyped"), old)).alias("retyped"))
+
+
 def p1_unified(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "feature_logs")
     files = written(schema_drift.file_schemas(lines), "file-schemas")
     return schema_drift.unified(lines, files, MARKERS, CASTS)
 
 
+def p1_rejects(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.rejected(table(spark, d, "feature_logs"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     parts = [
         hot_keys.hot_keys(table(spark, d, t), key).select(F.lit(key).alias("field_name"), F.col("key_value").cast("string").alias("key_value"))
@@ -67,7 +79,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_counts(_orphans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_unified, p2_found, p2_names, p2_source_blocks, p6_found, p6_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_balance, p1_unified, p1_rejects, p2_found, p2_names, p2_source_blocks, p6_found, p6_counts)}
 
 _LATEST = "row_number() OVER (PARTITION BY {k} ORDER BY {o}) AS rn"
 _ORPHANS = """
@@ -90,6 +102,8 @@ q AS (SELECT *, lag(file_id) OVER (PARTITION BY campaign_id ORDER BY file_seq) A
 d AS (SELECT q.file_id, m.field_name, a.paths AS op, b.paths AS np, a.kinds AS ok, b.kinds AS nk FROM q CROSS JOIN m
   LEFT JOIN f a ON a.file_id = q.prior AND a.field_name = m.field_name LEFT JOIN f b ON b.file_id = q.file_id AND b.field_name = m.field_name WHERE q.prior IS NOT NULL)
 """
+_PATHS = _TREE[: _TREE.index("m AS (SELECT * FROM (VALUES")] + """p AS (SELECT file_id, path, list_sort(list(DISTINCT CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' ELSE 'number' END)) AS kinds
+  FROM t WHERE json_type(v) NOT IN ('OBJECT', 'NULL') GROUP BY ALL)"""
 
 SQL = {
     "p1_found": _TREE + """SELECT file_id, field_name, 'added' AS change_kind FROM d WHERE op IS NULL AND np IS NOT NULL
@@ -104,6 +118,14 @@ t(file_id, line_no, payload, path, v) AS (
 l AS (SELECT file_id, line_no, payload, path, lower(path) AS low, trim(CASE json_type(v) WHEN 'VARCHAR' THEN v->>'$' ELSE replace(v::VARCHAR, ', ', ',') END) AS x FROM t WHERE json_type(v) NOT IN ('OBJECT', 'NULL')),
 f AS (SELECT file_id, line_no, payload, min_by(x, path) FILTER (contains(low, 'schema')) AS a, min_by(x, path) FILTER (contains(low, 'norm')) AS b, min_by(x, path) FILTER (contains(low, 'pool')) AS c FROM l GROUP BY ALL)
 SELECT file_id, line_no, try_cast(nullif(regexp_extract(a, '([0-9]+)', 1), '') AS INT) AS feature_schema_version, b AS asm_normalization, c AS palmtree_pooling FROM f""",
+    "p1_rejects": """
+WITH l AS (SELECT DISTINCT file_id, line_no, payload, coalesce(json_valid(payload), false) AS ok FROM feature_logs), k AS (SELECT *, CASE WHEN ok THEN json_type(payload) END AS kind FROM l)
+SELECT DISTINCT file_id, line_no, CASE WHEN payload IS NULL THEN 'null' WHEN trim(payload) = '' THEN 'empty' WHEN NOT ok THEN 'broken' ELSE 'no_object' END AS reason FROM k WHERE kind IS DISTINCT FROM 'OBJECT'""",
+    "p1_balance": _PATHS + """,
+q AS (SELECT *, lag(file_id) OVER (PARTITION BY campaign_id ORDER BY file_seq) AS prior FROM (SELECT DISTINCT campaign_id, file_seq, file_id FROM l)),
+n AS (SELECT q.file_id, p.path, p.kinds, 1 AS side FROM q JOIN p ON p.file_id = q.file_id WHERE prior IS NOT NULL UNION ALL SELECT q.file_id, p.path, p.kinds, 0 FROM q JOIN p ON p.file_id = q.prior),
+g AS (SELECT file_id, path, count(*) FILTER (side = 0) AS o, count(*) FILTER (side = 1) AS w, count(DISTINCT kinds) AS k FROM n GROUP BY ALL)
+SELECT file_id, count(*) FILTER (w = 0) AS gone, count(*) FILTER (o = 0) AS come, count(*) FILTER (o = 1 AND w = 1 AND k = 2) AS retyped FROM g GROUP BY file_id HAVING count(*) FILTER (w = 0 OR o = 0 OR k = 2) > 0""",
     "p2_found": """SELECT 'name' AS field_name, name AS key_value FROM archive_members WHERE name IS NOT NULL GROUP BY name HAVING count(*) >= 0.02 * (SELECT count(*) FROM archive_members)
 UNION ALL SELECT 'num_source_blocks', num_source_blocks::VARCHAR FROM block_matches WHERE num_source_blocks IS NOT NULL GROUP BY num_source_blocks HAVING count(*) >= 0.02 * (SELECT count(*) FROM block_matches)""",
     "p2_names": f"""WITH x AS (SELECT *, {_LATEST.format(k="name", o="extracted_at DESC NULLS LAST, ingested_at DESC NULLS LAST, member_id DESC NULLS LAST")} FROM archive_members)

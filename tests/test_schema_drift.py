@@ -1,7 +1,11 @@
 import json
+import random
+
+import numpy as np
 
 from lodestone.functions.flooding import SchemaGraph, correspondences, flood
-from lodestone.operators.schema_drift import all_changes, field_changes, file_schemas, read_shape, unified, with_object
+from lodestone.functions import flooding
+from lodestone.operators.schema_drift import all_changes, field_changes, file_schemas, read_shape, rejected, target_matcher, unified, with_object
 from lodestone.queries.problems import CASTS, MARKERS
 
 SCHEMA = "file_id bigint, campaign_id bigint, file_seq int, line_no int, payload string, leaves string, shape int"
@@ -61,3 +65,34 @@ def test_all_changes_reports_renaming(spark):
     df = lines(spark, [(1, 1, 1, [json.dumps(old)]), (2, 1, 2, [json.dumps(new)])])
     got = {(r.change_kind, r.old_path, r.new_path) for r in all_changes(file_schemas(df)).collect()}
     assert got == {("renamed", "best_score", "scores.best"), ("retyped", "windows_total", "windows_total")}
+
+
+WORDS = ["schema", "norm", "pool", "lib", "name", "version", "meta", "cfg", "best_score", "normPoolSchema", "palmtree_pooling", "POOLED", "renormed"]
+
+
+def carried(leaves):
+    return {(f, p) for p, _ in leaves for f, (mark, _) in MARKERS.items() if mark in "/".join(p).lower()}
+
+
+def random_leaves(rng):
+    path = lambda: tuple("".join(rng.sample(WORDS, rng.randint(1, 2))) for _ in range(rng.randint(1, 4)))
+    return sorted({(path(), rng.choice(["string", "number", "array"])) for _ in range(rng.randint(0, 20))})
+
+
+def test_flooding_selects_every_path_with_a_fields_letters():
+    rng, match = random.Random(5), target_matcher(MARKERS)
+    for _ in range(300):
+        leaves = random_leaves(rng)
+        assert {(f, p) for f, p, _ in match(leaves)} == carried(leaves)
+
+
+def test_without_flooding_nothing_is_selected(monkeypatch):
+    monkeypatch.setattr(flooding, "flood", lambda a, b, seed=None: np.ones((len(a.paths), len(b.paths))))
+    assert target_matcher(MARKERS)([(("schema",), "number"), (("norm",), "string")]) == []
+
+
+def test_rejected_lines_and_quoted_keys(spark):
+    df = lines(spark, [(1, 1, 1, ['{"norm": 1}', '{"norm": 1', "", None, "[1]", '{"a": 1, "a": 2}', '{"it\'s norm": "q"}'])])
+    assert {(r.line_no, r.reason) for r in rejected(df).collect()} == {(1, "broken"), (2, "empty"), (3, "null"), (4, "no_object"), (5, "broken")}
+    got = {r.line_no: r.asm_normalization for r in unified(df, file_schemas(df), MARKERS, CASTS).collect()}
+    assert got == {0: "1", 6: "q"}
