@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of written tables that are marked for deletion at the end of their application.
+_swept: set[str] = set()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a scale folder: one parquet file, or a folder of part files."""
@@ -16,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary folder is set.
+    Only on one machine (tests) a temporary folder is set where the session names none; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -26,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     own = sc.getCheckpointDir()
     if own is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestone-"))
         own = sc.getCheckpointDir()
     return own.rstrip("/")
@@ -38,8 +43,13 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back; survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it back; survives lost executors. The folder goes when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}"
+    if folder not in _swept:
+        _swept.add(folder)
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
