@@ -142,5 +142,7 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.02) -> DataFrame:
 
     Rows with a null key count among all rows; a value at exactly the share is in. An empty table gives no row.
     """
-    total = df.agg(F.count(F.lit(1)).alias("n"))
-    return dense_key_stats(df, key).filter(F.col("key_value").isNotNull() & (F.col("n") >= F.lit(share * (1 - 1e-12)) * total.scalar()))
+    stats = dense_key_stats(df, key)
+    # the same partial arrays, whose shuffle both uses read: the table is scanned once
+    total = stats.agg(F.sum("n").alias("n"))
+    return stats.filter(F.col("key_value").isNotNull() & (F.col("n") >= F.lit(share * (1 - 1e-12)) * total.scalar()))
