@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,3 +23,19 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, weight: str, share:
     names = F.broadcast(heavy.select(key))
     rest = left.join(names, key, "left_anti").join(right.join(names, key, "left_anti").drop(weight), key)
     return left.join(F.broadcast(heavy.drop(weight)), key).unionByName(rest)
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], share: float = 0.001, salts: int = 32) -> DataFrame:
+    """Inner join in which keys that hold ``share`` of the rows of ``right`` are split over ``salts`` tasks.
+
+    At most ``1 / share`` keys are heavy, and their list is broadcast; their rows of ``left`` are repeated for each
+    salt, all others are joined once. Both sides should be written tables, as each is read twice. Null keys match nothing.
+    """
+    keys = list(keys)
+    counts = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    heavy = F.broadcast(heavy_part(counts, "__n", share).select(*keys, F.lit(True).alias("__hot")))
+    own = F.pmod(F.xxhash64(*right.columns), F.lit(salts)).cast("int")
+    r = right.join(heavy, keys, "left").withColumn("__salt", F.when(F.col("__hot"), own).otherwise(0)).drop("__hot")
+    each = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    l = left.join(heavy, keys, "left").withColumn("__salt", F.explode(each)).drop("__hot")
+    return l.join(r, [*keys, "__salt"]).drop("__salt")
