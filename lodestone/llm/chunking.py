@@ -78,14 +78,14 @@ def cut_points(data: bytes, ends: np.ndarray, limit: int, room: int) -> list[int
     return sorted(cuts)
 
 
-def pieces(text: str, enc, limit: int = 768, overlap: int = 64) -> list[tuple[int, int, int, str, int, int]]:
+def pieces(text: str, enc, limit: int = 768, overlap: int = 64, ids: list[int] | None = None) -> list[tuple[int, int, int, str, int, int]]:
     """``(piece_no, start, end, piece, n_tokens, n_overlap)`` of a text; offsets are characters, ``start`` the first after the overlap.
 
-    Tokens next to a cut may merge differently than in the whole text, so each piece is counted again
+    ``ids`` are the text's tokens, if they are known. Tokens next to a cut may merge differently than in the whole text, so each piece is counted again
     by itself; one above the limit gives up overlap, and is halved again if that does not do.
     """
     data = text.encode("utf-8")
-    ids = enc.encode_ordinary(text)
+    ids = enc.encode_ordinary(text) if ids is None else ids
     sizes = np.fromiter((len(enc.decode_single_token_bytes(i)) for i in ids), np.int64, len(ids))
     ends = np.cumsum(sizes)
     whole = np.frombuffer(data + b"a", np.uint8)
@@ -135,8 +135,9 @@ def chunk(docs: DataFrame, id_col: str, text_col: str, limit: int = 768, overlap
         for b in batches:
             rows = []
             for i, text in zip(b["doc_id"], b["__text"]):
-                if len(enc.encode_ordinary(text)) > limit:
-                    rows += [(i, *p) for p in pieces(text, enc, limit, overlap)]
+                ids = enc.encode_ordinary(text)
+                if len(ids) > limit:
+                    rows += [(i, *p) for p in pieces(text, enc, limit, overlap, ids)]
             yield pd.DataFrame(rows, columns=["doc_id", "piece_no", "start", "end", "piece", "n_tokens", "overlap_chars"])
 
     return src.mapInPandas(run, f"doc_id {kind}, piece_no int, start bigint, end bigint, piece string, n_tokens int, overlap_chars int")

@@ -1,8 +1,9 @@
-"""Most similar vectors for every vector, by shifted space-filling curves or by an exact scan.
+"""Most similar vectors for every vector, by shifted space-filling curves or by an exact scan of a query set.
 
 Equal vectors are searched once, by their smallest id, and expanded after the search. The curves:
 vectors are projected by several random rotations; on each projection, moved by a random
-shift, a Hilbert curve gives every vector a key. Rows are range-partitioned by curve and key, each row
+shift, a Hilbert curve gives every vector a key. Rows are range-partitioned by curve and key (the
+boundaries come from a bounded sample, so keys are made once), each row
 is compared with the rows of a window around it in key order, and the windows' best of all curves are
 merged. Rows whose windows are crowded with near vectors are searched again by the exact scan. On
 the curves vectors travel as 16-bit integers with a scale (cosines within about 1e-5).
@@ -10,13 +11,16 @@ the curves vectors travel as 16-bit integers with a scale (cosines within about
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lodestone.operators.truth import sharded
 from lodestone.plans.session import written
 from lodestone.plans.skew import lookup_join
 
@@ -69,7 +73,7 @@ def _unpacked(b: pa.RecordBatch, dim: int) -> np.ndarray:
 def all_pairs(queries: DataFrame, base: DataFrame, k: int, dim: int, block: int = 65536) -> DataFrame:
     """``(id, near)``: the ``k`` nearest others in ``base`` of each of ``queries``, both ``id, scale, vec`` with each id once.
 
-    Exact: blocks of at most about ``block`` queries each meet every row of ``base``, which is streamed, so the
+    Exact, cosines equal to six places being ties: blocks of at most about ``block`` queries each meet every row of ``base``, which is streamed, so the
     work is the product of both and ``base`` is shuffled once a block.
     """
     wide = queries.sparkSession.sparkContext.defaultParallelism
@@ -106,12 +110,13 @@ def all_pairs(queries: DataFrame, base: DataFrame, k: int, dim: int, block: int
                     floor = score[at : at + 512, -1]
                     if floor.min() <= -2 and len(other) > k + 1:
                         floor = np.maximum(floor, np.partition(sim, -k - 1, axis=1)[:, -k - 1])
-                    hit = np.flatnonzero(sim >= floor[:, None])
+                    hit = np.flatnonzero(sim >= floor[:, None] - np.float32(1e-6))
                     if not len(hit):
                         continue
                     r, j = np.divmod(hit, len(other))
                     rows = np.unique(r)
-                    s, o = np.r_[sim[r, j], score[at + rows].ravel()], np.r_[other[j], found[at + rows].ravel()]
+                    # cosines are told apart to six places, below which they are rounding
+                    s, o = np.r_[np.round(sim[r, j], 6), score[at + rows].ravel()], np.r_[other[j], found[at + rows].ravel()]
                     r = np.r_[r, np.repeat(rows, k + 1)]
                     by = np.lexsort((o, -s, r))
                     first = np.searchsorted(r[by], rows)
@@ -132,19 +137,42 @@ def all_pairs(queries: DataFrame, base: DataFrame, k: int, dim: int, block: int
     return asked.unionByName(given).repartitionById(groups, "g").sortWithinPartitions("base").drop("g").mapInArrow(scan, "id bigint, near array<struct<far:float,id:bigint>>")
 
 
+def curve_keys(v: np.ndarray, turn: np.ndarray, shift: np.ndarray, bits: int) -> np.ndarray:
+    """Hilbert keys of unit vectors on one curve."""
+    # unit vectors projected to one axis are nearly normal with deviation 1 / sqrt(dim): make them uniform
+    x = v @ turn * np.float32(np.sqrt(v.shape[1]))
+    u = 0.5 * (1 + np.tanh(0.7978845608 * (x + 0.044715 * x**3)))
+    return hilbert_key(np.minimum(((u + shift) * (1 << (bits - 1))).astype(np.uint32), (1 << bits) - 1), bits).astype(np.int64)
+
+
 def nearest(
-    df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int = 64, min_similarity: float = -1.0, curves: int = 6, project: int = 15, bits: int = 4, window: int = 128, seed: int = 20250101, exact: bool = False, crowd: float = 0.9
+    df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int = 64, min_similarity: float = -1.0, curves: int = 6, project: int = 15, bits: int = 4, window: int = 128, seed: int = 20250101, exact: bool = False, crowd: float = 0.9,
+    queries: str = "true", sample: int = 20_000, part_rows: int = 65_536,
 ) -> DataFrame:
     """For every vector its ``k`` most similar others: ``id, neighbour_id, similarity, rank``.
 
     Similarity is the cosine; ``min_similarity`` drops neighbours below it. Only vectors of ``dim``
     finite numbers that are not all zero take part. Rows that repeat an id count once. Among neighbours
-    of equal similarity the smaller id comes first, for any number of equal vectors. With ``exact`` every
-    vector meets every other; else the search is approximate: a neighbour is missed when no curve brings
+    of equal similarity the smaller id comes first, for any number of equal vectors. ``queries`` is a condition
+    on ``id``: neighbours come from all vectors, but only of these ids. With ``exact`` every query meets every
+    vector, in blocks; else the search is approximate: a neighbour is missed when no curve brings
     it within ``window`` places, but rows that have ``window // 2`` vectors at ``min_similarity`` (or
     ``crowd``, if none is given) in a window meet every other vector too; see the README for measured
-    recall. Null ids take no part; an empty table gives no row.
+    recall. At most ``sample`` vectors, about, give the boundaries of the range partitions of ``part_rows`` rows
+    each; all vectors are indexed. Ids are integers or any other ordered type. Null ids take no part; an
+    empty table gives no row.
     """
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        at = sharded(df.select(F.col(id_col).alias("__id")).filter("__id is not null").distinct(), ["__id"], 1).select("__id", "position")
+        at = written(at.withColumn("__asked", F.expr(re.sub(r"\bid\b", "__id", queries))), "knn-ids")
+        chosen = at.filter("__asked")
+        plain = df.select(F.col(id_col).alias("__id"), F.col(vector_col).alias("__v")).join(at, "__id")
+        plain = plain.select(F.when(F.col("__asked"), 2 * F.col("position")).otherwise(2 * F.col("position") + 1).alias("__no"), "__v")
+        out = nearest(plain, "__no", "__v", k, dim, min_similarity, curves, project, bits, window, seed, exact, crowd, "id % 2 = 0", sample, part_rows)
+        back = at.select(F.when(F.col("__asked"), 2 * F.col("position")).otherwise(2 * F.col("position") + 1).alias("neighbour_id"), F.col("__id").alias("__near"))
+        out = out.join(back, "neighbour_id").join(chosen.select((2 * F.col("position")).alias("id"), "__id"), "id")
+        return out.select(F.col("__id").alias("id"), F.col("__near").alias("neighbour_id"), "similarity", "rank")
     project = min(project, dim, 63 // bits)
     finite = F.forall(F.col("__v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("__v")).filter(F.col("id").isNotNull() & (F.size("__v") == dim))
@@ -162,19 +190,19 @@ def nearest(
             blob = pa.Array.from_buffers(pa.binary(short.itemsize * dim), len(v), [None, pa.py_buffer(short.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(top.astype(np.float32)), blob], names=["id", "scale", "vec"])
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns = _curves(dim, curves, project, seed)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v = _unpacked(b, dim)
-            for c, (turn, shift) in enumerate(turns):
-                # unit vectors projected to one axis are nearly normal with deviation 1 / sqrt(dim): make them uniform
-                x = v @ turn * np.float32(np.sqrt(dim))
-                u = 0.5 * (1 + np.tanh(0.7978845608 * (x + 0.044715 * x**3)))
-                cells = np.minimum(((u + shift) * (1 << (bits - 1))).astype(np.uint32), (1 << bits) - 1)
-                key = hilbert_key(cells, bits).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c, np.int32)), pa.array(key), b.column("id"), b.column("scale"), b.column("vec")], names=["curve", "key", "id", "scale", "vec"])
+    def keyed_by(bounds: list[np.ndarray]):
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            turns = _curves(dim, curves, project, seed)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                v = _unpacked(b, dim)
+                for c, (turn, shift) in enumerate(turns):
+                    key = curve_keys(v, turn, shift, bits)
+                    part = c * (len(bounds[c]) + 1) + np.searchsorted(bounds[c], key, side="right")
+                    yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(np.full(len(v), c, np.int32)), pa.array(key), b.column("id"), b.column("scale"), b.column("vec")], names=["part", "curve", "key", "id", "scale", "vec"])
+
+        return keyed
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = 1024
@@ -234,18 +262,29 @@ def nearest(
         yield from best(len(ids))
 
     points = src.mapInArrow(packed, "id bigint, scale float, vec binary")
-    base = written(points.groupBy("vec", "scale").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count(F.lit(1)).alias("w")), "knn-vectors")
+    base = written(points.withColumn("asked", F.expr(queries)).groupBy("vec", "scale").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count(F.lit(1)).alias("w"), F.bool_or("asked").alias("asked")), "knn-vectors")
+    rows = base.count()
     if exact:
-        near = all_pairs(base, base, k, dim)
+        near = all_pairs(base.filter("asked"), base, k, dim)
     else:
-        points_of = base.select("id", "scale", "vec").mapInArrow(keyed, "curve int, key bigint, id bigint, scale float, vec binary")
-        lines = points_of.repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id")
+        # partitions follow a sample's quantiles: as many to a curve as its rows need, and at least one a core in all
+        wide = max(-(-rows // part_rows), -(-df.sparkSession.sparkContext.defaultParallelism // curves), 1)
+        drawn = base.select("id", "scale", "vec").sample(min(1.0, sample / max(rows, 1)), seed=7).toArrow() if rows else None
+        bounds = [np.empty(0, np.int64)] * curves
+        if drawn is not None and drawn.num_rows and wide > 1:
+            v = _unpacked(drawn.combine_chunks().to_batches()[0], dim)
+            marks = np.arange(1, wide) * len(v) // wide
+            bounds = [np.sort(curve_keys(v, turn, shift, bits))[marks] for turn, shift in _curves(dim, curves, project, seed)]
+        else:
+            wide = 1
+        points_of = base.select("id", "scale", "vec").mapInArrow(keyed_by(bounds), "part int, curve int, key bigint, id bigint, scale float, vec binary")
+        lines = points_of.repartitionById(wide * curves, "part").sortWithinPartitions("curve", "key", "id").drop("part")
         found = lines.mapInArrow(scan, "id bigint, near array<struct<far:float,id:bigint>>, full boolean")
         # at most curves * k candidates a row; one found on several curves is kept once
         near = written(found.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"), F.max("full").alias("full")), "knn-near")
         crowded = near.filter("full").select("id")
         if not crowded.isEmpty():
-            asked = base.join(crowded, "id", "left_semi")
+            asked = base.filter("asked").join(crowded, "id", "left_semi")
             near = near.filter("not full").select("id", "near").unionByName(all_pairs(asked, base, k, dim))
     # an id that has several vectors counts once
     near = near.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
@@ -265,5 +304,5 @@ def nearest(
         sized = full.withColumnRenamed("id", "rep").join(members.groupBy("rep").agg(F.count(F.lit(1)).alias("w")), "rep")
         near = full.unionByName(lookup_join(members.filter("id <> rep"), sized, "rep", "w").select("id", "near"))
     merged = near.select("id", F.expr(f"aggregate(near, slice(near, 1, 0), (best, x) -> if(x.id = id or size(best) >= {k} or exists(best, y -> y.id = x.id), best, concat(best, array(x))))").alias("near"))
-    rows = merged.select("id", F.posexplode("near").alias("rank", "n"))
+    rows = merged.filter(queries).select("id", F.posexplode("near").alias("rank", "n"))
     return rows.select("id", F.col("n.id").alias("neighbour_id"), (-F.col("n.far")).cast("double").alias("similarity"), (F.col("rank") + 1).alias("rank")).filter(F.col("similarity") >= min_similarity)

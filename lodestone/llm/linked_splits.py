@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.plans.session import cut, written
@@ -30,6 +30,25 @@ class Components:
     members: DataFrame
     bridges: DataFrame | None = None
 
+    def save(self, path: str, version: int) -> None:
+        """Write the state below ``path`` as ``version``; its last table commits it, so a version that was cut short is never read."""
+        for name in ("keys", "splits", "members", "bridges"):
+            table = getattr(self, name)
+            if table is not None:
+                table.write.mode("overwrite").parquet(f"{path}/v={version}/{name}")
+        done = self.keys.sparkSession.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(self.bridges is not None).alias("bridged"))
+        done.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Components | None:
+        """The latest committed state below ``path``; None where none is."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return None
+        last = spark.read.parquet(f"{path}/commits").agg(F.max(F.struct("version", "bridged")).alias("m")).first().m
+        names = ["keys", "splits", "members"] + ["bridges"] * last.bridged
+        return Components(**{n: spark.read.parquet(f"{path}/v={last.version}/{n}") for n in names})
+
 
 def flatten_links(links: DataFrame) -> DataFrame:
     """Pointer jumping: ``links(child, parent)``, a forest with one parent a child, to ``(child, root)``."""
@@ -142,9 +161,10 @@ def assign(batch: DataFrame, id_col: str, key_cols: Sequence[str], stratum: str,
     id of the component: its smallest row when it was first seen), ``split_name``, and ``status``: ``kept`` or ``new`` by whether the component had a
     split before, or ``quarantined`` with a null split for rows that would merge components of
     different splits. Components that only quarantined rows link share a ``root``, but each stays a
-    ``part`` of its own with its keys and its split, which later rows get. Rows repeated within or after a batch count once; null ids take no part.
+    ``part`` of its own with its keys and its split, which later rows get. Rows repeated within or after a batch count once; null ids take no part. Ids
+    are of any ordered type. Keep the result with ``save`` and take the next batch with ``load`` in any later session.
     """
-    rows = batch.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), *(F.concat(F.lit(f"{i}:"), F.col(c)).alias(f"k{i}") for i, c in enumerate(key_cols)), F.coalesce(F.col(stratum), F.lit("-")).alias("stratum"))
+    rows = batch.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *(F.concat(F.lit(f"{i}:"), F.col(c)).alias(f"k{i}") for i, c in enumerate(key_cols)), F.coalesce(F.col(stratum), F.lit("-")).alias("stratum"))
     rows = rows.dropDuplicates(["id"])
     if state is not None:
         rows = rows.join(state.members.select("id"), "id", "left_anti")

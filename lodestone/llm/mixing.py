@@ -17,12 +17,13 @@ def source_key(column: str = "source") -> Column:
     return F.lower(F.trim(F.col(column)))
 
 
-def mix_plan(sizes: DataFrame, targets: DataFrame, phases: int = 4, tilt: float = 0.5, total: int | None = None) -> DataFrame:
+def mix_plan(sizes: DataFrame, targets: DataFrame, phases: int = 4, tilt: float = 0.5, total: int | None = None, hold: bool = False) -> DataFrame:
     """One row per target source: what it has, what is demanded, and its schedule.
 
     ``sizes(doc_id, source, n_tokens)``, ``targets(source, target_share, max_uses)``. ``demand`` is
     ``target_share`` of ``total`` (default: the tokens of all documents, also those of other or null
-    sources); ``capacity`` is ``max_uses`` times what the source has; ``taken`` is the smaller.
+    sources); with ``hold`` the total shrinks until no source lacks tokens, so that all shares hold (an empty source
+    with a share then empties the mix). ``capacity`` is ``max_uses`` times what the source has; ``taken`` is the smaller.
     ``weights`` are the schedule's weights by phase, normed to mean 1: sources with short documents
     weigh more early and those with long ones more late, by up to ``tilt``; ``starts`` is the
     cumulated demand, in shares of the source, where each phase begins.
@@ -40,15 +41,12 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, phases: int = 4, tilt: float
     mids = [1 - 2 * (p + 0.5) / phases for p in range(phases)]
     t = t.withColumn("weights", F.array(*(1 + F.lit(tilt * m) * F.col("lean") for m in mids)))
     starts = F.array(*(sum((F.col("weights")[q] for q in range(p)), F.lit(0.0)) / phases for p in range(phases)))
-    t = t.withColumns({"demand": F.col("target_share") * all_tokens, "capacity": F.col("max_uses") * F.col("tokens"), "starts": starts})
+    t = t.withColumns({"capacity": F.col("max_uses") * F.col("tokens"), "starts": starts})
+    most = F.least(all_tokens, F.min(F.when(F.col("target_share") > 0, F.col("capacity") / F.col("target_share"))).over(everything)) if hold else all_tokens
+    t = t.withColumn("demand", F.col("target_share") * most)
     return t.withColumn("taken", F.least("demand", F.col("capacity").cast("double"))).drop("len_rank", "lean")
 
 
-def lacking(plan: DataFrame) -> DataFrame:
-    """The sources that cannot reach their share: ``source``."""
-    return plan.filter(F.col("capacity") < F.col("demand")).select("source")
-
-
 def mix(sizes: DataFrame, plan: DataFrame, seed: int = 11, bucket_rows: int = 20_000) -> DataFrame:
     """The selection in training order: ``position`` (0 to 1), ``doc_id, source, use_no, n_tokens``.
 
@@ -81,12 +79,14 @@ def mix(sizes: DataFrame, plan: DataFrame, seed: int = 11, bucket_rows: int = 20
 
 
 def shares(mixed: DataFrame, plan: DataFrame) -> DataFrame:
-    """``source, target_share, reached_share, share_of_mix, tokens, most_uses`` of every target source.
+    """``source, target_share, reached_share, share_of_mix, tokens, most_uses, lacks`` of every target source.
 
-    ``reached_share`` is of the total that was demanded, ``share_of_mix`` of what all sources gave.
+    ``reached_share`` is of the total that was demanded, ``share_of_mix`` of what all sources gave; a source ``lacks``
+    tokens if what it gave, all uses together, is less than its demand.
     """
     got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("got"), F.max("use_no").alias("most_uses"))
     whole = F.sum(F.coalesce("got", F.lit(0))).over(Window.partitionBy(F.lit(1)))
     tokens = F.coalesce("got", F.lit(0))
     rows = plan.select("source", "target_share", "demand").join(got, "source", "left")
-    return rows.select("source", "target_share", F.coalesce(F.round(tokens * F.col("target_share") / F.nullif("demand", F.lit(0.0)), 6), F.lit(0.0)).alias("reached_share"), F.round(tokens / F.greatest(whole, F.lit(1)), 6).alias("share_of_mix"), tokens.alias("tokens"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
+    reached = F.coalesce(F.round(tokens * F.col("target_share") / F.nullif("demand", F.lit(0.0)), 6), F.lit(0.0))
+    return rows.select("source", "target_share", reached.alias("reached_share"), F.round(tokens / F.greatest(whole, F.lit(1)), 6).alias("share_of_mix"), tokens.alias("tokens"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), (tokens < F.col("demand")).alias("lacks"))

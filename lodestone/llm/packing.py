@@ -66,10 +66,11 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int = 2048, ope
     and ``fill`` (units used in the container). An item above ``capacity`` is cut into full pieces and
     a rest; no other item is cut. Items of size 0 or null take no space and lie in an open container.
     Null ids are items like any other. Items are spread by hash, so neither order nor file layout
-    matters; each task leaves ``open_bins`` containers part-filled at most. Repeated rows are
+    matters, and within a task they come in hash order, so a task run again makes the same containers; each task leaves ``open_bins`` containers part-filled at most. Repeated rows are
     separate items. An empty table gives no container.
     """
-    src = sizes.select(F.col(id_col).alias("item_id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size")).repartition(F.col("item_id"))
+    src = sizes.select(F.col(id_col).alias("item_id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size"))
+    src = src.repartition("item_id", "size").sortWithinPartitions(F.xxhash64("item_id"), "item_id", "size")
     kind = src.schema["item_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

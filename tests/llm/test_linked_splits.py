@@ -1,6 +1,6 @@
 import random
 
-from lodestone.llm.linked_splits import assign, connect, leads
+from lodestone.llm.linked_splits import Components, assign, connect, leads
 
 SCHEMA = "id bigint, a string, b string, st string, root string, key string"
 TARGETS = [("train", 0.8), ("validation", 0.1), ("test", 0.1)]
@@ -125,3 +125,25 @@ def test_empty_table(spark):
     assert state.members.collect() == [] and leads(state).collect() == []
     again = assign(spark.createDataFrame([(1, None, None, None, "z", "z")], SCHEMA), "id", ["a", "b"], "st", t, state)
     assert [(r.id, r.split_name) for r in again.members.collect()] == [(1, "train")]
+
+
+def test_state_by_path_and_the_splits_it_keeps(spark, tmp_path):
+    """Two old components, a row that bridges them, and rows of a third batch; ids are texts."""
+    schema, path = SCHEMA.replace("id bigint", "id string"), f"file://{tmp_path}/state"
+    t = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split_name string, target_share double")
+    make_rows = lambda *xs: spark.createDataFrame([(i, a, b, "x", "z", "z") for i, a, b in xs], schema)
+    assert Components.load(spark, path) is None
+    assign(make_rows(*((f"a{i}", "A", f"s{i}") for i in range(5)), *((f"b{i}", "B", f"t{i}") for i in range(5))), "id", ["a", "b"], "st", t).save(path, 1)
+    first = {r.id: r.split_name for r in Components.load(spark, path).members.collect()}
+    assert len({first["a0"], first["b0"]}) == 2
+    assign(make_rows(("c1", "A", "u1"), ("c2", "A", "t0")), "id", ["a", "b"], "st", t, Components.load(spark, path)).save(path, 2)
+    spark.range(1).write.parquet(f"{path}/v=3/keys")  # a version that was never committed
+    assign(make_rows(("d1", "A", None), ("d2", "B", None)), "id", ["a", "b"], "st", t, Components.load(spark, path)).save(path, 4)
+    end = {r.id: r for r in Components.load(spark, path).members.collect()}
+    assert {i: r.split_name for i, r in end.items() if i in first} == first
+    assert end["c1"].split_name == end["d1"].split_name == first["a0"] and end["d2"].split_name == first["b0"]
+    assert [i for i, r in end.items() if r.status == "quarantined"] == ["c2"] and end["c2"].split_name is None
+    parts = {}
+    for r in end.values():
+        if r.split_name:
+            assert parts.setdefault(r.part, r.split_name) == r.split_name

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestone.llm.mixing import lacking, mix, mix_plan, shares
+from lodestone.llm.mixing import mix, mix_plan, shares
 from lodestone.llm.packing import OpenBins, pack
 from lodestone.llm.tokens import encoding, token_counts
 
@@ -67,7 +67,7 @@ def test_mix_reaches_shares_with_capped_repeats(spark):
     targets = spark.createDataFrame([("a", 0.5, 1, "x"), ("B", 0.4, 4, "x"), ("c", 0.05, 2, "x"), ("none", 0.05, 9, "x")], T)
     plan = mix_plan(docs(spark), targets)
     total = 600 * 10 + 1000 + 50 + 100 + 10 + 40
-    assert {r.source for r in lacking(plan).collect()} == {"c", "none"}
+    assert {r.source for r in shares(mix(docs(spark), plan), plan).filter("lacks").collect()} == {"c", "none"}
     got = mix(docs(spark), plan, bucket_rows=50)
     pdf = got.toPandas()
     assert pdf.groupby(["source", "use_no", "doc_id"], dropna=False).size().max() == 1
@@ -78,6 +78,13 @@ def test_mix_reaches_shares_with_capped_repeats(spark):
     assert abs(s["a"].reached_share - 0.5) < 0.002 and s["none"].tokens == 0 and s["c"].most_uses == 2
 
 
+def test_held_shares_shrink_the_total(spark):
+    targets = spark.createDataFrame([("a", 0.6, 1, "x"), ("b", 0.35, 4, "x"), ("c", 0.05, 2, "x")], T)
+    plan = mix_plan(docs(spark), targets, hold=True)
+    s = {r.source: r for r in shares(mix(docs(spark), plan), plan).collect()}
+    assert s["c"].tokens == 100 and 1200 <= s["a"].tokens < 1210 and 700 <= s["b"].tokens < 750 and not any(r.lacks for r in s.values())
+
+
 def test_schedule_moves_short_documents_forward(spark):
     targets = spark.createDataFrame([("a", 0.5, 1, "x"), ("b", 0.5, 9, "x")], T)
     rows = spark.createDataFrame([(i, "a", 5, "x") for i in range(2000)] + [(5000 + i, "b", 50, "x") for i in range(200)], D)
@@ -91,5 +98,5 @@ def test_schedule_moves_short_documents_forward(spark):
 def test_mix_without_tokens(spark, rows):
     df = spark.createDataFrame(rows, D)
     targets = spark.createDataFrame([("a", 1.0, 2, "x")], T)
-    assert mix(df, mix_plan(df, targets)).collect() == [] and lacking(mix_plan(df, targets)).collect() == []
+    assert mix(df, mix_plan(df, targets)).collect() == [] and mix(df, mix_plan(df, targets, hold=True)).collect() == []
     assert [r.reached_share for r in shares(mix(df, mix_plan(df, targets)), mix_plan(df, targets)).collect()] == [0.0]

@@ -2,9 +2,10 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestone.llm.knn import hilbert_key, nearest
-from lodestone.llm.split_overlap import overlaps
+from lodestone.llm.split_overlap import linked, overlaps
 
 SCHEMA = "record_id bigint, split_name string, source_project string, programs array<string>, hashes array<string>, elem string, n int"
 
@@ -55,6 +56,18 @@ def test_overlaps_equal_brute_force(spark):
         assert all(0.8 - 1e-9 <= r.jaccard <= r.containment <= 1 for r in got)
 
 
+def test_one_row_a_record_with_its_class_and_links(spark):
+    rows = records(6)
+    want = {}
+    for e, t, basis in brute(rows):
+        for i in (e, t):
+            want[i, basis] = want.get((i, basis), 0) + 1
+    got = linked(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.record_id, r.basis): r.n_links for r in got} == want and len(got) == len(want)
+    assert all(r.class_id <= r.record_id for r in got)
+    assert linked(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
 def test_overlaps_of_empty_and_one_sided_tables(spark):
     assert overlaps(spark.createDataFrame([], SCHEMA)).collect() == []
     assert overlaps(spark.createDataFrame([(1, "train", "a", ["x"] * 9, ["0" * 64], "x", 1), (None, "test", "a", None, ["0" * 64], "x", 1)], SCHEMA)).collect() == []
@@ -137,5 +150,19 @@ def test_dense_groups_wider_than_the_window(spark):
     assert len(set(zip(got.id, got.neighbour_id)) & want) >= 0.98 * len(want)
 
 
+def test_query_sets_and_text_ids(spark):
+    v = np.random.default_rng(6).normal(size=(600, 64))
+    rows = [(i, [float(x) for x in r], "x", "x") for i, r in enumerate(v)] + [(600 + i, [float(x) for x in v[i]], "x", "x") for i in range(40)]
+    df = spark.createDataFrame(rows, V)
+    want = {p for p in top(rows, 5) if p[0] % 20 == 0}
+    got = nearest(df, "id", "v", exact=True, queries="id % 20 = 0").collect()
+    assert {(r.id, r.neighbour_id) for r in got} == want
+    texts = df.withColumn("id", F.format_string("n%04d", "id"))
+    got = nearest(texts, "id", "v", exact=True, queries="cast(substring(id, 2) as int) % 20 = 0").collect()
+    assert {(int(r.id[1:]), int(r.neighbour_id[1:])) for r in got} == want
+    near = nearest(df, "id", "v", min_similarity=0.9, queries="id < 20", part_rows=100).collect()
+    assert {(r.id, r.neighbour_id) for r in near} == {(i, 600 + i) for i in range(20)}
+
+
 def test_no_vectors(spark):
     assert nearest(spark.createDataFrame([], V), "id", "v").collect() == []
