@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.plans.session import written
+from lodestone.plans.skew import lookup_join
+
 GATES = ("coverage_mean", "coverage_ratio", "assignment_quality", "assignment_ratio", "call_edge_ratio", "function_concentration", "function_spread", "function_coverage")
 #: Gates that a module of the factorial study switches off when it is missing.
 MODULE_GATES = {"H": ("assignment_quality", "assignment_ratio"), "S": ("call_edge_ratio", "function_concentration", "function_spread", "function_coverage")}
@@ -55,50 +60,72 @@ def attribution(windows: DataFrame, keys: list[str], gates: Mapping[str, float])
     return deep.withColumn("category", F.array(*map(F.lit, names))[F.col("depth")])
 
 
-def pareto(windows: DataFrame, keys: list[str], metrics: Sequence[str], order: str) -> DataFrame:
-    """The windows no other of their group dominates; of equal vectors the first by ``order`` stays.
-
-    Rows with a null or non-finite metric are dropped. Each partition first drops what is dominated
-    within its own share of the group, so only local frontiers meet.
+def _dominated(own: np.ndarray, own_at: np.ndarray, other: np.ndarray, other_at: np.ndarray, step: int = 256) -> np.ndarray:
+    """Which rows of ``own`` a row of ``other`` dominates: at least as good everywhere, and better somewhere or earlier."""
+    out = np.zeros(len(own), bool)
+    for lo in range(0, len(own), step):
+        x, at = own[lo : lo + step], own_at[lo : lo + step]
+        for to in range(0, len(other), 4 * step):
+            todo = np.flatnonzero(~out[lo : lo + step])
+            y, y_at = other[to : to + 4 * step], other_at[to : to + 4 * step]
+            ge = np.ones((len(todo), len(y)), bool)
+            gt = y_at[None, :] < at[todo, None]
+            for k in range(x.shape[1]):
+                a, b = x[todo, k, None], y[None, :, k]
+                ge &= b >= a
+                gt |= b > a
+            out[lo + todo[(ge & gt).any(1)]] = True
+    return out
+
+
+def pareto(windows: DataFrame, keys: list[str], metrics: Sequence[str], order: str, part_rows: int = 20_000) -> DataFrame:
+    """The windows no other of their group dominates; of equal vectors the first by ``order``, a unique number, stays.
+
+    Rows with a null or non-finite metric are dropped. Each batch first drops what its own rows dominate; what is left of a
+    group is cut into parts of about ``part_rows`` rows, each of which meets all that is left of the group in a task of its own.
     """
-    import numpy as np
-    import pandas as pd
-
-    cols = windows.columns
     finite = F.lit(True)
     for m in metrics:
         finite = finite & F.col(m).isNotNull() & ~F.isnan(m) & (F.abs(m) < F.lit(float("inf")))
+    names = list(metrics)
 
-    def frontier(pdf: pd.DataFrame) -> pd.DataFrame:
-        code = pdf.groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), int)
-        v = pdf[list(metrics)].to_numpy(float)
-        by = np.lexsort((pdf[order].to_numpy(), *(-v[:, k] for k in reversed(range(v.shape[1]))), code))
-        code, v = code[by], v[by]
-        keep = np.ones(len(by), bool)
-        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-        # in this order nothing later in a group dominates or equals-and-precedes anything earlier
-        for a, z in zip(starts, [*starts[1:], len(by)]):
-            held = np.empty((z - a, v.shape[1]))
-            n = 0
-            for i in range(a, z):
-                keep[i] = not (held[:n] >= v[i]).all(1).any()
-                if keep[i]:
-                    held[n] = v[i]
-                    n += 1
-        return pdf.iloc[by[keep]]
-
-    def local(batches):
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                yield frontier(b)
+            keep = np.ones(len(b), bool)
+            for at in b.groupby("__g", sort=False).indices.values():
+                v, o = b[names].to_numpy(float)[at], b[order].to_numpy()[at]
+                keep[at[_dominated(v, o, v, o)]] = False
+            yield b[keep]
 
-    def whole(batches):
-        parts = [b for b in batches if len(b)]
-        if parts:
-            yield frontier(pd.concat(parts, ignore_index=True))
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, now = [], None
 
-    part = windows.filter(finite).select(*cols).mapInPandas(local, windows.schema)
-    return part.repartition(*keys).mapInPandas(whole, windows.schema)
+        def close() -> Iterator[pd.DataFrame]:
+            if held:
+                yield held[0].drop(columns=["__s", "__own"])
+
+        for b in batches:
+            for key, part in b.groupby(["__g", "__s"], sort=False):
+                if key != now:
+                    yield from close()
+                    held, now = [], key
+                own, other = part[part.__own], part[~part.__own]
+                if len(own):
+                    held = [pd.concat([*held, own])]
+                if held and len(other):
+                    gone = _dominated(held[0][names].to_numpy(float), held[0][order].to_numpy(), other[names].to_numpy(float), other[order].to_numpy())
+                    held = [held[0][~gone]]
+        yield from close()
+
+    group = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    rows = windows.filter(finite).withColumn("__g", group)
+    part = written(rows.mapInPandas(local, rows.schema), "pareto-local")
+    sizes = part.groupBy("__g").agg(F.count(F.lit(1)).alias("__w")).withColumn("__k", F.ceil(F.col("__w") / part_rows).cast("int"))
+    sized = lookup_join(part, sizes, "__g", "__w")
+    own = sized.withColumn("__s", F.pmod(F.xxhash64(order), F.col("__k")).cast("int")).withColumn("__own", F.lit(True))
+    other = sized.withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__k") - 1))).withColumn("__own", F.lit(False))
+    both = own.unionByName(other).drop("__k").repartition("__g", "__s").sortWithinPartitions("__g", "__s", F.desc("__own"))
+    return both.mapInPandas(scan, part.schema).drop("__g").select(*windows.columns)
 
 
 def grouped_folds(cases: DataFrame, group: str, n_folds: int, seed: str = "fold") -> DataFrame:

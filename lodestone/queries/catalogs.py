@@ -19,7 +19,7 @@ from lodestone.queries import matching as G
 
 
 def function_hint(spark: SparkSession, d: str) -> DataFrame:
-    m = M.function_mapping(*G._units(spark, d), 0.32).withColumns({c: F.round(c, 6) for c in ("dominant_ratio", "coverage_mean", "coverage_ratio")})
+    m = M.function_mapping(M.block_best(*G._units(spark, d)), 0.32).withColumns({c: F.round(c, 6) for c in ("dominant_ratio", "coverage_mean", "coverage_ratio")})
     return D.best_function_hint(m, ["cu"])
 
 

@@ -16,53 +16,91 @@ from lodestone.plans.session import table
 TEST_PARAMS = M.MatchParams(block_threshold=0.32, coverage_mean=0.31, coverage_ratio=0.4, assignment_quality=0.15, assignment_ratio=0.05, call_edge_ratio=0.3, function_concentration=0.1, function_spread=0.1, function_coverage=0.3)
 
 
-def _units(spark: SparkSession, d: str, edges: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Every fourth vector is a library block (ten units of three functions), the others are one binary of thirty functions.
-
-    With ``edges`` the function of each block calls that of the unit's next block, by ``vec_id``.
-    """
+def _blocks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every fourth vector is a library block (ten units of three functions), the others are one binary of thirty functions."""
     e = table(spark, d, "embeddings").withColumn("n_instructions", F.lit(9))
     is_cu = F.col("vec_id") % 4 == 0
     cu = e.filter(is_cu).select((F.floor(F.col("vec_id") / 4) % 10).alias("u"), (F.floor(F.col("vec_id") / 40) % 3).alias("f"), "vec_id", "embedding", "n_instructions")
-    elf = e.filter(~is_cu).select(F.lit(0).alias("u"), (F.col("label") * 3 + F.col("vec_id") % 3).alias("f"), "vec_id", "embedding", "n_instructions")
-    both = [(x, M.units(x, "u", "f", ["vec_id"], "embedding", "n_instructions")) for x in (cu, elf)]
-    if not edges:
-        return tuple(u for _, u in both)
+    return cu, e.filter(~is_cu).select(F.lit(0).alias("u"), (F.col("label") * 3 + F.col("vec_id") % 3).alias("f"), "vec_id", "embedding", "n_instructions")
+
+
+def _units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(M.indexed_blocks(x, "u", "f", ["vec_id"], "embedding", "n_instructions") for x in _blocks(spark, d))
+
+
+def _edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The function of each block calls that of the unit's next block, by ``vec_id``."""
     follow = F.lead("f").over(Window.partitionBy("u").orderBy("vec_id"))
-    calls = [x.select("u", F.col("f").alias("caller"), follow.alias("callee")).filter("callee is not null and caller <> callee") for x, _ in both]
-    return tuple(M.with_edges(u, x, c, "u", "f") for (x, u), c in zip(both, calls))
+    calls = lambda x: x.select("u", F.col("f").alias("caller"), follow.alias("callee")).filter("callee is not null and caller <> callee")
+    return tuple(M.dense_edges(x, calls(x), "u", "f") for x in _blocks(spark, d))
 
 
 def block_coverage(spark: SparkSession, d: str) -> DataFrame:
-    w = M.match_windows(*_units(spark, d), M.MatchParams(block_threshold=0.32, coverage_mean=2.0))
+    w = M.match_windows(*_units(spark, d), TEST_PARAMS)
     return w.select("cu", "window_start", *(F.round(c, 6).alias(c) for c in ("coverage_mean", "coverage_min", "coverage_ratio")))
 
 
 def block_best_coverage(spark: SparkSession, d: str) -> DataFrame:
-    w = M.match_windows(*_units(spark, d), M.MatchParams(block_threshold=0.32, coverage_mean=2.0))
+    """The window of each unit with the best coverage, before any gate is asked."""
+    w = M.match_windows(*_units(spark, d), TEST_PARAMS)
     # summation order must not decide between equal windows
-    w = M.best_windows(w.withColumns({g: F.round(g, 9) for g in M.GATES}))
-    return w.select("cu", "window_start", F.round("coverage_mean", 6).alias("coverage_mean"))
+    key = F.struct(F.round("coverage_mean", 9), F.round("coverage_ratio", 9), -F.col("window_start"))
+    return w.groupBy("cu").agg(F.max_by(F.struct("window_start", F.round("coverage_mean", 6).alias("coverage_mean")), key).alias("w")).select("cu", "w.*")
 
 
 def full_match(spark: SparkSession, d: str) -> DataFrame:
-    return M.best_windows(M.match_windows(*_units(spark, d, edges=True), TEST_PARAMS))
+    return M.full_match(*_units(spark, d), TEST_PARAMS, *_edges(spark, d))
+
+
+#: Gates that a part of the small units pass.
+SMALL_PARAMS = M.MatchParams(block_threshold=0.15, coverage_mean=0.16, coverage_ratio=0.5, assignment_quality=0.1, assignment_ratio=0.3, call_edge_ratio=0.3, function_concentration=0.5, function_spread=0.6, function_coverage=0.5, multiplier=1.5, padding=0)
+
+
+def _small(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of every ten vectors three are a library unit of two functions, and the others of every twenty a binary of seven functions of two blocks."""
+    e = table(spark, d, "embeddings").withColumns({"n_instructions": F.lit(9), "r": F.col("vec_id") % 10})
+    cu = e.filter("r < 3").select(F.floor(F.col("vec_id") / 10).alias("u"), F.least("r", F.lit(1)).alias("f"), "vec_id", "embedding", "n_instructions")
+    place = F.col("r") - 3 + F.when(F.col("vec_id") % 20 >= 10, 7).otherwise(0)
+    elf = e.filter("r >= 3").select(F.floor(F.col("vec_id") / 20).alias("u"), F.floor(place / 2).alias("f"), "vec_id", "embedding", "n_instructions")
+    units = [M.indexed_blocks(x, "u", "f", ["vec_id"], "embedding", "n_instructions") for x in (cu, elf)]
+    cu_calls = cu.select("u", F.lit(0).alias("caller"), F.lit(1).alias("callee")).distinct()
+    elf_calls = elf.select("u", F.col("f").alias("caller"), ((F.col("f") * 3 + 1) % 7).alias("callee")).distinct()
+    return *units, M.dense_edges(cu, cu_calls, "u", "f"), M.dense_edges(elf, elf_calls, "u", "f")
+
+
+def unit_match(spark: SparkSession, d: str) -> DataFrame:
+    """The whole matcher over many small units and binaries, for which SQL can try every assignment."""
+    cu, elf, cu_edges, elf_edges = _small(spark, d)
+    m = M.full_match(cu, elf, SMALL_PARAMS, cu_edges, elf_edges, stride=2)
+    return m.select("cu", "elf", "window_start", "passed", *(F.round(g, 6).alias(g) for g in M.GATES), F.col("windows_total").cast("bigint").alias("windows_total"), "windows_evaluated", "frontier", "bound_rejected")
 
 
 def hungarian_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return M.match_windows(*_units(spark, d, edges=True), TEST_PARAMS).select("cu", "window_start", "assignment_quality", "assignment_ratio", "evaluated")
+    return M.match_windows(*_units(spark, d), TEST_PARAMS, *_edges(spark, d)).select("cu", "window_start", "assignment_quality", "assignment_ratio", "evaluated")
 
 
 def negative_bound(spark: SparkSession, d: str) -> DataFrame:
-    b = M.negative_bounds(*_units(spark, d), TEST_PARAMS)
+    b = M.negative_bounds(M.block_best(*_units(spark, d)), TEST_PARAMS)
     return b.select("cu", F.round("bound_mean", 6).alias("bound_mean"), F.round("bound_ratio", 6).alias("bound_ratio"), "rejected")
 
 
 def function_mapping(spark: SparkSession, d: str) -> DataFrame:
-    m = M.function_mapping(*_units(spark, d), 0.32)
+    m = M.function_mapping(M.block_best(*_units(spark, d)), 0.32)
     return m.select("cu", "cu_function", "elf_function", *(F.round(c, 6).alias(c) for c in ("dominant_ratio", "coverage_mean", "coverage_ratio")))
 
 
+def block_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Where each function's blocks of five instructions or more lie in its unit's list of blocks."""
+    b = table(spark, d, "blocks").dropDuplicates(["block_id"])
+    return M.block_spans(b, ["unit_type", "unit_id"], "function_index", ["block_index"], "normalized_embeddings", "n_instructions")
+
+
+def unit_eligibility(spark: SparkSession, d: str) -> DataFrame:
+    """Members of two functions or more, numbered within their archive."""
+    m = table(spark, d, "archive_members").dropDuplicates(["member_id"]).select(F.coalesce(F.trim("archive_basename"), F.lit("-")).alias("library"), "member_id", "n_functions")
+    return M.eligible_units(m, ["library"], "n_functions", ["member_id"]).select("library", "member_id", "target_cu_index")
+
+
 def mean_pool_units(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "blocks").dropDuplicates(["block_id"])
     ok = F.forall("normalized_embeddings", lambda x: x.isNotNull() & ~F.isnan(x))
@@ -217,7 +255,7 @@ def feature_explode(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        block_coverage, block_best_coverage, full_match, hungarian_assignment, negative_bound, function_mapping, mean_pool_units, interval_calls, resolved_calls, unique_symbol_edges, relocation_edges, symbol_inferred_members,
+        block_coverage, block_best_coverage, full_match, unit_match, hungarian_assignment, block_spans, unit_eligibility, negative_bound, function_mapping, mean_pool_units, interval_calls, resolved_calls, unique_symbol_edges, relocation_edges, symbol_inferred_members,
         internal_call_ratio, cross_cu_evidence, relocation_lookup, rodata_strings, rodata_ngrams, rodata_evidence, asm_normalize, names, stable_labels, report_parse, linker_map_members, feature_explode,
     )
 }
@@ -245,7 +283,39 @@ ee AS (SELECT DISTINCT q % 20 AS x, l_partkey % 13 AS y FROM li)
 """
 _TOKENS = "list_filter(regexp_split_to_array(regexp_replace(replace(op2, ',', ' '), '([\\[\\]+\\-*:])', ' \\1 ', 'g'), '[\\t\\n\\x0b\\x0c\\r ]+'), lambda x: x <> '' AND x <> 'ptr')"
 
+_SMALL = """
+WITH c AS (SELECT vec_id // 10 AS cu, least(vec_id % 10, 1) AS cf, vec_id AS i, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 < 3),
+e AS (SELECT vec_id // 20 AS elf, (vec_id % 10 - 3 + CASE WHEN vec_id % 20 >= 10 THEN 7 ELSE 0 END) // 2 AS ef, vec_id AS j, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 >= 3),
+s AS (SELECT cu, cf, i, elf, ef, j, list_cosine_similarity(c.v, e.v) AS s FROM c CROSS JOIN e),
+g AS (SELECT cu, elf, avg(m) AS bm, avg((m >= 0.15::DOUBLE)::INT) AS br FROM (SELECT cu, elf, i, max(s) AS m FROM s GROUP BY ALL) GROUP BY ALL),
+ok AS (SELECT * FROM g WHERE bm >= 0.16::DOUBLE AND br >= 0.5::DOUBLE),
+sw AS (SELECT s.*, st FROM s JOIN ok ON ok.cu = s.cu AND ok.elf = s.elf JOIN (SELECT unnest(range(0, 5)) AS st) w ON s.ef >= w.st AND s.ef < w.st + 3),
+r AS (SELECT cu, elf, st, i, cf, max(s) AS m FROM sw GROUP BY ALL),
+cov AS (SELECT cu, elf, st, round(avg(m), 12) AS cm, round(avg((m >= 0.15::DOUBLE)::INT), 12) AS cr, count(DISTINCT CASE WHEN m >= 0.15::DOUBLE THEN cf END) / 2 AS fcov FROM r GROUP BY ALL),
+ev AS (SELECT * FROM cov WHERE cm >= 0.16::DOUBLE AND cr >= 0.5::DOUBLE),
+sx AS (SELECT sw.*, i % 10 AS k FROM sw JOIN ev ON ev.cu = sw.cu AND ev.elf = sw.elf AND ev.st = sw.st),
+p AS (SELECT a.cu, a.elf, a.st, a.s + b.s + c.s AS total, (a.s >= 0.15::DOUBLE)::INT + (b.s >= 0.15::DOUBLE)::INT + (c.s >= 0.15::DOUBLE)::INT AS hits FROM sx a
+  JOIN sx b ON b.cu = a.cu AND b.elf = a.elf AND b.st = a.st AND b.j <> a.j JOIN sx c ON c.cu = a.cu AND c.elf = a.elf AND c.st = a.st AND c.j <> a.j AND c.j <> b.j WHERE a.k = 0 AND b.k = 1 AND c.k = 2),
+asg AS (SELECT cu, elf, st, max(ROW(hits, total)) AS x FROM p GROUP BY ALL),
+t AS (SELECT cu, elf, st, cf, i, ef FROM (SELECT *, row_number() OVER (PARTITION BY cu, elf, st, i ORDER BY s DESC, j) AS n FROM sx) WHERE n = 1),
+u AS (SELECT cu, elf, st, cf, ef, count(*) AS n FROM t GROUP BY ALL), d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cu, elf, st, cf ORDER BY n DESC, ef) AS o FROM u) WHERE o = 1),
+z AS (SELECT cu, elf, st, sum(n) / 3 AS conc, count(DISTINCT ef) / 2 AS spread, max(CASE WHEN cf = 0 THEN ef END) AS f0, max(CASE WHEN cf = 1 THEN ef END) AS f1 FROM d GROUP BY ALL),
+w AS (SELECT cov.cu, cov.elf, cov.st, cov.cm AS g1, cov.cr AS g2, coalesce(round(asg.x[2] / 3, 12), 0) AS g3, coalesce(round(asg.x[1] / 3, 12), 0) AS g4, CASE WHEN z.cu IS NULL THEN 0 WHEN (z.f0 * 3 + 1) % 7 = z.f1 THEN 1.0 ELSE 0 END AS g5,
+  coalesce(round(z.conc, 12), 0) AS g6, coalesce(z.spread, 0) AS g7, CASE WHEN z.cu IS NULL THEN 0 ELSE cov.fcov END AS g8, z.cu IS NOT NULL AS evaluated
+  FROM cov LEFT JOIN asg ON asg.cu = cov.cu AND asg.elf = cov.elf AND asg.st = cov.st LEFT JOIN z ON z.cu = cov.cu AND z.elf = cov.elf AND z.st = cov.st),
+wp AS (SELECT *, evaluated AND g3 >= 0.1::DOUBLE AND g4 >= 0.3::DOUBLE AND g5 >= 0.3::DOUBLE AND g6 >= 0.5::DOUBLE AND g7 >= 0.6::DOUBLE AND g8 >= 0.5::DOUBLE AS passed FROM w),
+fr AS (SELECT cu, elf, count(*) AS n FROM wp x WHERE evaluated AND NOT EXISTS (SELECT 1 FROM wp y WHERE y.evaluated AND y.cu = x.cu AND y.elf = x.elf AND y.st <> x.st AND y.g1 >= x.g1 AND y.g2 >= x.g2 AND y.g3 >= x.g3 AND y.g4 >= x.g4 AND y.g5 >= x.g5 AND y.g6 >= x.g6 AND y.g7 >= x.g7 AND y.g8 >= x.g8
+  AND (y.g1 > x.g1 OR y.g2 > x.g2 OR y.g3 > x.g3 OR y.g4 > x.g4 OR y.g5 > x.g5 OR y.g6 > x.g6 OR y.g7 > x.g7 OR y.g8 > x.g8 OR y.st < x.st)) GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY cu, elf ORDER BY passed DESC, g1 DESC, g2 DESC, g3 DESC, g4 DESC, g5 DESC, g6 DESC, g7 DESC, g8 DESC, st) AS o, count(*) FILTER (evaluated) OVER (PARTITION BY cu, elf) AS n_ev FROM wp)
+SELECT b.cu::VARCHAR AS cu, b.elf::VARCHAR AS elf, b.st AS window_start, passed, round(g1, 6) AS coverage_mean, round(g2, 6) AS coverage_ratio, round(g3, 6) AS assignment_quality, round(g4, 6) AS assignment_ratio, g5 AS call_edge_ratio, round(g6, 6) AS function_concentration, g7 AS function_spread, g8 AS function_coverage,
+5 AS windows_total, n_ev AS windows_evaluated, coalesce(fr.n, 0) AS frontier, false AS bound_rejected FROM b LEFT JOIN fr ON fr.cu = b.cu AND fr.elf = b.elf WHERE o = 1
+UNION ALL SELECT cu::VARCHAR, elf::VARCHAR, -1, false, round(bm, 6), 0, 0, 0, 0, 0, 0, 0, 5, 0, 0, true FROM g WHERE NOT (bm >= 0.16::DOUBLE AND br >= 0.5::DOUBLE)"""
+
 SQL = {
+    "unit_match": _SMALL,
+    "block_spans": """WITH b AS (SELECT DISTINCT ON (block_id) * FROM blocks), g AS (SELECT unit_type, unit_id, function_index, count(*) FILTER (normalized_embeddings IS NOT NULL AND n_instructions >= 5) AS n FROM b GROUP BY ALL)
+SELECT unit_type, unit_id, row_number() OVER w - 1 AS f, (sum(n) OVER w)::BIGINT - n AS low, (sum(n) OVER w)::BIGINT AS high FROM g WINDOW w AS (PARTITION BY unit_type, unit_id ORDER BY function_index)""",
+    "unit_eligibility": "WITH m AS (SELECT DISTINCT ON (member_id) coalesce(trim(archive_basename), '-') AS library, member_id, n_functions FROM archive_members) SELECT library, member_id, row_number() OVER (PARTITION BY library ORDER BY member_id) - 1 AS target_cu_index FROM m WHERE n_functions >= 2",
     "block_coverage": _SIM + "SELECT cu, window_start, coverage_mean, coverage_min, coverage_ratio FROM cov",
     "block_best_coverage": _SIM + "SELECT cu, window_start, coverage_mean FROM (SELECT *, row_number() OVER (PARTITION BY cu ORDER BY round(raw, 9) DESC, round(rr, 9) DESC, window_start) AS n FROM cov) WHERE n = 1",
     "negative_bound": _SIM + ", g AS (SELECT cu, i, max(s) AS g FROM s GROUP BY ALL) SELECT cu::VARCHAR AS cu, round(avg(g), 6) AS bound_mean, round(avg((g >= 0.32)::INT), 6) AS bound_ratio, avg(g) < 0.31 OR avg((g >= 0.32)::INT) < 0.4 AS rejected FROM g GROUP BY cu",

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from lodestone.functions.assignment import assign_max, assignment_scores
 from lodestone.functions.source_tokens import source_tokens
 from lodestone.operators.decide import library_score
-from lodestone.operators.similarity import MatchParams, match_pair, match_windows, rolling_max, units, window_size, with_edges
+from lodestone.operators.similarity import GATES, MatchParams, block_best, dense_edges, full_match, indexed_blocks, match_pair, match_windows, packs, rolling_max, window_size
 
 
 @settings(max_examples=80, deadline=None)
@@ -71,9 +71,64 @@ def test_call_gate_alone_rejects_a_window(spark):
     """Equal units whose calls run the other way: only the call gate can tell."""
     rows = [("u", f, i, [1.0 if d == i else 0.0 for d in range(2)], 9) for i, f in enumerate((10, 20))]
     blocks = spark.createDataFrame(rows, "u string, f int, i int, v array<double>, n int")
-    one = units(blocks, "u", "f", ["i"], "v", "n")
-    side = lambda a, b: with_edges(one, blocks, spark.createDataFrame([("u", a, b), ("u", a, 99)], "u string, caller int, callee int"), "u", "f")
+    one = indexed_blocks(blocks, "u", "f", ["i"], "v", "n")
+    calls = lambda a, b: dense_edges(blocks, spark.createDataFrame([("u", a, b), ("u", a, 99)], "u string, caller int, callee int"), "u", "f")
     p = MatchParams(function_coverage=0.05, coverage_mean=0.9)
-    for elf, ratio, passed in ((side(10, 20), 1.0, True), (side(20, 10), 0.0, False), (one, 1.0, True)):
-        w = match_windows(side(10, 20), elf, p).collect()
+    for elf, ratio, passed in ((calls(10, 20), 1.0, True), (calls(20, 10), 0.0, False), (None, 1.0, True)):
+        w = match_windows(one, one, p, calls(10, 20), elf).collect()
         assert [(x.call_edge_ratio, x.passed, x.evaluated) for x in w] == [(ratio, passed, True)]
+
+
+def random_blocks(spark, rng, units, functions, blocks):
+    rows, at = [], 0
+    for u in range(units):
+        for f in range(rng.integers(1, functions + 1)):
+            for _ in range(rng.integers(0, blocks + 1)):
+                rows.append((u, int(f), at, [float(x) for x in rng.normal(size=8)], int(rng.integers(3, 9))))
+                at += 1
+            rows.append((u, int(f), at, None, 9))  # a block without a vector: the function counts
+            at += 1
+    return rows, spark.createDataFrame(rows, "u int, f int, i int, v array<double>, n int")
+
+
+def test_tiles_give_the_windows_of_whole_binaries(spark):
+    rng = np.random.default_rng(3)
+    cu_rows, cu = random_blocks(spark, rng, 6, 5, 3)
+    elf_rows, elf = random_blocks(spark, rng, 2, 60, 2)
+    edges = lambda rows, step: [(u, f, (f * step) % 7) for u, f in {(r[0], r[1]) for r in rows}]
+    cu_e, elf_e = edges(cu_rows, 2), edges(elf_rows, 3)
+    p = MatchParams(block_threshold=0.5, coverage_mean=0.5, coverage_ratio=0.3, assignment_quality=0.1, assignment_ratio=0.1, function_concentration=0.1, function_spread=0.1, multiplier=1.5, padding=1)
+
+    def whole(rows):
+        out = {}
+        for u in sorted({r[0] for r in rows}):
+            fs = sorted({r[1] for r in rows if r[0] == u})
+            kept = sorted((fs.index(r[1]), r[2], r[3]) for r in rows if r[0] == u and r[3] is not None and r[4] >= 5)
+            out[u] = (len(fs), np.array([k[0] for k in kept], int), [np.float32(x) for k in kept for x in k[2]])
+        return out
+
+    inside = lambda es, u, n: {(a, b) for x, a, b in es if x == u and b < n}
+    want = {}
+    for a, one in whole(cu_rows).items():
+        for b, two in whole(elf_rows).items():
+            for w in match_pair(one, two, p, inside(cu_e, a, one[0]), inside(elf_e, b, two[0])):
+                want[str(a), str(b), w["window_start"]] = w
+    sides = [indexed_blocks(x, "u", "f", ["i"], "v", "n") for x in (cu, elf)]
+    calls = [dense_edges(x, spark.createDataFrame(e, "u int, caller int, callee int"), "u", "f") for x, e in ((cu, cu_e), (elf, elf_e))]
+    assert any(w["passed"] for w in want.values()) and any(not w["evaluated"] for w in want.values())
+    for stride, blocks in ((1, 1 << 17), (7, 0), (1000, 1 << 17)):
+        got = match_windows(*sides, p, *calls, stride=stride, broadcast_blocks=blocks).collect()
+        assert len(got) == len(want) > 50
+        for r in got:
+            w = want[r.cu, r.elf, r.window_start]
+            assert all(abs(r[k] - w[k]) < 1e-6 for k in ("coverage_min", *GATES)) and (r.passed, r.evaluated, r.window_stop, r.windows_total) == (w["passed"], w["evaluated"], w["window_stop"], w["windows_total"])
+    m = full_match(*sides, p, *calls, stride=5).collect()
+    assert {(r.cu, r.elf) for r in m} == {(a, b) for a, b, _ in want} and len(m) == len({(a, b) for a, b, _ in want})
+    assert packs(sides[0], pack_blocks=4).agg({"pack": "max"}).first()[0] > 0
+
+
+def test_empty_sides(spark):
+    none = indexed_blocks(spark.createDataFrame([], "u int, f int, i int, v array<double>, n int"), "u", "f", ["i"], "v", "n")
+    one = indexed_blocks(spark.createDataFrame([(1, 1, 1, [1.0, 0.0], 9)], "u int, f int, i int, v array<double>, n int"), "u", "f", ["i"], "v", "n")
+    for a, b in ((none, one), (one, none), (none, none)):
+        assert match_windows(a, b, MatchParams()).collect() == [] and block_best(a, b).collect() == [] and full_match(a, b, MatchParams()).collect() == []
