@@ -73,11 +73,13 @@ def _unpacked(b: pa.RecordBatch, dim: int) -> np.ndarray:
 def all_pairs(queries: DataFrame, base: DataFrame, k: int, dim: int, block: int = 65536) -> DataFrame:
     """``(id, near)``: the ``k`` nearest others in ``base`` of each of ``queries``, both ``id, scale, vec`` with each id once.
 
-    Exact, cosines equal to six places being ties: blocks of at most about ``block`` queries each meet every row of ``base``, which is streamed, so the
-    work is the product of both and ``base`` is shuffled once a block.
+    Exact, cosines equal to six places being ties: blocks of at most about ``block`` queries each meet every row of ``base``, which is streamed in as many
+    parts as give every core a cell, so the work is the product of both, ``base`` is shuffled once a block and the queries
+    once a part.
     """
     wide = queries.sparkSession.sparkContext.defaultParallelism
-    groups = wide * max(1, -(-queries.count() // (block * wide)))
+    blocks = max(1, -(-queries.count() // block))
+    parts_ = max(1, -(-wide // blocks))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -132,9 +134,13 @@ def all_pairs(queries: DataFrame, base: DataFrame, k: int, dim: int, block: int
             pairs = pa.StructArray.from_arrays([pa.array(-np.minimum(s[keep], 1.0)), pa.array(o[keep])], names=["far", "id"])
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(pa.array(offs), pairs)], names=["id", "near"])
 
-    asked = queries.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), F.lit(False).alias("base"), "id", "scale", "vec")
-    given = base.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(True).alias("base"), "id", "scale", "vec")
-    return asked.unionByName(given).repartitionById(groups, "g").sortWithinPartitions("base").drop("g").mapInArrow(scan, "id bigint, near array<struct<far:float,id:bigint>>")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    asked = queries.select(own(blocks).alias("q"), every(parts_).alias("p"), F.lit(False).alias("base"), "id", "scale", "vec")
+    given = base.select(every(blocks).alias("q"), own(parts_).alias("p"), F.lit(True).alias("base"), "id", "scale", "vec")
+    cells = asked.unionByName(given).withColumn("g", F.col("q") * parts_ + F.col("p")).drop("q", "p").repartitionById(blocks * parts_, "g")
+    found = cells.sortWithinPartitions("base").drop("g").mapInArrow(scan, "id bigint, near array<struct<far:float,id:bigint>>")
+    return found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
 
 def curve_keys(v: np.ndarray, turn: np.ndarray, shift: np.ndarray, bits: int) -> np.ndarray:
