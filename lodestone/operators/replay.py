@@ -13,12 +13,15 @@ from lodestone.plans.session import written
 from lodestone.plans.skew import lookup_join
 
 GATES = ("coverage_mean", "coverage_ratio", "assignment_quality", "assignment_ratio", "call_edge_ratio", "function_concentration", "function_spread", "function_coverage")
-#: Gates that a module of the factorial study switches off when it is missing.
+#: Gates that a module of the factorial study switches off when it is missing.
 MODULE_GATES = {"H": ("assignment_quality", "assignment_ratio"), "S": ("call_edge_ratio", "function_concentration", "function_spread", "function_coverage")}
 
 
 def factorial(spark: SparkSession, full: Mapping[str, float]) -> DataFrame:
-    """The 16 subsets of the modules H, S, X, R beside B, with each gate of ``full``, or 0 where its module is missing."""
+    """The 16 subsets of the modules H, S, X, R beside B, with each gate of ``full``, or 0 where its module is missing.
+
+    Without X cross-unit calls earn nothing (``cross_bonus``), without R constant data is not looked at (``rodata_on``).
+    """
     grid = spark.range(0, 1, 1, 1).select(F.lit("B").alias("config"))
     for m in "HSXR":
         grid = grid.withColumn(f"has_{m}", F.explode(F.array(F.lit(True), F.lit(False))))
@@ -28,7 +31,8 @@ def factorial(spark: SparkSession, full: Mapping[str, float]) -> DataFrame:
         module = next((m for m, gs in MODULE_GATES.items() if g in gs), None)
         value = F.lit(float(full.get(g, 0.0)))
         gates[f"min_{g}"] = F.when(F.col(f"has_{module}"), value).otherwise(F.lit(0.0)) if module else value
-    return grid.withColumn("config", name).withColumns(gates)
+    modules = {"cross_bonus": F.when(F.col("has_X"), F.lit(float(full.get("cross_bonus", 0.2)))).otherwise(F.lit(0.0)), "rodata_on": F.col("has_R")}
+    return grid.withColumn("config", name).withColumns(gates | modules)
 
 
 def replay(windows: DataFrame, configs: DataFrame, keys: list[str], n_configs: int = 16) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with a QUERIES and an SQL table.
-MODULES = ("problems", "matching", "decisions", "catalogs")
+MODULES = ("problems", "matching", "decisions", "replays", "catalogs", "studies")
 
 
 def _tables(name: str) -> dict:

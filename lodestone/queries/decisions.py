@@ -143,21 +143,6 @@ def truth_left_join(spark: SparkSession, d: str) -> DataFrame:
     return x.select("build_id", "library", F.when(F.col("predicted").isNull(), "MISSING").when(F.col("predicted"), "YES").otherwise("NO").alias("status"))
 
 
-def _factorial(spark: SparkSession, d: str) -> DataFrame:
-    per = P.replay(_windows(spark, d), P.factorial(spark, GATE), ["build_id", "library"])
-    t = table(spark, d, "elf_archives").groupBy("build_id", F.trim("archive_basename").alias("library")).agg(F.bool_or("selected_by_linker").alias("expected"))
-    j = per.join(t, ["build_id", "library"], "left").withColumn("predicted", F.col("passing") > 0)
-    return K.metrics(j.groupBy("config").agg(*K.counts())).select("config", "tp", "fp", "fn", "tn", "precision", "recall", "f1")
-
-
-def ablation_factorial(spark: SparkSession, d: str) -> DataFrame:
-    return _factorial(spark, d)
-
-
-def ablation_delta(spark: SparkSession, d: str) -> DataFrame:
-    return K.delta(_factorial(spark, d).select("config", "f1"), "config", "FULL", "f1")
-
-
 def _scenario_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     lib = table(spark, d, "library_archives").filter("status = 'selected'").dropDuplicates(["library_id"])
     cand = lib.select(F.col("library_id").alias("label"), F.trim("archive").alias("family"), "package", F.col("toolchain").alias("compiler"), "optimization", "role")
@@ -310,7 +295,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         gate_filter, status_counts, fn_attribution, top_failures, pareto_windows, best_match, confusion_metrics, grouped_metrics, metrics_with_all, macro_pooled, program_macro, cv_summary, grouped_folds, set_classification, family_collapse, family_argmax,
-        pipeline_comparison, truth_left_join, ablation_factorial, ablation_delta, scenario_matrix, transitions, dedup_sha, latest_wins, occurrence_rank, round_robin_shard, expected_matrix_gap, truth_summary, selection_histogram, build_diversity,
+        pipeline_comparison, truth_left_join, scenario_matrix, transitions, dedup_sha, latest_wins, occurrence_rank, round_robin_shard, expected_matrix_gap, truth_summary, selection_histogram, build_diversity,
         evaluability, source_equivalence, catalog_constraints, manifest_multiset_diff, cache_inventory, dimension_lookup, prefix_key_join, merge_replaced, label_counts, vocabulary, source_token_hash,
     )
 } | {f"library_score_{m}": partial(_library_score, m) for m in D.AGGREGATORS}
@@ -337,11 +322,6 @@ round(CASE WHEN (tp+fp)*(tp+fn)*(tn+fp)*(tn+fn) = 0 THEN 0 ELSE (tp::DOUBLE*tn -
 _FAM = r"CASE WHEN regexp_matches(low, '^lib[^.]+') THEN regexp_extract(low, '^(lib[^.]+)', 1) ELSE low END"
 _FAMS = _J + r", f0 AS (SELECT *, lower(regexp_replace(library, '(_rt|-core|-io)?\.a$', '.a')) AS low FROM x), f AS (SELECT *, " + _FAM + " AS family FROM f0)"
 _MACRO = _J + ", g AS (SELECT {k}, " + _CNT + " FROM y GROUP BY {k}), h AS (SELECT *, " + _MET + " FROM g)"
-_CONFIGS = ", ".join(f"('{'FULL' if all(b) else 'B' + ''.join(m for m, x in zip('HSXR', b) if x)}', {b[0]}, {b[1]})" for b in ((h, s, x, r) for h in (True, False) for s in (True, False) for x in (True, False) for r in (True, False)))
-_FACT = _W + f""", c(config, h, s) AS (VALUES {_CONFIGS}),
-r AS (SELECT config, build_id, library, bool_or({" AND ".join(f"coalesce({g}, 0) >= " + (f"CASE WHEN {'h' if g in P.MODULE_GATES['H'] else 's'} THEN {v}::DOUBLE ELSE 0 END" if g not in ("coverage_mean", "coverage_ratio") else f"{v}::DOUBLE") for g, v in GATE.items())}) AS p FROM w CROSS JOIN c GROUP BY ALL),
-t AS (SELECT build_id, trim(archive_basename) AS library, bool_or(selected_by_linker) AS expected FROM elf_archives GROUP BY ALL), z AS (SELECT config, coalesce(expected, false) AS e, p FROM r LEFT JOIN t USING (build_id, library)),
-g AS (SELECT config, {_CNT} FROM z GROUP BY config), o AS (SELECT *, {_MET} FROM g)"""
 _SCEN = """
 WITH c AS (SELECT DISTINCT ON (library_id) library_id AS label, trim(archive) AS family, package, toolchain AS compiler, optimization, role FROM library_archives WHERE status = 'selected'),
 pk AS (SELECT family, min(package) AS package FROM c GROUP BY family HAVING count(DISTINCT package) = 1),
@@ -382,8 +362,6 @@ SELECT build_id, tp, fp, fn, round(CASE WHEN tp+fp = 0 THEN 0 ELSE tp / (tp+fp)
     "family_argmax": _FAMS + ", g AS (SELECT build_id, family, max(ROW(score, accepted, library)) AS r FROM f WHERE score IS NOT NULL GROUP BY ALL) SELECT build_id, family, r[1] AS score, r[2] AS accepted, r[3] AS library FROM g",
     "pipeline_comparison": _J + "SELECT CASE WHEN predicted IS NULL AND expected IS NULL THEN 'missing_both' WHEN predicted IS NULL THEN 'missing_first' WHEN expected IS NULL THEN 'missing_second' WHEN predicted AND expected THEN 'both' WHEN predicted THEN 'first_only' WHEN expected THEN 'second_only' ELSE 'neither' END AS outcome, count(*) AS n, count(DISTINCT build_id) AS builds FROM x GROUP BY 1",
     "truth_left_join": _J + "SELECT build_id, library, CASE WHEN predicted IS NULL THEN 'MISSING' WHEN predicted THEN 'YES' ELSE 'NO' END AS status FROM x WHERE expected",
-    "ablation_factorial": _FACT + ' SELECT config, tp, fp, fn, tn, "precision", recall, f1 FROM o',
-    "ablation_delta": _FACT + " SELECT config, f1, round(f1 - (SELECT f1 FROM o WHERE config = 'FULL'), 6) AS delta_f1 FROM o",
     "scenario_matrix": _SCEN + """, s AS (SELECT * FROM (VALUES ('same_build_configuration', 0), ('cross_optimization_any', 1), ('cross_compiler_any', 2), ('cross_version_any', 3)) v(scenario, i)),
 o AS (SELECT DISTINCT a."case", a.family, s.scenario, c.label FROM a JOIN c ON c.family = a.family AND c.package = a.package JOIN s ON (c.optimization = a.optimization) = (s.i <> 1) AND (c.compiler = a.compiler) = (s.i <> 2) AND (c.role = a.role) = (s.i <> 3)),
 h AS (SELECT o.scenario, o."case", o.family, bool_or(k.label IS NOT NULL) AS hit FROM o LEFT JOIN k ON k."case" = o."case" AND k.label = o.label GROUP BY ALL),
