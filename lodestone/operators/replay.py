@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.plans.session import written
-from lodestone.plans.skew import lookup_join
 
 GATES = ("coverage_mean", "coverage_ratio", "assignment_quality", "assignment_ratio", "call_edge_ratio", "function_concentration", "function_spread", "function_coverage")
 #: Gates that a module of the factorial study switches off when it is missing.
@@ -67,6 +66,9 @@ def attribution(windows: DataFrame, keys: list[str], gates: Mapping[str, float])
 def _dominated(own: np.ndarray, own_at: np.ndarray, other: np.ndarray, other_at: np.ndarray, step: int = 256) -> np.ndarray:
     """Which rows of ``own`` a row of ``other`` dominates: at least as good everywhere, and better somewhere or earlier."""
     out = np.zeros(len(own), bool)
+    # good rows first, as they dominate most
+    best = np.argsort(-other.sum(1), kind="stable")
+    other, other_at = other[best], other_at[best]
     for lo in range(0, len(own), step):
         x, at = own[lo : lo + step], own_at[lo : lo + step]
         for to in range(0, len(other), 4 * step):
@@ -106,7 +108,11 @@ def pareto(windows: DataFrame, keys: list[str], metrics: Sequence[str], order: s
 
         def close() -> Iterator[pd.DataFrame]:
             if held:
-                yield held[0].drop(columns=["__s", "__own"])
+                rows = pd.concat(held)
+                if rows.__k.iloc[0] == 1:
+                    v, o = rows[names].to_numpy(float), rows[order].to_numpy()
+                    rows = rows[~_dominated(v, o, v, o)]
+                yield rows.drop(columns=["__k", "__s", "__own"])
 
         for b in batches:
             for key, part in b.groupby(["__g", "__s"], sort=False):
@@ -115,20 +121,21 @@ def pareto(windows: DataFrame, keys: list[str], metrics: Sequence[str], order: s
                     held, now = [], key
                 own, other = part[part.__own], part[~part.__own]
                 if len(own):
-                    held = [pd.concat([*held, own])]
+                    held = [*held, own]
                 if held and len(other):
-                    gone = _dominated(held[0][names].to_numpy(float), held[0][order].to_numpy(), other[names].to_numpy(float), other[order].to_numpy())
-                    held = [held[0][~gone]]
+                    whole = pd.concat(held)
+                    held = [whole[~_dominated(whole[names].to_numpy(float), whole[order].to_numpy(), other[names].to_numpy(float), other[order].to_numpy())]]
         yield from close()
 
     group = F.to_json(F.struct(*keys)) if keys else F.lit("")
     rows = windows.filter(finite).withColumn("__g", group)
     part = written(rows.mapInPandas(local, rows.schema), "pareto-local")
-    sizes = part.groupBy("__g").agg(F.count(F.lit(1)).alias("__w")).withColumn("__k", F.ceil(F.col("__w") / part_rows).cast("int"))
-    sized = lookup_join(part, sizes, "__g", "__w")
+    # groups that need more than one part: a row stands for part_rows rows at least; AQE splits the join if one is hot
+    large = part.groupBy("__g").agg(F.count(F.lit(1)).alias("__w")).filter(F.col("__w") > part_rows).select("__g", F.ceil(F.col("__w") / part_rows).cast("int").alias("__k"))
+    sized = part.join(large, "__g", "left").withColumn("__k", F.coalesce("__k", F.lit(1)))
     own = sized.withColumn("__s", F.pmod(F.xxhash64(order), F.col("__k")).cast("int")).withColumn("__own", F.lit(True))
-    other = sized.withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__k") - 1))).withColumn("__own", F.lit(False))
-    both = own.unionByName(other).drop("__k").repartition("__g", "__s").sortWithinPartitions("__g", "__s", F.desc("__own"))
+    other = sized.filter("__k > 1").withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__k") - 1))).withColumn("__own", F.lit(False))
+    both = own.unionByName(other).repartition("__g", "__s").sortWithinPartitions("__g", "__s", F.desc("__own"))
     return both.mapInPandas(scan, part.schema).drop("__g").select(*windows.columns)
 
 

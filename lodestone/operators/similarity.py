@@ -12,7 +12,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.assignment import assignment_scores
@@ -162,44 +162,52 @@ def match_pair(cu: tuple, elf: tuple, p: MatchParams, cu_edges: set = frozenset(
     return out
 
 
-def packs(cus: DataFrame, edges: DataFrame | None = None, pack_blocks: int = 8192) -> DataFrame:
-    """Library units in packs of about ``pack_blocks`` blocks: ``cls, pack`` and, by unit, ``units, n_functions, sizes, functions, vectors, edge_sizes, edges``.
+def classes(cus: DataFrame, pack_blocks: int = 8192) -> dict[int, tuple[int, int]]:
+    """Blocks and packs of each class of library units: the power of two that holds a unit's functions. One row a power of two is fetched."""
+    n = cus.groupBy(_class().alias("cls")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return {r.cls: (r.n, -(-r.n // pack_blocks)) for r in n}
 
-    ``cls`` is the power of two that holds the unit's functions. A unit is never split.
-    """
+
+def _class() -> Column:
+    return F.ceil(F.log2(F.greatest("n_functions", F.lit(1)))).cast("int")
+
+
+def packs(cus: DataFrame, known: dict[int, tuple[int, int]], edges: DataFrame | None = None) -> DataFrame:
+    """Library units in packs: ``cls, pack`` and, by unit, ``units, n_functions, sizes, functions, vectors, edge_sizes, edges``. A unit is never split."""
     b = cus.groupBy("unit", "n_functions").agg(F.array_sort(F.collect_list(F.struct("f", "pos", "v"))).alias("b"), F.count(F.lit(1)).alias("size"))
-    b = b.withColumn("cls", F.ceil(F.log2(F.greatest("n_functions", F.lit(1)))).cast("int"))
+    b = b.withColumn("cls", _class())
     if edges is not None:
         e = edges.groupBy("unit").agg(F.flatten(F.array_sort(F.collect_list(F.array("a", "b")))).alias("e"))
         b = b.join(e, "unit", "left")
     else:
         b = b.withColumn("e", F.lit(None).cast("array<int>"))
-    b = written(b.withColumn("e", F.coalesce("e", F.array().cast("array<int>"))), "match-units")
-    n = b.groupBy("cls").agg(F.ceil(F.sum("size") / pack_blocks).alias("n_packs"))
-    # one row for each power of two
-    b = b.join(F.broadcast(n), "cls").withColumn("pack", F.pmod(F.xxhash64("unit"), F.col("n_packs")).cast("int"))
-    u = b.groupBy("cls", "n_packs", "pack").agg(F.array_sort(F.collect_list(F.struct(F.col("unit").cast("string").alias("unit"), "n_functions", "size", "b", "e"))).alias("u"))
+    n_packs = _by_class({c: n for c, (_, n) in known.items()})
+    b = b.withColumns({"e": F.coalesce("e", F.array().cast("array<int>")), "pack": F.pmod(F.xxhash64("unit"), n_packs).cast("int")})
+    u = b.groupBy("cls", "pack").agg(F.array_sort(F.collect_list(F.struct(F.col("unit").cast("string").alias("unit"), "n_functions", "size", "b", "e"))).alias("u"))
     of = lambda f: F.transform("u", f)
     return u.select(
-        "cls", "n_packs", "pack", of(lambda x: x["unit"]).alias("units"), of(lambda x: x["n_functions"]).alias("n_functions"), of(lambda x: x["size"]).alias("sizes"), F.flatten(of(lambda x: F.transform(x["b"], lambda y: y["f"]))).alias("functions"),
+        "cls", "pack", of(lambda x: x["unit"]).alias("units"), of(lambda x: x["n_functions"]).alias("n_functions"), of(lambda x: x["size"]).alias("sizes"), F.flatten(of(lambda x: F.transform(x["b"], lambda y: y["f"]))).alias("functions"),
         F.flatten(F.flatten(of(lambda x: F.transform(x["b"], lambda y: y["v"])))).alias("vectors"), of(lambda x: F.size(x["e"])).alias("edge_sizes"), F.flatten(of(lambda x: x["e"])).alias("edges"),
     )
 
 
-def tiles(elfs: DataFrame, classes: DataFrame, multiplier: float, padding: int, stride: int, edges: DataFrame | None = None) -> DataFrame:
+def _by_class(values: dict[int, int]) -> Column:
+    return F.coalesce(*(F.when(F.col("cls") == c, v) for c, v in values.items()), F.lit(1))
+
+
+def tiles(elfs: DataFrame, wide: dict[int, int], stride: int, edges: DataFrame | None = None) -> DataFrame:
     """Binaries in tiles: ``elf, cls, tile, first, stride, whole`` (functions of the binary), ``tile_functions, tile_vectors, tile_edges``.
 
-    A class's tile begins every ``stride`` functions (or every widest window of the class, if that is more) and
-    goes on for one widest window, so each function is in two tiles at most and each window in one.
+    ``wide`` has the widest window of each class. A class's tile begins every ``stride`` functions (or every widest window, if that is more)
+    and goes on for one widest window, so each function is in two tiles at most and each window in one.
     """
-    wide = F.greatest(F.pow(2, "cls"), F.ceil(F.pow(2, "cls") * multiplier) + padding).cast("int")
-    # one row for each power of two
-    spec = F.broadcast(classes.select("cls", F.greatest(wide, F.lit(stride)).alias("stride"), wide.alias("wide")))
+    spec = F.explode(F.array(*(F.struct(F.lit(c).alias("cls"), F.lit(max(w, stride)).alias("stride"), F.lit(w).alias("wide")) for c, w in wide.items())))
 
     def cut(df: DataFrame, low: str, high: str) -> DataFrame:
         begin = F.greatest(F.lit(0), F.floor((F.col(high) - F.col("stride") - F.col("wide") + 1) / F.col("stride")) + 1)
-        return df.crossJoin(spec).withColumn("tile", F.explode(F.filter(F.sequence(begin, F.floor(F.col(low) / F.col("stride"))), lambda t: (t * F.col("stride") <= F.col(low)) & (F.col(high) < t * F.col("stride") + F.col("stride") + F.col("wide") - 1)))) \
-            .withColumn("tile", F.col("tile").cast("int"))
+        inside = lambda t: (t * F.col("stride") <= F.col(low)) & (F.col(high) < (t + 1) * F.col("stride") + F.col("wide") - 1)
+        each = F.explode(F.filter(F.sequence(begin, F.floor(F.col(low) / F.col("stride"))), inside))
+        return df.withColumn("__c", spec).select("*", "__c.*").withColumn("tile", each).withColumn("tile", F.col("tile").cast("int"))
 
     g = cut(elfs, "f", "f").groupBy(F.col("unit").alias("elf"), "cls", "tile", "stride", F.col("n_functions").alias("whole")).agg(F.array_sort(F.collect_list(F.struct("f", "pos", "v"))).alias("b"))
     g = g.select("elf", "cls", "tile", (F.col("tile") * F.col("stride")).alias("first"), "stride", "whole", F.transform("b", lambda x: x["f"]).alias("tile_functions"), F.flatten(F.transform("b", lambda x: x["v"])).alias("tile_vectors"))
@@ -210,26 +218,24 @@ def tiles(elfs: DataFrame, classes: DataFrame, multiplier: float, padding: int,
     return g.join(e, ["elf", "cls", "tile"], "left").withColumn("tile_edges", F.coalesce("tile_edges", F.array().cast("array<int>")))
 
 
-def _met(packed: DataFrame, tiled: DataFrame, broadcast_blocks: int, only: DataFrame | None = None) -> DataFrame:
+def _met(packed: DataFrame, tiled: DataFrame, known: dict[int, tuple[int, int]], broadcast_blocks: int, only: DataFrame | None = None) -> DataFrame:
     """Every pack beside every tile of its class, or beside those of ``only(cu, elf)``, which then come as ``allowed``.
 
-    Packs of up to ``broadcast_blocks`` blocks in all, which are counted, are broadcast; more meet the tiles in a shuffle that
+    Packs of up to ``broadcast_blocks`` blocks in all are broadcast; more meet the tiles in a shuffle that
     spreads each pack over as many tasks as the session has cores.
     """
-    packed = written(packed, "match-packs")
-    # one row for each power of two
-    turns = tiled.join(F.broadcast(packed.select("cls", "n_packs").distinct()), "cls").withColumn("pack", F.explode(F.sequence(F.lit(0), (F.col("n_packs") - 1).cast("int")))).drop("n_packs")
+    n_packs = _by_class({c: n for c, (_, n) in known.items()})
+    turns = tiled.withColumn("pack", F.explode(F.sequence(F.lit(0), (n_packs - 1).cast("int"))))
     if only is not None:
+        packed = written(packed, "match-packs")
         place = packed.select("cls", "pack", F.explode("units").alias("cu"))
         allowed = only.join(place, "cu").groupBy("elf", "cls", "pack").agg(F.collect_list("cu").alias("allowed"))
         turns = turns.withColumn("elf", F.col("elf").cast("string")).join(allowed, ["elf", "cls", "pack"])
-    body = packed.drop("n_packs")
-    total = packed.agg(F.coalesce(F.sum(F.size("functions")), F.lit(0)).alias("n")).first().n
-    if total <= broadcast_blocks:
-        return turns.join(F.broadcast(body), ["cls", "pack"])
+    if sum(n for n, _ in known.values()) <= broadcast_blocks:
+        return turns.join(F.broadcast(packed), ["cls", "pack"])
     salts = packed.sparkSession.sparkContext.defaultParallelism
     turns = turns.withColumn("salt", F.pmod(F.xxhash64("elf", "tile"), F.lit(salts)).cast("int"))
-    return turns.join(body.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["cls", "pack", "salt"])
+    return turns.join(packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["cls", "pack", "salt"])
 
 
 def _units_of(x, allowed=None):
@@ -249,8 +255,12 @@ def match_windows(cus: DataFrame, elfs: DataFrame, params: MatchParams, cu_edges
     """
     given, filtered = asdict(params), only is not None
     both = cu_edges is not None and elf_edges is not None
-    packed = written(packs(cus, cu_edges if both else None), "match-packs")
-    tiled = tiles(elfs, packed.select("cls").distinct(), params.multiplier, params.padding, stride, elf_edges if both else None)
+    known = classes(cus)
+    if not known:
+        return elfs.sparkSession.createDataFrame([], WINDOW)
+    packed = packs(cus, known, cu_edges if both else None)
+    wide = {c: max(2**c, int(np.ceil(2**c * params.multiplier)) + params.padding) for c in known}
+    tiled = tiles(elfs, wide, stride, elf_edges if both else None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = MatchParams(**given)
@@ -265,7 +275,7 @@ def match_windows(cus: DataFrame, elfs: DataFrame, params: MatchParams, cu_edges
                     rows += [{"cu": unit, "elf": str(x.elf), **w} for w in found]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in WINDOW.split(", ")])
 
-    return _met(packed, tiled, broadcast_blocks, only).mapInPandas(run, WINDOW)
+    return _met(packed, tiled, known, broadcast_blocks, only).mapInPandas(run, WINDOW)
 
 
 def best_windows(windows: DataFrame) -> DataFrame:
@@ -278,11 +288,11 @@ def best_windows(windows: DataFrame) -> DataFrame:
 def block_best(cus: DataFrame, elfs: DataFrame, stride: int = 256, broadcast_blocks: int = 1 << 17) -> DataFrame:
     """Of each block of each unit the best block anywhere in each binary: ``cu, elf, block, cu_function, best, elf_function`` (the first of equals)."""
     schema = "cu string, elf string, block int, cu_function int, best double, elf_function int"
-    packed = written(packs(cus), "match-packs").withColumn("cls", F.lit(0))
-    # one class for all, as no window has to fit
-    packed = packed.withColumn("pack", (F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy(F.col("units")[0])) - 1).cast("int"))
-    packed = packed.withColumn("n_packs", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-    tiled = tiles(elfs, elfs.sparkSession.range(1).select(F.lit(0).alias("cls")), 1.0, 0, stride)
+    known = classes(cus)
+    if not known:
+        return elfs.sparkSession.createDataFrame([], schema)
+    # no window has to fit, so a tile is as wide as its stride, whatever the class
+    packed, tiled = packs(cus, known), tiles(elfs, {c: 1 for c in known}, stride)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -296,7 +306,7 @@ def block_best(cus: DataFrame, elfs: DataFrame, stride: int = 256, broadcast_blo
                 parts.append(pd.DataFrame({"cu": np.repeat(np.asarray(x.units, object), sizes), "elf": str(x.elf), "block": block, "cu_function": np.asarray(x.functions, int), "best": sim[np.arange(len(at)), at], "elf_function": ef[at]}))
             yield pd.concat(parts) if parts else pd.DataFrame([], columns=[c.split()[0] for c in schema.split(", ")])
 
-    found = _met(packed, tiled, broadcast_blocks).mapInPandas(run, schema)
+    found = _met(packed, tiled, known, broadcast_blocks).mapInPandas(run, schema)
     top = F.max(F.struct("best", (-F.col("elf_function")).alias("low"))).alias("t")
     return found.groupBy("cu", "elf", "block", "cu_function").agg(top).select("cu", "elf", "block", "cu_function", F.col("t.best").alias("best"), (-F.col("t.low")).alias("elf_function"))
 

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from lodestone.functions.assignment import assign_max, assignment_scores
 from lodestone.functions.source_tokens import source_tokens
 from lodestone.operators.decide import library_score
-from lodestone.operators.similarity import GATES, MatchParams, block_best, dense_edges, full_match, indexed_blocks, match_pair, match_windows, packs, rolling_max, window_size
+from lodestone.operators.similarity import GATES, MatchParams, block_best, classes, dense_edges, full_match, indexed_blocks, match_pair, match_windows, packs, rolling_max, window_size
 
 
 @settings(max_examples=80, deadline=None)
@@ -124,7 +124,7 @@ def test_tiles_give_the_windows_of_whole_binaries(spark):
             assert all(abs(r[k] - w[k]) < 1e-6 for k in ("coverage_min", *GATES)) and (r.passed, r.evaluated, r.window_stop, r.windows_total) == (w["passed"], w["evaluated"], w["window_stop"], w["windows_total"])
     m = full_match(*sides, p, *calls, stride=5).collect()
     assert {(r.cu, r.elf) for r in m} == {(a, b) for a, b, _ in want} and len(m) == len({(a, b) for a, b, _ in want})
-    assert packs(sides[0], pack_blocks=4).agg({"pack": "max"}).first()[0] > 0
+    assert packs(sides[0], classes(sides[0], pack_blocks=4)).agg({"pack": "max"}).first()[0] > 0
 
 
 def test_empty_sides(spark):
