@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -268,8 +268,10 @@ def nearest(
         yield from best(len(ids))
 
     points = src.mapInArrow(packed, "id bigint, scale float, vec binary")
-    base = written(points.withColumn("asked", F.expr(queries)).groupBy("vec", "scale").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count(F.lit(1)).alias("w"), F.bool_or("asked").alias("asked")), "knn-vectors")
-    rows = base.count()
+    seen = Observation()
+    base = points.withColumn("asked", F.expr(queries)).groupBy("vec", "scale").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count(F.lit(1)).alias("w"), F.bool_or("asked").alias("asked"))
+    base = written(base.observe(seen, F.count(F.lit(1)).alias("rows")), "knn-vectors")
+    rows = seen.get["rows"]
     if exact:
         near = all_pairs(base.filter("asked"), base, k, dim)
     else:
