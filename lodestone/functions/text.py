@@ -11,9 +11,18 @@ FLOW_TYPES = ("call", "ccall", "cjmp", "jmp", "rcall", "rjmp", "ucall", "ujmp")
 FLOW_MNEMONICS = ("call", "callf", "jmp", "jmpf", "loop", "loope", "loopne", "loopnz", "loopz", "xbegin")
 SIZE_WORDS = ("byte", "dword", "far", "fs", "gs", "near", "oword", "qword", "tword", "word", "xmmword", "ymmword", "zmmword")
 REGISTER = (
-    r"^(r(1[0-5]|[8-9])(b|d|w)?|[re]?(ax|bx|cx|dx|si|di|bp|sp|ip)|[abcd][hl]|[sd]il|[bs]pl|[cdefgs]s"
-    r"|[xyz]mm([12]?[0-9]|3[01])|mm[0-7]|st(\([0-7]\)|[0-7])|k[0-7]|bnd[0-3]|cr([0-9]|1[0-5])|dr([0-9]|1[0-5])"
-    r"|rflags|eflags|flags|mxcsr|eiz|riz)$"
+    r"^(?:"
+    r"(?:r(?:1[0-5]|[8-9])(?:b|d|w)?)|"
+    r"(?:[re]?(?:ax|bx|cx|dx|si|di|bp|sp|ip))|"
+    r"(?:[abcd][hl])|"
+    r"(?:[sd]il|[bs]pl)|"
+    r"(?:[cdefgs]s)|"
+    r"(?:[xyz]mm(?:[12]?[0-9]|3[01]))|"
+    r"(?:mm[0-7])|(?:st(?:\([0-7]\)|[0-7]))|"
+    r"(?:k[0-7])|(?:bnd[0-3])|"
+    r"(?:cr(?:[0-9]|1[0-5]))|(?:dr(?:[0-9]|1[0-5]))|"
+    r"(?:rflags|eflags|flags|mxcsr|eiz|riz)"
+    r")$"
 )
 # the character before a symbol is captured, as neither engine need look behind
 SYMBOL = r"(^|[^0-9a-z_])(sym(\.imp)?|fcn|loc|obj|str|reloc|section|segment)\.[^\s,\[\]+*():]+"
@@ -36,8 +45,10 @@ def _operand_token(t: Column, references: Column | None) -> Column:
     bare = F.regexp_replace(t, "^%+", "")
     digits = F.coalesce(F.nullif(F.ltrim(F.substring(t, 3, 64), F.lit("0")), F.lit("")), F.lit("0"))
     decimal = t.try_cast("bigint")
-    value = F.when(t.rlike("^0x[0-9a-f]{1,15}$"), F.conv(F.substring(t, 3, 64), 16, 10).cast("bigint")).otherwise(decimal)
-    known = F.array_contains(references, value) if references is not None else F.lit(False)
+    # as decimal text, since 16 hex digits may exceed a BIGINT
+    whole = F.coalesce(F.nullif(F.ltrim(t, F.lit("0")), F.lit("")), F.lit("0"))
+    value = F.when(t.rlike("^0x[0-9a-f]+$") & (F.length(digits) <= 16), F.conv(digits, 16, 10)).when(t.rlike("^[0-9]+$"), whole)
+    known = F.coalesce(F.array_contains(F.transform(references, lambda x: x.cast("string")), value), F.lit(False)) if references is not None else F.lit(False)
     hexed = F.when(t.rlike("^0x[0-9a-f]+$"), F.concat(F.lit("0x"), digits)).when(t.rlike("^[0-9]+$") & decimal.isNotNull(), F.concat(F.lit("0x"), F.lower(F.hex(decimal))))
     return (
         F.when(_in(t, ("[", "]", "+", "-", "*", ":", "address")), t)
@@ -80,6 +91,16 @@ def normalize_instruction(text: Column, mode: str = "v2", **kw) -> Column:
     return normalize_legacy(text) if mode == "legacy" else normalize_v2(text, **kw)
 
 
+def normalize_record(disasm: Column, opcode: Column, mode: str = "v2", instruction_type: Column | None = None, jump: Column | None = None, pointer: Column | None = None) -> Column:
+    """The instruction of a disassembler's record: its ``disasm`` text or, if that is null or empty, its ``opcode``; its own jump and pointer are references."""
+    text = F.coalesce(F.nullif(disasm, F.lit("")), opcode, F.lit(""))
+    if mode != "v2":
+        return normalize_instruction(text, mode)
+    refs = [x.cast("bigint") for x in (jump, pointer) if x is not None]
+    references = F.filter(F.array(*refs), lambda x: x.isNotNull() & (x >= 0)) if refs else None
+    return normalize_v2(text, instruction_type, references)
+
+
 def canonical_symbol(name: Column) -> Column:
     """One leading ``sym.imp.``, ``sym.`` or ``reloc.`` off, and what follows ``@``."""
     return F.split_part(F.regexp_replace(name, r"^(sym\.imp\.|sym\.|reloc\.)", ""), F.lit("@"), F.lit(1))
@@ -149,3 +170,44 @@ def valid_sha256(value: Column) -> Column:
 def finite_ratio(value: Column) -> Column:
     """Is it a finite number from 0 to 1?"""
     return F.coalesce(~F.isnan(value) & value.between(0.0, 1.0), F.lit(False))
+
+
+def path_coordinates(path: Column) -> dict[str, Column]:
+    """``toolchain, optimization, archive`` from the last three parts of a path; null for shorter paths."""
+    parts = F.split(path, "/")
+    at = lambda i: F.nullif(F.get(parts, F.size(parts) - i), F.lit(""))
+    deep = F.size(parts) >= 3
+    return {n: F.when(deep, at(i)) for n, i in (("toolchain", 3), ("optimization", 2), ("archive", 1))}
+
+
+def path_label(path: Column) -> Column:
+    """A name for a path that is safe in file names: its parts joined by ``__``."""
+    return safe_name(F.regexp_replace(F.regexp_replace(path, "^/+", ""), "/+", "__"))
+
+
+def source_build(value: Column) -> Column:
+    """The spelling of a source folder: basename in lower case, the first ``-v`` before the version as ``-``."""
+    low = F.lower(basename(value))
+    at = F.instr(low, "-v")
+    return F.when(at > 0, F.concat(F.substring(low, F.lit(1), at), F.substring(low, at + 2, F.length(low)))).otherwise(low)
+
+
+def render_identity(*parts: Column) -> Column:
+    """``a|b|c``; null parts are empty."""
+    return F.concat_ws("|", *(F.coalesce(p, F.lit("")) for p in parts))
+
+
+def parse_identity(value: Column, names: list[str]) -> Column:
+    """The parts of ``a|b|c`` as a struct; what follows the last bar that is needed belongs to the last part."""
+    parts = F.split(value, r"\|", len(names))
+    return F.struct(*(F.get(parts, i).alias(n) for i, n in enumerate(names)))
+
+
+def iso_time(value: Column) -> Column:
+    """``YYYY-MM-DDTHH:MM:SS``."""
+    return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def clock(seconds: Column) -> Column:
+    """``HH:MM:SS`` of whole seconds; hours may exceed a day."""
+    return F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600), F.pmod(F.floor(seconds / 60), F.lit(60)), F.pmod(seconds, F.lit(60)))

@@ -52,13 +52,39 @@ def with_all(df: DataFrame, key: str, sub: str) -> DataFrame:
     return metrics(agg.select(key, F.when(F.col("__all") == 1, "ALL").otherwise(F.col(sub)).alias(sub), "tp", "fp", "fn", "tn"))
 
 
+#: The rates whose plain mean over groups is reported.
+MACRO = ("accuracy", "precision", "recall", "specificity", "f1", "balanced_accuracy")
+
+
 def pooled_and_macro(df: DataFrame, key: str) -> DataFrame:
-    """One row with pooled counts and f1, and the plain mean of each group's precision, recall and f1."""
+    """One row with pooled counts and metrics, and the plain mean over groups of six rates (``MACRO``)."""
     by = metrics(df.groupBy(key).agg(*counts()))
-    pooled = by.agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")), *(F.round(F.avg(c), 6).alias(f"macro_{c}") for c in ("precision", "recall", "f1")), F.count(F.lit(1)).alias("groups"))
+    pooled = by.agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")), *(F.round(F.avg(c), 6).alias(f"macro_{c}") for c in MACRO), F.count(F.lit(1)).alias("groups"))
     return metrics(pooled)
 
 
+def cu_metrics(predicted: DataFrame, expected: DataFrame, candidates: DataFrame, keys: list[str], cu: str = "cu") -> DataFrame:
+    """One row ``cu_evaluated_pairs, cu_tp, cu_fp, cu_fn, cu_precision, cu_recall, cu_f1`` of unit identities; there is no tn.
+
+    ``candidates(keys.., expected, labelled)`` are the pairs of case and candidate: one that is expected but has no labelled units is left
+    out, all units predicted for one that is not expected are false. ``predicted`` and ``expected`` are ``(keys.., cu)``.
+    """
+    kept = candidates.filter(~F.coalesce("expected", F.lit(False)) | F.coalesce("labelled", F.lit(False))).select(*keys, F.coalesce("expected", F.lit(False)).alias("__e")).distinct()
+    p = predicted.select(*keys, cu).distinct().withColumn("__p", F.lit(True))
+    e = expected.select(*keys, cu).distinct().withColumn("__t", F.lit(True))
+    full = kept.join(p.join(e, [*keys, cu], "full"), keys, "left")
+    hit, said = F.coalesce(F.col("__t"), F.lit(False)) & F.col("__e"), F.coalesce("__p", F.lit(False))
+    c = full.agg(F.count_distinct(F.struct(*keys)).alias("cu_evaluated_pairs"), F.count_if(hit & said).alias("cu_tp"), F.count_if(~hit & said).alias("cu_fp"), F.count_if(hit & ~said).alias("cu_fn"))
+    tp, fp, fn = (F.col(x).cast("double") for x in ("cu_tp", "cu_fp", "cu_fn"))
+    return c.withColumns({"cu_precision": F.round(ratio(tp, tp + fp), 6), "cu_recall": F.round(ratio(tp, tp + fn), 6), "cu_f1": F.round(ratio(2 * tp, 2 * tp + fp + fn), 6)})
+
+
+def evaluated(decisions: DataFrame, case: str, family: Column, exact: bool = False) -> DataFrame:
+    """Counts and metrics over families of builds, of which one expected or predicted build is enough; with ``exact`` over single builds."""
+    rows = decisions if exact else decisions.withColumn("__f", family).groupBy(case, "__f").agg(F.coalesce(F.bool_or("expected"), F.lit(False)).alias("expected"), F.coalesce(F.bool_or("predicted"), F.lit(False)).alias("predicted"))
+    return metrics(rows.agg(*counts()))
+
+
 def folds(df: DataFrame, fold: Column) -> DataFrame:
     """Cross-validation summary: mean and population deviation of the folds' f1, and the pooled f1."""
     by = metrics(df.groupBy(fold.alias("fold")).agg(*counts()))

@@ -12,12 +12,24 @@ def ascii_strings(data: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("([ -~]{4,})"), F.lit(1))
 
 
+def constant_sections(sections: DataFrame, unit: list[str], name: str, size: str, data: str, order: str) -> DataFrame:
+    """``unit.., data, strings, n_sections``: a unit's constant data, its sections joined by one NUL byte, and the strings of each.
+
+    Sections are named ``.rodata`` or ``.rodata.*``; one whose data is null or not ``size`` bytes long is skipped. Strings never
+    run over a section's end. Units without such a section have no row; a unit's sections are bounded by the unit.
+    """
+    own = (F.col(name) == ".rodata") | F.col(name).startswith(".rodata.")
+    s = sections.filter(own & (F.octet_length(data) == F.col(size))).select(*unit, F.struct(F.col(order).alias("o"), F.hex(F.col(data).cast("binary")).alias("h"), ascii_strings(F.col(data)).alias("s")).alias("x"))
+    g = s.groupBy(*unit).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return g.select(*unit, F.unhex(F.array_join(F.transform("x", lambda v: v["h"]), "00")).alias("data"), F.flatten(F.transform("x", lambda v: v["s"])).alias("strings"), F.size("x").alias("n_sections"))
+
+
 def gram_rows(df: DataFrame, keys: list[str], data: str, n: int = 16) -> DataFrame:
     """``keys.., gram``: the ``n``-byte grams of a binary or text column as hex, one row each, without all-zero ones.
 
     Data shorter than ``n`` is one gram; null and empty data has none. Grams are cut in generated code, one hex text a row.
     """
-    # a text becomes as many rows as it has bytes: spread the texts first
+    # a text becomes up to as many rows as it has bytes: spread the texts first, and take each gram of a text once
     raw = df.select(*keys, F.col(data).cast("binary").alias("__b")).filter(F.octet_length("__b") > 0).repartition(*keys)
     # slices of binary cost the same wherever they lie, unlike those of text
     cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length("__b") - (n - 1), F.lit(1))), lambda i: F.substring("__b", i, F.lit(n)))

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCENARIOS = ("same_build_configuration", "cross_optimization_any", "cross_compiler_any", "cross_version_any")
+SCENARIOS = ("same_exact_artifact", "same_build_configuration", "cross_optimization_any", "cross_compiler_any", "cross_version_any")
 #: Which of (compiler, optimization, role) must differ; the others, and the package, must agree.
 DIFFERS = {"same_build_configuration": None, "cross_optimization_any": "optimization", "cross_compiler_any": "compiler", "cross_version_any": "role"}
 
 
 def compatible(scenario: str, anchor: str = "a", candidate: str = "c") -> Column:
-    """Predicate between an anchor and a candidate build; an unknown scenario is an error. Nulls never agree."""
+    """Predicate between an anchor and a candidate build; an unknown scenario is an error. Nulls never agree.
+
+    ``same_exact_artifact`` is the anchor's own ``label``, whatever its coordinates.
+    """
+    if scenario == "same_exact_artifact":
+        return F.coalesce(F.col(f"{anchor}.label") == F.col(f"{candidate}.label"), F.lit(False))
     if scenario not in DIFFERS:
         raise ValueError(f"unknown scenario {scenario!r}")
     out = F.col(f"{anchor}.package") == F.col(f"{candidate}.package")
@@ -24,8 +29,8 @@ def compatible(scenario: str, anchor: str = "a", candidate: str = "c") -> Column
 def scenario_outcomes(anchors: DataFrame, candidates: DataFrame, accepted: DataFrame) -> DataFrame:
     """One row for each scenario, case and expected family: ``outcome`` tp, or fn by ``reason``.
 
-    ``anchors(case, family, package, compiler, optimization, role)``: anchors with a null coordinate are
-    left out. ``candidates(label, family, package, ...)`` is the catalog, ``accepted(case, label)``.
+    ``anchors(case, family, label, package, compiler, optimization, role)``: anchors with a null coordinate are
+    left out; ``label`` is the very build that was linked, or null. ``candidates(label, family, package, ...)`` is the catalog, ``accepted(case, label)``.
     """
     full = anchors.dropna(subset=["package", "compiler", "optimization", "role"]).distinct()
     grid = full.select("case", "family").distinct().withColumn("scenario", F.explode(F.array(*map(F.lit, SCENARIOS))))
@@ -61,6 +66,32 @@ def transitions(anchors: DataFrame, candidates: DataFrame, accepted: DataFrame,
     return hit.groupBy("source_value", "target_value").agg(F.count(F.lit(1)).alias("positives"), F.count_if("hit").alias("detected"))
 
 
+def with_provenance(refs: DataFrame, catalog: DataFrame, path: str) -> DataFrame:
+    """References with the coordinates of the archive their ``path`` names: ``label, package, compiler, optimization, role, source``.
+
+    ``catalog(label, path, family, package, compiler, optimization, role)``. The catalog's row of the same path wins (``exact_path``); then
+    the reference's own columns fill what is missing; then the path's folders give compiler and optimization, and package
+    or role are taken from the family's builds of these where they have only one (``path_parts``, else ``unresolved``).
+    """
+    from lodestone.functions.text import path_coordinates
+
+    exact = catalog.filter("path is not null").groupBy(F.col("path").alias("__path")).agg(F.min(F.struct("label", "package", "compiler", "optimization", "role")).alias("__x"))
+    parts = path_coordinates(F.col(path))
+    known = catalog.select("compiler", "optimization").distinct()
+    single = catalog.groupBy("family", "compiler", "optimization").agg(*(F.when(F.countDistinct(c) == 1, F.min(c)).alias(f"__{c}") for c in ("package", "role")))
+    r = refs.withColumns({"__path": F.col(path), "__pc": parts["toolchain"], "__po": parts["optimization"]})
+    r = r.join(exact, "__path", "left").join(known.select(F.col("compiler").alias("__pc"), F.col("optimization").alias("__po"), F.lit(True).alias("__read")), ["__pc", "__po"], "left")
+    r = r.join(single.withColumnsRenamed({"compiler": "__pc", "optimization": "__po"}), ["family", "__pc", "__po"], "left")
+    read = lambda c: F.when(F.col("__read"), F.col(c))
+    source = F.when(F.col("__x").isNotNull(), "exact_path").when(F.col("__read"), "path_parts").otherwise("unresolved")
+    keep = [c for c in refs.columns if c not in ("package", "compiler", "optimization", "role")]
+    own = lambda c: F.col(c) if c in refs.columns else F.lit(None).cast("string")
+    return r.select(
+        *keep, F.col("__x.label").alias("label"), F.coalesce("__x.package", own("package"), read("__package")).alias("package"), F.coalesce("__x.compiler", own("compiler"), read("__pc")).alias("compiler"),
+        F.coalesce("__x.optimization", own("optimization"), read("__po")).alias("optimization"), F.coalesce("__x.role", own("role"), read("__role")).alias("role"), source.alias("source"),
+    )
+
+
 def selectors(case_compiler: Column, case_optimization: Column, **replace: Column) -> dict[str, Column]:
     """The baseline build (the binary's compiler and optimization, current version) with one coordinate replaced."""
     return {k: F.coalesce(replace[k], base) if k in replace else base for k, base in (("compiler", case_compiler), ("optimization", case_optimization), ("role", F.lit("current")))}

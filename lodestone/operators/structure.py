@@ -11,6 +11,30 @@ def indexed(df: DataFrame, partition: list[str], order: list[str], name: str) ->
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1)
 
 
+def symbol_functions(symbols: DataFrame, kind: str, size: str, address: str) -> DataFrame:
+    """The symbols that stand for functions where no function list exists: kind ``FUNC``, a size above 0 and an address."""
+    return symbols.filter((F.col(kind) == "FUNC") & (F.col(size) > 0) & F.col(address).isNotNull())
+
+
+def prefix_join(keys: DataFrame, archives: DataFrame, key: str = "key", archive: str = "archive") -> DataFrame:
+    """``key, archive`` of every archive that is named as a key or begins with it and a dot; where a key is an archive's name, only that one.
+
+    The only keys that can match an archive are its name and its prefixes that end before a dot, so this is an equi join.
+    """
+    parts = F.split(archive, "\\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
+    j = archives.select(archive, F.explode(prefixes).alias(key)).join(keys.select(key), key).withColumn("__exact", F.col(archive) == F.col(key))
+    best = j.groupBy(key).agg(F.bool_or("__exact").alias("__any"))
+    return j.join(best, key).filter("__exact or not __any").select(key, archive)
+
+
+def call_edge_counts(calls: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Calls ``scope.., caller_cu, caller_function, callee_cu, callee_function`` counted by pair of functions and by pair of units (``relocations``, and for units ``function_edges``)."""
+    by_function = calls.groupBy(*scope, "caller_cu", "caller_function", "callee_cu", "callee_function").agg(F.count(F.lit(1)).alias("relocations"))
+    by_unit = by_function.groupBy(*scope, "caller_cu", "callee_cu").agg(F.sum("relocations").alias("relocations"), F.count(F.lit(1)).alias("function_edges"))
+    return by_function, by_unit
+
+
 def containing_function(addresses: DataFrame, functions: DataFrame, unit: list[str], address: str, page: int = 4096) -> DataFrame:
     """Interval join: the function of ``functions(unit.., function_index, start, stop)`` that an address falls in.
 

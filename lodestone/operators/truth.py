@@ -75,6 +75,44 @@ def _places(part: DataFrame, order: Sequence[str]) -> DataFrame:
     return local.join(F.broadcast(offsets), "__p").withColumn("position", F.col("__o") + F.col("__i")).drop("__p", "__o", "__i")
 
 
+def position_ranges(placed: DataFrame, size: int) -> DataFrame:
+    """``first, last, n`` (1-based, inclusive) of each run of ``size`` places of ``position``."""
+    return placed.groupBy(F.floor((F.col("position") - 1) / size).alias("part")).agg(F.min("position").alias("first"), F.max("position").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+def confirmed_units(archives: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys.., cu``: units that a linker map confirms, from either encoding of ground truth.
+
+    ``confirmed_compilation_units`` (names) counts where it is not null, and then only if ``confirmed_compilation_units_method`` is ``linker_map``;
+    else of ``compilation_units`` those ``included`` by ``ground_truth_method`` ``linker_map``. Names are normalised and distinct.
+    """
+    from lodestone.functions.text import cu_name
+
+    lists = F.when(F.col("confirmed_compilation_units_method") == "linker_map", F.col("confirmed_compilation_units")).otherwise(F.array().cast("array<string>"))
+    single = F.transform(F.filter("compilation_units", lambda u: F.coalesce(u["included"], F.lit(False)) & (u["ground_truth_method"] == "linker_map")), lambda u: u["compilation_unit"])
+    names = F.when(F.col("confirmed_compilation_units").isNotNull(), lists).otherwise(single)
+    return archives.select(*keys, F.explode(names).alias("__n")).select(*keys, cu_name(F.col("__n")).alias("cu")).distinct()
+
+
+def present(included: Column) -> Column:
+    """Is an archive present in the truth: it has an included unit, or no count of them."""
+    return F.when(included.isNull(), F.lit(True)).otherwise(included > 0)
+
+
+def cohort_cells(cells: DataFrame, programs: DataFrame, program: str) -> DataFrame:
+    """Expected ``program`` x cell rows: each cell (``program_count``, ``cohort_offset``, ``family``, ...) takes so many programs from its offset on, around the end to the start.
+
+    ``programs`` has ``supports`` (families) and is ordered by ``program``; both are tables of settings.
+    A null count means all programs, a null offset 0.
+    """
+    alone = Window.partitionBy(F.lit(1))
+    ring = programs.select(program, "supports", (F.row_number().over(alone.orderBy(program)) - 1).alias("__at"), F.count(F.lit(1)).over(alone).alias("__n"))
+    grid = cells.crossJoin(F.broadcast(ring))
+    count, offset = F.least(F.coalesce("program_count", "__n"), F.col("__n")), F.coalesce("cohort_offset", F.lit(0))
+    inside = F.pmod(F.col("__at") - offset, F.col("__n")) < count
+    return grid.filter(inside & F.array_contains("supports", F.col("family"))).drop("__at", "__n", "supports")
+
+
 def matrix_gap(coordinates: Sequence[DataFrame], observed: DataFrame) -> DataFrame:
     """Cells of the Cartesian matrix of a few small coordinate tables that were not observed."""
     cells = coordinates[0]

@@ -13,7 +13,7 @@ from lodestone.operators import replay as P
 from lodestone.operators import similarity as M
 from lodestone.operators import structure as S
 from lodestone.operators import truth as T
-from lodestone.plans.session import table
+from lodestone.plans.session import table, written
 from lodestone.queries import decisions as Q
 from lodestone.queries import matching as G
 
@@ -120,14 +120,18 @@ def replay_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cross_build_availability(spark: SparkSession, d: str) -> DataFrame:
-    """Of each build's linked archives: is the build asked for in the catalog, as built and with each other optimization?"""
-    anchors, cand, accepted = Q._scenario_inputs(spark, d)
-    levels = cand.select(F.col("optimization").alias("wanted")).distinct()
-    ask = anchors.select("case", "family", "package", "compiler", "role", "optimization").crossJoin(F.broadcast(levels))
-    have = cand.select("label", "family", "package", "compiler", "role", F.col("optimization").alias("wanted"))
-    j = ask.join(have, ["family", "package", "compiler", "role", "wanted"], "left").join(accepted.withColumn("got", F.lit(1)), ["case", "label"], "left")
-    per = j.groupBy("case", "family", "compiler", "role", "optimization", "wanted").agg(F.max(F.col("label").isNotNull().cast("int")).alias("available"), F.max(F.coalesce("got", F.lit(0))).alias("detected"))
-    return per.groupBy(F.concat(F.lit("to_"), "wanted").alias("scenario")).agg(F.count(F.lit(1)).alias("asked"), F.sum("available").alias("available"), F.sum("detected").alias("detected"))
+    """Of each build's linked archives: is the build asked for in the catalog, as built and with each other compiler, optimization or role?"""
+    anchors, cand, accepted = (written(x, "scenario") for x in Q._scenario_inputs(spark, d))
+    keys, parts = ["family", "package", "compiler", "optimization", "role"], []
+    for dim in ("compiler", "optimization", "role"):
+        values = cand.select(F.col(dim).alias("wanted")).distinct()
+        # the values of a coordinate are few
+        ask = anchors.dropna(subset=keys).select("case", *keys).distinct().crossJoin(F.broadcast(values))
+        have = cand.select("label", *(k for k in keys if k != dim), F.col(dim).alias("wanted"))
+        j = ask.join(have, [*(k for k in keys if k != dim), "wanted"], "left").join(accepted.withColumn("got", F.lit(1)), ["case", "label"], "left")
+        per = j.groupBy("case", *keys, "wanted").agg(F.max(F.col("label").isNotNull().cast("int")).alias("available"), F.max(F.coalesce("got", F.lit(0))).alias("detected"))
+        parts.append(per.groupBy(F.concat(F.lit(f"{dim}_to_"), "wanted").alias("scenario")).agg(F.count(F.lit(1)).alias("asked"), F.sum("available").alias("available"), F.sum("detected").alias("detected")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def reclassified(spark: SparkSession, d: str) -> DataFrame:
@@ -175,8 +179,8 @@ SELECT build_id, array_to_string(list(coalesce(t, 1) ORDER BY i), ' ') || ' 0' A
     "replay_grid": Q._W + f""", c(cm, ar) AS (VALUES {_GRID}), r AS (SELECT cm, ar, build_id, library, bool_or(coverage_mean >= cm::DOUBLE AND assignment_ratio >= ar::DOUBLE) AS p FROM w CROSS JOIN c GROUP BY ALL),
 t AS (SELECT build_id, trim(archive_basename) AS library, bool_or(selected_by_linker) AS expected FROM elf_archives GROUP BY ALL), z AS (SELECT cm, ar, coalesce(expected, false) AS e, p FROM r LEFT JOIN t USING (build_id, library)), g AS (SELECT cm, ar, {Q._CNT} FROM z GROUP BY cm, ar)
 SELECT cm::DOUBLE::VARCHAR || '/' || ar::DOUBLE::VARCHAR AS config, tp, fp, fn, round(CASE WHEN 2*tp+fp+fn = 0 THEN 0 ELSE 2*tp / (2*tp+fp+fn) END, 6) AS f1 FROM g""",
-    "cross_build_availability": Q._SCEN + """, q AS (SELECT a.*, o.wanted FROM a CROSS JOIN (SELECT DISTINCT optimization AS wanted FROM c) o),
-j AS (SELECT q."case", q.family, q.compiler, q.role, q.optimization, q.wanted, max((c.label IS NOT NULL)::INT) AS available, max((k.label IS NOT NULL)::INT) AS detected FROM q LEFT JOIN c ON c.family = q.family AND c.package = q.package AND c.compiler = q.compiler AND c.role = q.role AND c.optimization = q.wanted LEFT JOIN k ON k."case" = q."case" AND k.label = c.label GROUP BY ALL)
-SELECT 'to_' || wanted AS scenario, count(*) AS asked, sum(available)::BIGINT AS available, sum(detected)::BIGINT AS detected FROM j GROUP BY wanted""",
+    "cross_build_availability": Q._SCEN + ", d AS (SELECT DISTINCT \"case\", family, package, compiler, optimization, role FROM a), " + ", ".join(f"""j{i} AS (SELECT q."case", q.family, q.package, q.compiler, q.optimization, q.role, o.wanted, max((c.label IS NOT NULL)::INT) AS available, max((k.label IS NOT NULL)::INT) AS detected
+  FROM d q CROSS JOIN (SELECT DISTINCT {k} AS wanted FROM c) o LEFT JOIN c ON c.family = q.family AND c.package = q.package AND c.{k} = o.wanted AND c.{x} = q.{x} AND c.{y} = q.{y} LEFT JOIN k ON k."case" = q."case" AND k.label = c.label GROUP BY ALL)""" for i, (k, x, y) in enumerate((("compiler", "optimization", "role"), ("optimization", "compiler", "role"), ("role", "compiler", "optimization"))))
+    + " UNION ALL ".join(f" SELECT '{k}_to_' || wanted AS scenario, count(*) AS asked, sum(available)::BIGINT AS available, sum(detected)::BIGINT AS detected FROM j{i} GROUP BY wanted" for i, k in enumerate(("compiler", "optimization", "role"))),
     "reclassified": Q._J + ", mo AS (SELECT trim(archive_basename) AS library, max(n_functions) AS most FROM archive_members GROUP BY 1), z AS (SELECT CASE WHEN most IS NULL THEN 'unknown' WHEN most <= 1 THEN 'mono' ELSE 'eligible' END AS status, coalesce(expected, false) AS e, coalesce(predicted, false) AS p FROM x LEFT JOIN mo USING (library)) SELECT status, count(*) FILTER (e AND p) AS tp, count(*) FILTER (NOT e AND p) AS fp, count(*) FILTER (e AND NOT p) AS fn FROM z GROUP BY status",
 }

@@ -12,8 +12,9 @@ from lodestone.operators import decide as D
 from lodestone.operators import metrics as K
 from lodestone.operators import replay as P
 from lodestone.operators import scenario as C
+from lodestone.operators import structure as S
 from lodestone.operators import truth as T
-from lodestone.plans.session import table
+from lodestone.plans.session import table, written
 from lodestone.queries.matching import SQL as MATCHING_SQL
 
 ASM_SQL = MATCHING_SQL["asm_normalize"]
@@ -106,11 +107,13 @@ def macro_pooled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def program_macro(spark: SparkSession, d: str) -> DataFrame:
-    return K.pooled_and_macro(_judged(spark, d), "program").select("macro_precision", "macro_recall", "macro_f1", "groups")
+    return K.pooled_and_macro(_judged(spark, d), "program").select(*(f"macro_{c}" for c in K.MACRO), "groups")
 
 
 def cv_summary(spark: SparkSession, d: str) -> DataFrame:
-    return K.folds(_judged(spark, d), F.length("program") % 5)
+    """Folds as dealt by ``grouped_folds``; cases of an unknown program are in none."""
+    dealt = P.grouped_folds(_builds(spark, d).filter("program is not null"), "program", 5).select("program", "fold")
+    return K.folds(_judged(spark, d).join(dealt, "program"), F.col("fold"))
 
 
 def grouped_folds(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +122,7 @@ def grouped_folds(spark: SparkSession, d: str) -> DataFrame:
 
 def set_classification(spark: SparkSession, d: str) -> DataFrame:
     x = _decisions(spark, d).filter("build_id is not null")
-    return K.set_classification(x.filter("predicted"), x.filter("expected"), x, ["library"], "build_id").drop("tn")
+    return K.set_classification(x.filter("predicted"), x.filter("expected"), x, ["library"], "build_id")
 
 
 def family_collapse(spark: SparkSession, d: str) -> DataFrame:
@@ -143,14 +146,29 @@ def truth_left_join(spark: SparkSession, d: str) -> DataFrame:
     return x.select("build_id", "library", F.when(F.col("predicted").isNull(), "MISSING").when(F.col("predicted"), "YES").otherwise("NO").alias("status"))
 
 
-def _scenario_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _catalog(spark: SparkSession, d: str) -> DataFrame:
     lib = table(spark, d, "library_archives").filter("status = 'selected'").dropDuplicates(["library_id"])
-    cand = lib.select(F.col("library_id").alias("label"), F.trim("archive").alias("family"), "package", F.col("toolchain").alias("compiler"), "optimization", "role")
+    return lib.select(F.col("library_id").alias("label"), F.trim("archive").alias("family"), "path", "package", F.col("toolchain").alias("compiler"), "optimization", "role")
+
+
+def _scenario_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Linked archives with their coordinates, the catalog, and the builds of it that matches accept.
+
+    A match with most blocks covered is taken for every build of its library, a weaker one only for those of its binary's compiler.
+    """
+    cand = _catalog(spark, d)
     pack = cand.groupBy("family").agg(F.min("package").alias("package"), F.countDistinct("package").alias("n")).filter("n = 1").drop("n")
-    refs = table(spark, d, "elf_archives").filter("selected_by_linker").select(F.col("build_id").alias("case"), F.trim("archive_basename").alias("family"), "compiler", "optimization", F.col("version_role").alias("role"))
-    anchors = refs.join(pack, "family").select("case", "family", "package", "compiler", "optimization", "role").distinct()
-    hits = table(spark, d, "block_matches").filter("coverage_mean >= 0.7").select(F.col("build_id").alias("case"), F.trim("library").alias("family"), "target_cu_index").join(cand.select("label", "family"), "family")
-    return anchors, cand, hits.filter("label % 3 = target_cu_index % 3").select("case", "label").distinct()
+    refs = table(spark, d, "elf_archives").filter("selected_by_linker").select(F.col("build_id").alias("case"), F.trim("archive_basename").alias("family"), F.trim("archive").alias("path"), "compiler", "optimization", F.col("version_role").alias("role"))
+    anchors = C.with_provenance(refs.join(pack, "family"), cand, "path").drop("path", "source").distinct()
+    m = table(spark, d, "block_matches").filter("coverage_mean >= 0.7").join(_builds(spark, d).select("build_id", F.col("compiler").alias("own")), "build_id", "left")
+    hits = m.select(F.col("build_id").alias("case"), F.trim("library").alias("family"), (F.col("coverage_ratio") >= 0.8).alias("strong"), "own").join(cand.select("label", "family", "compiler"), "family")
+    return anchors, cand, hits.filter("strong or own = compiler").select("case", "label").distinct()
+
+
+def anchor_provenance(spark: SparkSession, d: str) -> DataFrame:
+    """What a linked archive's path alone tells of it."""
+    refs = table(spark, d, "elf_archives").dropDuplicates(["ref_id"]).select("ref_id", F.trim("archive_basename").alias("family"), F.trim("archive").alias("path"))
+    return C.with_provenance(refs, _catalog(spark, d), "path").select("ref_id", "label", "package", "compiler", "optimization", "role", "source")
 
 
 def scenario_matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -158,7 +176,9 @@ def scenario_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transitions(spark: SparkSession, d: str) -> DataFrame:
-    return C.transitions(*_scenario_inputs(spark, d), "optimization")
+    inputs = [written(x, "scenario") for x in _scenario_inputs(spark, d)]
+    parts = [C.transitions(*inputs, k).withColumn("dimension", F.lit(k)) for k in ("compiler", "optimization", "role")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
@@ -210,9 +230,16 @@ def evaluability(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_equivalence(spark: SparkSession, d: str) -> DataFrame:
-    """Unit names with the same code, for which the function count stands, in two archives or more."""
-    m = _members(spark, d).filter("name is not null and n_functions is not null")
-    return m.groupBy(X.cu_name(F.col("name")).alias("cu"), "n_functions").agg(F.countDistinct(F.trim("archive_basename")).alias("archives")).filter("archives >= 2")
+    """Unit names with the same code, of which the function count is digested, in two archives or more."""
+    m = _members(spark, d).filter("name is not null and n_functions is not null").withColumn("cu", X.cu_name(F.col("name")))
+    return m.groupBy("cu", F.sha2(F.concat_ws(":", "cu", "n_functions"), 256).alias("digest")).agg(F.countDistinct(F.trim("archive_basename")).alias("archives")).filter("archives >= 2")
+
+
+def source_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Unit names of an archive family that have differing contents, and how many of their members have a digest at all."""
+    m = _members(spark, d).filter("name is not null and archive_basename is not null")
+    g = m.groupBy(X.archive_family(F.trim("archive_basename")).alias("family"), X.cu_name(F.col("name")).alias("cu"))
+    return g.agg(F.countDistinct(F.lower("object_sha256")).alias("digests"), F.count("object_sha256").alias("mapped"), F.count(F.lit(1)).alias("members")).filter("digests >= 2")
 
 
 def catalog_constraints(spark: SparkSession, d: str) -> DataFrame:
@@ -254,12 +281,7 @@ def prefix_key_join(spark: SparkSession, d: str) -> DataFrame:
     """Catalog archives whose name equals a library or begins with its stem and a dot; an exact name wins."""
     libs = table(spark, d, "block_matches").select(F.regexp_replace(F.trim("library"), "\\.a$", "").alias("key")).distinct()
     arch = table(spark, d, "library_archives").select(F.trim("archive").alias("archive")).distinct()
-    # the only keys that can match an archive are its name and its prefixes that end before a dot
-    parts = F.split("archive", "\\.")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
-    j = arch.select("archive", F.explode(prefixes).alias("key")).join(libs, "key").withColumn("exact", F.col("archive") == F.col("key"))
-    best = j.groupBy("key").agg(F.bool_or("exact").alias("any_exact"))
-    return j.join(best, "key").filter("exact or not any_exact").select("key", "archive")
+    return S.prefix_join(libs, arch)
 
 
 def merge_replaced(spark: SparkSession, d: str) -> DataFrame:
@@ -295,8 +317,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         gate_filter, status_counts, fn_attribution, top_failures, pareto_windows, best_match, confusion_metrics, grouped_metrics, metrics_with_all, macro_pooled, program_macro, cv_summary, grouped_folds, set_classification, family_collapse, family_argmax,
-        pipeline_comparison, truth_left_join, scenario_matrix, transitions, dedup_sha, latest_wins, occurrence_rank, round_robin_shard, expected_matrix_gap, truth_summary, selection_histogram, build_diversity,
-        evaluability, source_equivalence, catalog_constraints, manifest_multiset_diff, cache_inventory, dimension_lookup, prefix_key_join, merge_replaced, label_counts, vocabulary, source_token_hash,
+        pipeline_comparison, truth_left_join, scenario_matrix, anchor_provenance, transitions, dedup_sha, latest_wins, occurrence_rank, round_robin_shard, expected_matrix_gap, truth_summary, selection_histogram, build_diversity,
+        evaluability, source_equivalence, source_differences, catalog_constraints, manifest_multiset_diff, cache_inventory, dimension_lookup, prefix_key_join, merge_replaced, label_counts, vocabulary, source_token_hash,
     )
 } | {f"library_score_{m}": partial(_library_score, m) for m in D.AGGREGATORS}
 
@@ -319,15 +341,20 @@ _CNT = "count(*) FILTER (e AND p) AS tp, count(*) FILTER (NOT e AND p) AS fp, co
 _MET = """round(CASE WHEN tp+fp+fn+tn = 0 THEN 0 ELSE (tp+tn) / (tp+fp+fn+tn) END, 6) AS accuracy, round(CASE WHEN tp+fp = 0 THEN 0 ELSE tp / (tp+fp) END, 6) AS "precision", round(CASE WHEN tp+fn = 0 THEN 0 ELSE tp / (tp+fn) END, 6) AS recall,
 round(CASE WHEN tn+fp = 0 THEN 0 ELSE tn / (tn+fp) END, 6) AS specificity, round(CASE WHEN 2*tp+fp+fn = 0 THEN 0 ELSE 2*tp / (2*tp+fp+fn) END, 6) AS f1, round((CASE WHEN tp+fn = 0 THEN 0 ELSE tp / (tp+fn) END + CASE WHEN tn+fp = 0 THEN 0 ELSE tn / (tn+fp) END) / 2, 6) AS balanced_accuracy,
 round(CASE WHEN (tp+fp)*(tp+fn)*(tn+fp)*(tn+fn) = 0 THEN 0 ELSE (tp::DOUBLE*tn - fp::DOUBLE*fn) / sqrt((tp+fp)::DOUBLE*(tp+fn)*(tn+fp)*(tn+fn)) END, 6) AS mcc, round(CASE WHEN tp+fp+fn+tn = 0 THEN 0 ELSE (tp+fn) / (tp+fp+fn+tn) END, 6) AS prevalence, tp+fp+fn+tn AS evaluated"""
+_AVG = ", ".join(f'round(avg("{c}"), 6) AS macro_{c}' for c in K.MACRO)
 _FAM = r"CASE WHEN regexp_matches(low, '^lib[^.]+') THEN regexp_extract(low, '^(lib[^.]+)', 1) ELSE low END"
 _FAMS = _J + r", f0 AS (SELECT *, lower(regexp_replace(library, '(_rt|-core|-io)?\.a$', '.a')) AS low FROM x), f AS (SELECT *, " + _FAM + " AS family FROM f0)"
 _MACRO = _J + ", g AS (SELECT {k}, " + _CNT + " FROM y GROUP BY {k}), h AS (SELECT *, " + _MET + " FROM g)"
-_SCEN = """
-WITH c AS (SELECT DISTINCT ON (library_id) library_id AS label, trim(archive) AS family, package, toolchain AS compiler, optimization, role FROM library_archives WHERE status = 'selected'),
-pk AS (SELECT family, min(package) AS package FROM c GROUP BY family HAVING count(DISTINCT package) = 1),
-a0 AS (SELECT DISTINCT build_id AS "case", trim(archive_basename) AS family, compiler, optimization, version_role AS role FROM elf_archives WHERE selected_by_linker),
-a AS (SELECT DISTINCT a0.*, pk.package FROM a0 JOIN pk USING (family) WHERE a0.compiler IS NOT NULL AND a0.optimization IS NOT NULL AND a0.role IS NOT NULL AND pk.package IS NOT NULL),
-k AS (SELECT DISTINCT b.build_id AS "case", c.label, c.family FROM block_matches b JOIN c ON c.family = trim(b.library) WHERE b.coverage_mean >= 0.7 AND c.label % 3 = b.target_cu_index % 3)
+_CAT = """
+WITH c AS (SELECT DISTINCT ON (library_id) library_id AS label, trim(archive) AS family, path, package, toolchain AS compiler, optimization, role FROM library_archives WHERE status = 'selected'),
+xp AS (SELECT path AS xpath, min(ROW(label, package, compiler, optimization, role)) AS r FROM c WHERE path IS NOT NULL GROUP BY path)
+"""
+_SCEN = _CAT + """, pk AS (SELECT family, min(package) AS package FROM c GROUP BY family HAVING count(DISTINCT package) = 1),
+a0 AS (SELECT DISTINCT build_id AS "case", e.family, r[1] AS label, coalesce(r[3], e.compiler) AS compiler, coalesce(r[4], e.optimization) AS optimization, coalesce(r[5], version_role) AS role, coalesce(r[2], pk.package) AS package
+  FROM (SELECT *, trim(archive_basename) AS family, trim(archive) AS p FROM elf_archives WHERE selected_by_linker) e JOIN pk ON pk.family = e.family LEFT JOIN xp ON xpath = e.p),
+a AS (SELECT * FROM a0 WHERE compiler IS NOT NULL AND optimization IS NOT NULL AND role IS NOT NULL AND package IS NOT NULL),
+bb AS (SELECT DISTINCT ON (build_id) * FROM build_info ORDER BY build_id, ingested_at DESC), ob AS (SELECT build_id, replace(lower(trim(regexp_extract(compiler, '[^/]*$'))), ' ', '-') AS own FROM bb),
+k AS (SELECT DISTINCT b.build_id AS "case", c.label, c.family FROM block_matches b JOIN c ON c.family = trim(b.library) LEFT JOIN ob ON ob.build_id = b.build_id WHERE b.coverage_mean >= 0.7 AND (b.coverage_ratio >= 0.8 OR ob.own = c.compiler))
 """
 _MEM = "WITH m AS (SELECT DISTINCT ON (member_id) * FROM archive_members), n AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_extract(name, '[^/]*$'), '\\.o$', ''), '\\.c$', ''), '^(libpcre2_8_la-|libpcre2_posix_la-)', '') AS cu FROM m)"
 
@@ -352,24 +379,30 @@ SQL = {
     "confusion_metrics": _J + f", g AS (SELECT {_CNT} FROM y) SELECT *, {_MET} FROM g",
     "grouped_metrics": _J + f", g AS (SELECT CASE WHEN grouping(compiler) = 0 THEN 'compiler' WHEN grouping(program) = 0 THEN 'program' WHEN grouping(optimization) = 0 THEN 'optimization' ELSE 'ALL' END AS scope, coalesce(compiler, program, optimization, 'ALL') AS value, {_CNT} FROM y GROUP BY GROUPING SETS ((), (compiler), (program), (optimization))) SELECT *, {_MET} FROM g",
     "metrics_with_all": _J + f", g AS (SELECT compiler, CASE WHEN grouping(optimization) = 1 THEN 'ALL' ELSE optimization END AS optimization, {_CNT} FROM y GROUP BY GROUPING SETS ((compiler, optimization), (compiler))) SELECT *, {_MET} FROM g",
-    "macro_pooled": _MACRO.format(k="compiler") + f', i AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn, round(avg("precision"), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1, count(*) AS groups FROM h) SELECT *, {_MET} FROM i',
-    "program_macro": _MACRO.format(k="program") + ' SELECT round(avg("precision"), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1, count(*) AS groups FROM h',
-    "cv_summary": _J + f", g AS (SELECT length(program) % 5 AS fold, {_CNT} FROM y GROUP BY 1), h AS (SELECT *, {_MET} FROM g) SELECT round(avg(f1), 6) AS mean_f1, round(stddev_pop(f1), 6) AS std_f1, count(*) AS folds, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS pooled_f1 FROM h",
+    "macro_pooled": _MACRO.format(k="compiler") + f', i AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn, {_AVG}, count(*) AS groups FROM h) SELECT *, {_MET} FROM i',
+    "program_macro": _MACRO.format(k="program") + f" SELECT {_AVG}, count(*) AS groups FROM h",
+    "cv_summary": _J + f", sz AS (SELECT program, count(*) AS cases FROM b WHERE program IS NOT NULL GROUP BY program), rk AS (SELECT *, row_number() OVER (ORDER BY cases DESC, sha256('fold:' || program)) - 1 AS r FROM sz), fo AS (SELECT program, CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS fold FROM rk), g AS (SELECT fold, {_CNT} FROM y JOIN fo USING (program) GROUP BY 1), h AS (SELECT *, {_MET} FROM g) SELECT round(avg(f1), 6) AS mean_f1, round(stddev_pop(f1), 6) AS std_f1, count(*) AS folds, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS pooled_f1 FROM h",
     "grouped_folds": _J + ", s AS (SELECT program, count(*) AS cases FROM b WHERE program IS NOT NULL GROUP BY program), r AS (SELECT *, row_number() OVER (ORDER BY cases DESC, sha256('fold:' || program)) - 1 AS r FROM s) SELECT program, cases, CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS fold FROM r",
-    "set_classification": _J + """, g AS (SELECT build_id, count(*) FILTER (coalesce(expected, false) AND coalesce(predicted, false)) AS tp, count(*) FILTER (NOT coalesce(expected, false) AND coalesce(predicted, false)) AS fp, count(*) FILTER (coalesce(expected, false) AND NOT coalesce(predicted, false)) AS fn FROM x WHERE build_id IS NOT NULL AND library IS NOT NULL GROUP BY build_id)
-SELECT build_id, tp, fp, fn, round(CASE WHEN tp+fp = 0 THEN 0 ELSE tp / (tp+fp) END, 6) AS "precision", round(CASE WHEN tp+fn = 0 THEN 0 ELSE tp / (tp+fn) END, 6) AS recall, round(CASE WHEN 2*tp+fp+fn = 0 THEN 0 ELSE 2*tp / (2*tp+fp+fn) END, 6) AS f1 FROM g""",
+    "set_classification": _J + """, g AS (SELECT build_id, count(*) FILTER (coalesce(expected, false) AND coalesce(predicted, false)) AS tp, count(*) FILTER (NOT coalesce(expected, false) AND coalesce(predicted, false)) AS fp, count(*) FILTER (coalesce(expected, false) AND NOT coalesce(predicted, false)) AS fn, count(*) FILTER (NOT coalesce(expected, false) AND NOT coalesce(predicted, false)) AS tn FROM x WHERE build_id IS NOT NULL AND library IS NOT NULL GROUP BY build_id)
+SELECT build_id, tp, fp, fn, tn, round(CASE WHEN tp+fp = 0 THEN 0 ELSE tp / (tp+fp) END, 6) AS "precision", round(CASE WHEN tp+fn = 0 THEN 0 ELSE tp / (tp+fn) END, 6) AS recall, round(CASE WHEN 2*tp+fp+fn = 0 THEN 0 ELSE 2*tp / (2*tp+fp+fn) END, 6) AS f1 FROM g""",
     "family_collapse": _FAMS + " SELECT build_id, family, coalesce(bool_or(expected), false) AS expected, coalesce(bool_or(predicted), false) AS predicted, count(*) AS builds FROM f GROUP BY ALL",
     "family_argmax": _FAMS + ", g AS (SELECT build_id, family, max(ROW(score, accepted, library)) AS r FROM f WHERE score IS NOT NULL GROUP BY ALL) SELECT build_id, family, r[1] AS score, r[2] AS accepted, r[3] AS library FROM g",
     "pipeline_comparison": _J + "SELECT CASE WHEN predicted IS NULL AND expected IS NULL THEN 'missing_both' WHEN predicted IS NULL THEN 'missing_first' WHEN expected IS NULL THEN 'missing_second' WHEN predicted AND expected THEN 'both' WHEN predicted THEN 'first_only' WHEN expected THEN 'second_only' ELSE 'neither' END AS outcome, count(*) AS n, count(DISTINCT build_id) AS builds FROM x GROUP BY 1",
     "truth_left_join": _J + "SELECT build_id, library, CASE WHEN predicted IS NULL THEN 'MISSING' WHEN predicted THEN 'YES' ELSE 'NO' END AS status FROM x WHERE expected",
-    "scenario_matrix": _SCEN + """, s AS (SELECT * FROM (VALUES ('same_build_configuration', 0), ('cross_optimization_any', 1), ('cross_compiler_any', 2), ('cross_version_any', 3)) v(scenario, i)),
-o AS (SELECT DISTINCT a."case", a.family, s.scenario, c.label FROM a JOIN c ON c.family = a.family AND c.package = a.package JOIN s ON (c.optimization = a.optimization) = (s.i <> 1) AND (c.compiler = a.compiler) = (s.i <> 2) AND (c.role = a.role) = (s.i <> 3)),
+    "scenario_matrix": _SCEN + """, s AS (SELECT * FROM (VALUES ('same_exact_artifact', -1), ('same_build_configuration', 0), ('cross_optimization_any', 1), ('cross_compiler_any', 2), ('cross_version_any', 3)) v(scenario, i)),
+o AS (SELECT DISTINCT a."case", a.family, s.scenario, c.label FROM a JOIN c ON c.family = a.family AND c.package = a.package JOIN s ON CASE WHEN s.i = -1 THEN c.label = a.label ELSE (c.optimization = a.optimization) = (s.i <> 1) AND (c.compiler = a.compiler) = (s.i <> 2) AND (c.role = a.role) = (s.i <> 3) END),
 h AS (SELECT o.scenario, o."case", o.family, bool_or(k.label IS NOT NULL) AS hit FROM o LEFT JOIN k ON k."case" = o."case" AND k.label = o.label GROUP BY ALL),
 q AS (SELECT g."case", g.family, s.scenario, h.hit, EXISTS (SELECT 1 FROM k WHERE k."case" = g."case" AND k.family = g.family) AS anyw FROM (SELECT DISTINCT "case", family FROM a) g CROSS JOIN s LEFT JOIN h ON h.scenario = s.scenario AND h."case" = g."case" AND h.family = g.family),
 r AS (SELECT scenario, count(*) FILTER (hit) AS tp, count(*) FILTER (NOT coalesce(hit, false)) AS fn, count(*) FILTER (hit IS NULL) AS unavailable, count(*) FILTER (NOT hit AND anyw) AS off_scenario_only, count(*) FILTER (NOT hit AND NOT anyw) AS undetected FROM q GROUP BY scenario)
 SELECT *, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall, round(CASE WHEN tp + fn - unavailable = 0 THEN 0 ELSE tp / (tp + fn - unavailable) END, 6) AS recall_available FROM r""",
-    "transitions": _SCEN + """, p AS (SELECT DISTINCT a."case", a.family, a.optimization AS source_value, c.optimization AS target_value, c.label FROM a JOIN c ON c.family = a.family AND c.package = a.package AND c.compiler = a.compiler AND c.role = a.role),
-h AS (SELECT p."case", p.family, source_value, target_value, bool_or(k.label IS NOT NULL) AS hit FROM p LEFT JOIN k ON k."case" = p."case" AND k.label = p.label GROUP BY ALL) SELECT source_value, target_value, count(*) AS positives, count(*) FILTER (hit) AS detected FROM h GROUP BY ALL""",
+    "anchor_provenance": _CAT + """, s AS (SELECT family, compiler, optimization, CASE WHEN count(DISTINCT package) = 1 THEN min(package) END AS package, CASE WHEN count(DISTINCT role) = 1 THEN min(role) END AS role FROM c GROUP BY ALL), kn AS (SELECT DISTINCT compiler, optimization FROM c),
+e AS (SELECT DISTINCT ON (ref_id) ref_id, trim(archive_basename) AS family, trim(archive) AS p FROM elf_archives), f AS (SELECT *, string_split(p, '/') AS x FROM e),
+g AS (SELECT f.*, CASE WHEN len(x) >= 3 THEN nullif(x[len(x) - 2], '') END AS pc, CASE WHEN len(x) >= 3 THEN nullif(x[len(x) - 1], '') END AS po FROM f)
+SELECT ref_id, r[1] AS label, coalesce(r[2], CASE WHEN kn.compiler IS NOT NULL THEN s.package END) AS package, coalesce(r[3], kn.compiler) AS compiler, coalesce(r[4], kn.optimization) AS optimization, coalesce(r[5], CASE WHEN kn.compiler IS NOT NULL THEN s.role END) AS role,
+CASE WHEN r IS NOT NULL THEN 'exact_path' WHEN kn.compiler IS NOT NULL THEN 'path_parts' ELSE 'unresolved' END AS source FROM g LEFT JOIN xp ON xpath = p LEFT JOIN kn ON kn.compiler = pc AND kn.optimization = po LEFT JOIN s ON s.family = g.family AND s.compiler = pc AND s.optimization = po""",
+    "transitions": _SCEN + ", " + ", ".join(f"""p{i} AS (SELECT DISTINCT a."case", a.family, a.{k} AS source_value, c.{k} AS target_value, c.label FROM a JOIN c ON c.family = a.family AND c.package = a.package AND c.{x} = a.{x} AND c.{y} = a.{y}),
+h{i} AS (SELECT p{i}."case", p{i}.family, source_value, target_value, bool_or(k.label IS NOT NULL) AS hit FROM p{i} LEFT JOIN k ON k."case" = p{i}."case" AND k.label = p{i}.label GROUP BY ALL)""" for i, (k, x, y) in enumerate((("compiler", "optimization", "role"), ("optimization", "compiler", "role"), ("role", "compiler", "optimization"))))
+    + " UNION ALL ".join(f" SELECT source_value, target_value, count(*) AS positives, count(*) FILTER (hit) AS detected, '{k}' AS dimension FROM h{i} GROUP BY ALL" for i, k in enumerate(("compiler", "optimization", "role"))),
     "dedup_sha": "WITH b AS (SELECT DISTINCT ON (build_id) build_id, lower(binary_sha256) AS digest FROM build_info WHERE binary_sha256 IS NOT NULL), r AS (SELECT *, count(*) OVER (PARTITION BY digest) AS copies, row_number() OVER (PARTITION BY digest ORDER BY build_id) - 1 AS i FROM b) SELECT build_id, digest, copies FROM r WHERE i = ('0x' || substr(digest, 1, 16))::UBIGINT % copies",
     "latest_wins": "SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     "occurrence_rank": "WITH m AS (SELECT DISTINCT ON (member_id) * FROM archive_members) SELECT member_id, row_number() OVER (PARTITION BY coalesce(trim(archive_basename), '-'), name ORDER BY member_id) AS occurrence_no FROM m",
@@ -379,7 +412,8 @@ h AS (SELECT p."case", p.family, source_value, target_value, bool_or(k.label IS
     "selection_histogram": "WITH a AS (SELECT DISTINCT ON (library_id) * FROM library_archives) SELECT role, status, count(*) AS builds, sum(try_cast(project_candidates AS BIGINT))::BIGINT AS weight FROM a GROUP BY ALL",
     "build_diversity": "SELECT trim(archive) AS archive, count(DISTINCT role) AS versions, count(DISTINCT toolchain) AS compilers, count(DISTINCT optimization) AS optimizations FROM library_archives WHERE status = 'selected' GROUP BY 1",
     "evaluability": _MEM + ", s AS (SELECT cu, CASE WHEN n_functions IS NULL THEN 2 WHEN n_functions <= 1 THEN 3 WHEN occurrence > 1 THEN 1 ELSE 0 END AS r FROM n WHERE name IS NOT NULL) SELECT cu, ['eligible', 'ambiguous', 'unknown', 'mono'][min(r) + 1] AS status, count(*) AS n_rows FROM s GROUP BY cu",
-    "source_equivalence": _MEM + " SELECT cu, n_functions, count(DISTINCT trim(archive_basename)) AS archives FROM n WHERE name IS NOT NULL AND n_functions IS NOT NULL GROUP BY ALL HAVING count(DISTINCT trim(archive_basename)) >= 2",
+    "source_equivalence": _MEM + " SELECT cu, sha256(cu || ':' || n_functions) AS digest, count(DISTINCT trim(archive_basename)) AS archives FROM n WHERE name IS NOT NULL AND n_functions IS NOT NULL GROUP BY ALL HAVING count(DISTINCT trim(archive_basename)) >= 2",
+    "source_differences": _MEM + r", f AS (SELECT *, lower(regexp_extract(trim(archive_basename), '[^/]*$')) AS low FROM n WHERE name IS NOT NULL AND archive_basename IS NOT NULL) SELECT regexp_replace(CASE WHEN contains(low, '.a.') THEN split_part(low, '.a.', 1) || '.a' ELSE low END, '\.a$', '') AS family, cu, count(DISTINCT lower(object_sha256)) AS digests, count(object_sha256) AS mapped, count(*) AS members FROM f GROUP BY ALL HAVING count(DISTINCT lower(object_sha256)) >= 2",
     "catalog_constraints": """WITH m AS (SELECT DISTINCT ON (match_id) * FROM block_matches), c AS (SELECT match_id, unnest(['windows_add_up', 'ratio_in_range', 'status_agrees', 'score_only_if_passed', 'counts_known']) AS check_name,
 unnest([windows_evaluated + windows_skipped = windows_total, coverage_ratio BETWEEN 0 AND 1 AND assignment_ratio BETWEEN 0 AND 1, passed = (cu_status <> 'DROP'), passed OR score IS NULL, num_source_blocks IS NOT NULL AND num_target_blocks IS NOT NULL]) AS good FROM m)
 SELECT check_name, count(*) FILTER (NOT coalesce(good, false)) AS n_violations, min(match_id) FILTER (NOT coalesce(good, false)) AS first_key FROM c GROUP BY check_name""",

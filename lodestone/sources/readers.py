@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LIBRARY_MATRIX = "archive string, package string, role string, toolchain string, optimization string, project_candidates string, status string, reason string, path string"
@@ -38,8 +38,11 @@ def feature_records(lines: DataFrame, payload: str, keys: list[str]) -> DataFram
     return lines.filter(whole).select(*keys, rec.alias("r")).filter("r.type = 'block_cu'").select(*keys, "r.library", "r.name", "r.target_cu_index", "r.cu_status", "r.windows_total").distinct()
 
 
-def objects_of_lines(lines: DataFrame, text: str) -> DataFrame:
-    """Lines that may hold several JSON objects, one row each: all columns, ``object_no`` and ``object``; what is no object is left out."""
+def objects_of_lines(lines: DataFrame, text: str, strict: bool = True) -> DataFrame:
+    """Lines that may hold several JSON objects, one row each: all columns, ``object_no`` and ``object``.
+
+    With ``strict`` a line with anything else is an error when it is read; else what is no object ends its line. Null and blank lines have none.
+    """
     import json
 
     schema = f"{', '.join(f'`{n}` {t}' for n, t in lines.dtypes)}, object_no int, object string"
@@ -50,10 +53,14 @@ def objects_of_lines(lines: DataFrame, text: str) -> DataFrame:
             rows = []
             for r in b.to_dict("records"):
                 s, at, n = (r[text] or ""), 0, 0
-                while (at := s.find("{", at)) >= 0:
+                while (at := at + len(s[at:]) - len(s[at:].lstrip())) < len(s):
                     try:
-                        _, end = scan(s, at)
-                    except ValueError:
+                        value, end = scan(s, at)
+                        if not isinstance(value, dict):
+                            raise ValueError("no object")
+                    except ValueError as e:
+                        if strict:
+                            raise ValueError(f"invalid JSON line {s[:80]!r}") from e
                         break
                     rows.append({**r, "object_no": n, "object": s[at:end]})
                     at, n = end, n + 1
@@ -67,6 +74,56 @@ def conflicting(records: DataFrame, keys: list[str], payload: str) -> DataFrame:
     return records.groupBy(*keys).agg(F.countDistinct(payload).alias("versions")).filter("versions > 1")
 
 
+def marked(lines: DataFrame, payload: str, *markers: str) -> DataFrame:
+    """Lines that contain all markers: a byte search that spares the others a JSON parse."""
+    for m in markers:
+        lines = lines.filter(F.col(payload).contains(m))
+    return lines
+
+
+def report_settings(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, total_time, library_min_score, asm_normalization, palmtree_pooling, complete`` of whole reports, by the last match of each; older reports' defaults where there is none."""
+    last = lambda pattern: F.element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), -1)
+    number = r"([+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
+    found = lambda p: F.when(F.size(F.regexp_extract_all(text, F.lit(p), F.lit(1))) > 0, last(p))
+    return texts.select(
+        key, F.coalesce(found(r"Done processing in\s+(\d{2}:\d{2}:\d{2})"), found(r"\[TIMEOUT\] after\s+(\d{2}:\d{2}:\d{2})"), F.lit("")).alias("total_time"),
+        F.coalesce(found(rf"(?m)^Library minimum score:\s*{number}\s*$").cast("double"), F.lit(0.0)).alias("library_min_score"), F.coalesce(found(r"(?m)^Assembly normalization:\s*(legacy|v2)\s*$"), F.lit("legacy")).alias("asm_normalization"),
+        F.coalesce(found(r"(?m)^PalmTree pooling:\s*(mean|masked_mean)\s*$"), F.lit("mean")).alias("palmtree_pooling"), complete_report(F.col(text)).alias("complete"),
+    )
+
+
+def complete_report(text: Column, marker: str = "Done processing in ", tail: int = 16_384) -> Column:
+    """Does the end of a report say that its run was done?"""
+    return F.coalesce(F.substring(text, -tail, tail).contains(marker), F.lit(False))
+
+
+def report_numbers(line: str) -> dict[str, Column]:
+    """Typed values of a report line's ``k=v`` fields: fractions ``a/b``, triplets ``a/b/c`` and percents."""
+    raw = F.str_to_map(F.regexp_replace(line, r"^[A-Z_]+ *\| *", ""), F.lit(r" *\| *"), F.lit("="))
+    part = lambda k, i, n: F.when(F.size(F.split(raw[k], "/")) == n, F.get(F.split(raw[k], "/"), i)).try_cast("bigint")
+    return {
+        "windows_done": part("windows", 0, 2), "windows_total": part("windows", 1, 2), "edges_matched": part("edges", 0, 3), "edges_evaluable": part("edges", 1, 3), "edges_expected": part("edges", 2, 3),
+        "coverage_percent": F.rtrim(raw["coverage"], F.lit("%")).try_cast("double"), "score": raw["score"].try_cast("double"),
+    }
+
+
+def resolve_patterns(spark: SparkSession, base: str, patterns: list[str], limit: int | None = None) -> list[str]:
+    """Files below ``base``, sorted: of each pattern those that match in the folder, else anywhere below it, else the file of that very name; the first ``limit`` if given."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(base)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: set[str] = set()
+    for pattern in patterns:
+        # in the folder first, then at any depth
+        for deep in range(9):
+            got = [x.getPath().toString() for x in (fs.globStatus(hadoop.Path(f"{base}/{'*/' * deep}{pattern}")) or []) if x.isFile()]
+            found.update(got)
+            if got and not deep:
+                break
+    return sorted(found)[:limit]
+
+
 def parse_report_lines(lines: DataFrame, line: str) -> DataFrame:
     """``STATUS | k=v | k=v`` lines as columns; fields a line lacks are empty or null, other lines are left out."""
     field = lambda k, more="([^|]*?)": F.regexp_extract(line, rf"\| *{k}={more} *(?:\||$)", 1)
@@ -86,18 +143,37 @@ def discover(spark: SparkSession, path: str, magic: bytes) -> DataFrame:
 
 
 def elf_headers(files: DataFrame) -> DataFrame:
-    """Link type of 64-bit x86 binaries from ``(path, content)``: ``path, is_elf64_x86, has_interp, has_dynamic, link_type``."""
+    """Link type of 64-bit x86 binaries from ``(path, content)``: ``path, is_elf64_x86, has_interp, has_needed, link_type, problem``.
+
+    A binary with an interpreter or a needed library (``DT_NEEDED`` of its dynamic segment) is ``dynamic``, one with a dynamic segment but
+    neither is ``static-pie``, any other ``static``; what is no such binary, or is cut short, has a ``problem`` and no type.
+    """
+
+    def read(data: bytes | None) -> tuple[bool, bool, str | None, str | None]:
+        if data is None or len(data) < 64 or data[:4] != b"\x7fELF":
+            return False, False, None, "not an ELF file"
+        if data[4] != 2 or data[5] not in (1, 2):
+            return False, False, None, "not ELF64"
+        end = "<" if data[5] == 1 else ">"
+        kind, machine = struct.unpack_from(end + "HH", data, 16)
+        at, (size, count) = struct.unpack_from(end + "Q", data, 32)[0], struct.unpack_from(end + "HH", data, 54)
+        if machine != 62 or kind not in (2, 3):
+            return False, False, None, "not an x86-64 executable"
+        if not at or not count or count == 0xFFFF or size < 56 or at + size * count > len(data):
+            return False, False, None, "bad program headers"
+        heads = [struct.unpack_from(end + "I4xQ16xQ", data, at + i * size) for i in range(count)]
+        needed = False
+        for _, offset, length in (h for h in heads if h[0] == 2):
+            if offset + length // 16 * 16 > len(data):
+                return False, False, None, "truncated dynamic segment"
+            tags = [struct.unpack_from(end + "q", data, offset + 16 * k)[0] for k in range(length // 16)]
+            needed |= 1 in (tags[: tags.index(0)] if 0 in tags else tags)
+        interp, dynamic = any(h[0] == 3 for h in heads), any(h[0] == 2 for h in heads)
+        return interp, needed, "dynamic" if interp or needed else "static-pie" if dynamic else "static", None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for path, data in zip(b["path"], b["content"]):
-                ok = data is not None and len(data) >= 64 and data[:6] == b"\x7fELF\x02\x01" and struct.unpack_from("<H", data, 18)[0] == 62
-                kinds = set()
-                if ok:
-                    at, (size, count) = struct.unpack_from("<Q", data, 32)[0], struct.unpack_from("<HH", data, 54)
-                    kinds = {struct.unpack_from("<I", data, at + i * size)[0] for i in range(count) if at + i * size + 4 <= len(data)}
-                rows.append((path, ok, 3 in kinds, 2 in kinds, None if not ok else "dynamic" if 3 in kinds else "static-pie" if 2 in kinds else "static"))
-            yield pd.DataFrame(rows, columns=["path", "is_elf64_x86", "has_interp", "has_dynamic", "link_type"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, is_elf64_x86 boolean, has_interp boolean, has_dynamic boolean, link_type string")
+            rows = [(path, x[3] is None, *x) for path, x in zip(b["path"], map(read, b["content"]))]
+            yield pd.DataFrame(rows, columns=["path", "is_elf64_x86", "has_interp", "has_needed", "link_type", "problem"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, is_elf64_x86 boolean, has_interp boolean, has_needed boolean, link_type string, problem string")

@@ -23,18 +23,23 @@ def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 hour
 
 
 def latest_into(stream: DataFrame, keys: list[str], order: list[str], target: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest row of each key in versions of a Parquet table below ``target``; batches already merged are not merged again."""
+    """Keep the latest row of each key in versions of a Parquet table below ``target``; batches already merged are not merged again.
+
+    Only a first batch may lack a version before it; any error of reading one is raised. The last two versions stay.
+    """
     from lodestone.operators.truth import latest
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        before = None
-        if epoch:
-            try:
-                before = spark.read.parquet(f"{target}/v={epoch - 1}")
-            except Exception:  # noqa: BLE001 - the first batch of a new target
-                before = None
-        rows = batch if before is None else before.unionByName(batch)
+        at = lambda v: spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v={v}")
+        fs = at(0).getFileSystem(spark._jsc.hadoopConfiguration())
+        # a version is there whole or not at all, as its job commits
+        done = [v for v in (epoch - 1,) if v >= 0 and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v={v}/_SUCCESS"))]
+        if epoch and not done:
+            raise FileNotFoundError(f"{target} lacks version {epoch - 1}, which batch {epoch} follows")
+        rows = spark.read.schema(batch.schema).parquet(f"{target}/v={epoch - 1}").unionByName(batch) if done else batch
         latest(rows, keys, order).write.mode("overwrite").parquet(f"{target}/v={epoch}")
+        if epoch > 1:
+            fs.delete(at(epoch - 2), True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,5 +1,6 @@
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators.structure import containing_function
@@ -16,7 +17,11 @@ def test_matrix_and_tables_round_trip(spark, tmp_path):
 
 def test_several_objects_a_line(spark):
     df = spark.createDataFrame([(1, '{"a":1} {"b":{"c":2}}'), (2, "x"), (3, None), (4, '{"a":')], "i int, t string")
-    assert [(r.i, r.object_no, r.object) for r in readers.objects_of_lines(df, "t").orderBy("i", "object_no").collect()] == [(1, 0, '{"a":1}'), (1, 1, '{"b":{"c":2}}')]
+    assert [(r.i, r.object_no, r.object) for r in readers.objects_of_lines(df, "t", strict=False).orderBy("i", "object_no").collect()] == [(1, 0, '{"a":1}'), (1, 1, '{"b":{"c":2}}')]
+    assert readers.objects_of_lines(df.filter("i in (1, 3)"), "t").count() == 2
+    for i in (2, 4):
+        with pytest.raises(Exception, match="invalid JSON line"):
+            readers.objects_of_lines(df.filter(f"i = {i}"), "t").collect()
 
 
 def test_report_round_trip(spark):
@@ -40,17 +45,43 @@ def test_linker_map_section(spark):
     assert {(r.archive, r.member) for r in linker_map_members(df, "k", "t").collect()} == {("/u/liba.a", "x.o"), ("libb.a", "y.o")}
 
 
-def test_elf_headers(spark):
-    head = bytearray(64 + 56 * 2)
+def elf(*segments, dynamic=(), machine=62):
+    """A small x86-64 executable with the given program header types; a dynamic segment (2) holds the tags ``dynamic``."""
+    head = bytearray(64 + 56 * len(segments) + 16 * (len(dynamic) + 1))
     head[:6] = b"\x7fELF\x02\x01"
-    struct.pack_into("<H", head, 18, 62)
+    struct.pack_into("<HH", head, 16, 2, machine)
     struct.pack_into("<Q", head, 32, 64)
-    struct.pack_into("<HH", head, 54, 56, 2)
-    struct.pack_into("<I", head, 64, 1)
-    static = bytes(head)
-    struct.pack_into("<I", head, 64, 3)
-    df = spark.createDataFrame([("a", static), ("b", bytes(head)), ("c", b"no"), ("d", None)], "path string, content binary")
-    assert {r.path: r.link_type for r in readers.elf_headers(df).collect()} == {"a": "static", "b": "dynamic", "c": None, "d": None}
+    struct.pack_into("<HH", head, 54, 56, len(segments))
+    for i, kind in enumerate(segments):
+        struct.pack_into("<I4xQ16xQ", head, 64 + 56 * i, kind, 64 + 56 * len(segments), 16 * (len(dynamic) + 1))
+    for i, tag in enumerate(dynamic):
+        struct.pack_into("<q", head, 64 + 56 * len(segments) + 16 * i, tag)
+    return bytes(head)
+
+
+def test_elf_headers(spark):
+    files = {"static": elf(1), "interp": elf(1, 3), "pie": elf(1, 2, dynamic=(5,)), "needed": elf(1, 2, dynamic=(5, 1)), "after the end": elf(2, dynamic=(0, 1)), "arm": elf(1, machine=40), "cut": elf(1, 2)[:100], "no": b"no", "null": None}
+    got = {r.path: r for r in readers.elf_headers(spark.createDataFrame(list(files.items()), "path string, content binary")).collect()}
+    assert {k: r.link_type for k, r in got.items()} == {"static": "static", "interp": "dynamic", "pie": "static-pie", "needed": "dynamic", "after the end": "static-pie", "arm": None, "cut": None, "no": None, "null": None}
+    assert got["needed"].has_needed and not got["pie"].has_needed and got["arm"].problem and got["cut"].problem == "bad program headers"
+
+
+def test_patterns_fall_back_to_deeper_folders(spark, tmp_path):
+    for name in ("a.so", "b.txt", "x/c.so", "x/y/d.bin"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("")
+    names = lambda *p, **k: [x.rsplit("/", 1)[1] for x in readers.resolve_patterns(spark, f"file://{tmp_path}", list(p), **k)]
+    assert names("*.so") == ["a.so"] and names("*.bin") == ["d.bin"] and names("b.txt", "*.so") == ["a.so", "b.txt"] and names("none") == [] and names("*", limit=1) == ["a.so"]
+
+
+def test_report_settings_and_numbers(spark):
+    text = "Library minimum score: 0.25\nAssembly normalization: v2\nPASS | library=a | windows=3/9 | edges=1/2/4 | coverage=87.5% | score=0.5\nLibrary minimum score: .5\nDone processing in 00:01:02\n"
+    df = spark.createDataFrame([(1, text), (2, "x"), (3, None)], "k int, t string")
+    got = {r.k: tuple(r)[1:] for r in readers.report_settings(df, "k", "t").collect()}
+    assert got[1] == ("00:01:02", 0.5, "v2", "mean", True) and got[2] == got[3] == ("", 0.0, "legacy", "mean", False)
+    line = df.select(F.explode(F.split("t", "\n")).alias("l")).filter("l like 'PASS%'")
+    r = line.select(*(v.alias(k) for k, v in readers.report_numbers("l").items())).first()
+    assert tuple(r) == (3, 9, 1, 2, 4, 87.5, 0.5)
 
 
 def test_interval_join_ties(spark):
