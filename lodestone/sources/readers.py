@@ -99,12 +99,12 @@ def complete_report(text: Column, marker: str = "Done processing in ", tail: int
 
 
 def report_numbers(line: str) -> dict[str, Column]:
-    """Typed values of a report line's ``k=v`` fields: fractions ``a/b``, triplets ``a/b/c`` and percents."""
-    raw = F.str_to_map(F.regexp_replace(line, r"^[A-Z_]+ *\| *", ""), F.lit(r" *\| *"), F.lit("="))
-    part = lambda k, i, n: F.when(F.size(F.split(raw[k], "/")) == n, F.get(F.split(raw[k], "/"), i)).try_cast("bigint")
+    """Typed values of a report line's ``k=v`` fields: fractions ``a/b``, triplets ``a/b/c`` and percents; of a field named twice the first counts."""
+    raw = lambda k: F.regexp_extract(line, rf"\| *{k}=([^|]*?) *(?:\||$)", 1)
+    part = lambda k, i, n: F.when(F.size(F.split(raw(k), "/")) == n, F.get(F.split(raw(k), "/"), i)).try_cast("bigint")
     return {
         "windows_done": part("windows", 0, 2), "windows_total": part("windows", 1, 2), "edges_matched": part("edges", 0, 3), "edges_evaluable": part("edges", 1, 3), "edges_expected": part("edges", 2, 3),
-        "coverage_percent": F.rtrim(raw["coverage"], F.lit("%")).try_cast("double"), "score": raw["score"].try_cast("double"),
+        "coverage_percent": F.rtrim(raw("coverage"), F.lit("%")).try_cast("double"), "score": F.nullif(raw("score"), F.lit("")).try_cast("double"),
     }
 
 

@@ -45,11 +45,42 @@ def bundle(parts: Mapping[str, DataFrame]) -> DataFrame:
 
 def bundle_gaps(elfs: DataFrame, libraries: DataFrame, matches: DataFrame) -> DataFrame:
     """Decisions a complete bundle lacks or has more than once: ``elf_id, library_id, n``."""
-    want = elfs.select("elf_id").distinct().crossJoin(F.broadcast(libraries.select("library_id").distinct())).withColumn("__want", F.lit(1))
+    # the libraries of a run as one array: a catalog's names, far fewer than its decisions
+    names = libraries.agg(F.collect_set("library_id").alias("__l"))
+    want = elfs.select("elf_id").distinct().crossJoin(F.broadcast(names)).select("elf_id", F.explode("__l").alias("library_id")).withColumn("__want", F.lit(1))
     have = matches.groupBy("elf_id", "library_id").agg(F.count(F.lit(1)).alias("n"))
     return want.join(have, ["elf_id", "library_id"], "full").filter("n is null or n <> 1 or __want is null").select("elf_id", "library_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def write_checked(df: DataFrame, path: str) -> int:
+    """Write gzip JSON lines and read them back: an error if what is there is not what was written. Returns the rows."""
+    df.write.mode("overwrite").option("compression", "gzip").json(path)
+    back = df.sparkSession.read.schema(df.schema).json(path, mode="FAILFAST")
+    digest = lambda x: x.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(F.to_json(F.struct("*"))).cast("decimal(38,0)")).alias("h")).first()
+    a, b = digest(df), digest(back)
+    if a != b:
+        raise ValueError(f"{path} holds {b.n} rows that differ from the {a.n} written")
+    return b.n
+
+
+def write_manifest(df: DataFrame, path: str, order: list[str]) -> None:
+    """A manifest as CSV with header and as JSON lines, in one file each, in order; manifests are small tables."""
+    rows = df.orderBy(*order).coalesce(1)
+    write_table(rows, f"{path}/csv")
+    write_table(rows, f"{path}/json", "json")
+
+
+def write_checked_bundle(elfs: DataFrame, libraries: DataFrame, matches: DataFrame, units: DataFrame, path: str) -> None:
+    """A result bundle, only if it is complete: every binary with every library once, and as many ``PASS`` units (``elf_id, library_id, cu_status``) as ``matches.accepted`` says."""
+    from lodestone.operators.quality import report_conflicts
+
+    for bad, what in ((bundle_gaps(elfs, libraries, matches), "decisions are missing or repeated"), (report_conflicts(units, matches, ["elf_id", "library_id"], F.col("cu_status") == "PASS", "accepted"), "passing units differ from the report")):
+        first = bad.first()
+        if first is not None:
+            raise ValueError(f"{what}: {first.asDict()}")
+    write_bundle({"elf": elfs, "library": libraries, "library_match": matches, "block_cu": units}, path)
+
+
 def write_bundle(parts: Mapping[str, DataFrame], path: str) -> None:
     """The union as text, split by type, so one type can be read alone."""
     bundle(parts).write.mode("overwrite").partitionBy("type").option("compression", "gzip").text(path)
@@ -65,9 +96,17 @@ def append_checkpoint(done: DataFrame, path: str) -> None:
     done.write.mode("append").parquet(path)
 
 
-def pending(cases: DataFrame, checkpoint: DataFrame, signature: str, key: str = "case_id") -> DataFrame:
-    """Cases the checkpoint does not hold under this signature."""
-    return cases.join(checkpoint.filter(F.col("signature") == signature).select(key), key, "left_anti")
+def pending(cases: DataFrame, checkpoint: DataFrame, signature: str, key: str = "case_id", legacy: tuple[str, ...] = ()) -> DataFrame:
+    """Cases the checkpoint does not hold under this signature, or one of ``legacy`` signatures that means the same."""
+    return cases.join(checkpoint.filter(F.col("signature").isin(signature, *legacy)).select(key), key, "left_anti")
+
+
+def migrated(checkpoint: DataFrame, signature: str, legacy: tuple[str, ...], order: list[str], key: str = "case_id") -> DataFrame:
+    """The checkpoint with legacy signatures renamed; of a case that then has several records the latest stays, others are untouched."""
+    from lodestone.operators.truth import latest
+
+    old = F.col("signature").isin(*legacy) if legacy else F.lit(False)
+    return latest(checkpoint.withColumn("signature", F.when(old, F.lit(signature)).otherwise(F.col("signature"))), [key, "signature"], order)
 
 
 def require_empty(df: DataFrame, message: str) -> DataFrame:
