@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.plans.skew import bounded
+
 
 def source_key(column: str = "source") -> Column:
     """A source's name in lower case without outer blanks."""
@@ -30,7 +32,8 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, phases: int = 4, tilt: float
     """
     have = sizes.groupBy(source_key().alias("source")).agg(F.sum("n_tokens").alias("tokens"), F.count_if(F.col("n_tokens") > 0).alias("docs"))
     all_tokens = F.lit(total) if total is not None else have.agg(F.coalesce(F.sum("tokens"), F.lit(0))).scalar()
-    t = targets.select(source_key().alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_uses").cast("long").alias("max_uses"))
+    # the plan has a row for each target and is broadcast, so their number is checked here
+    t = bounded(targets).select(source_key().alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_uses").cast("long").alias("max_uses"))
     # the targets are a table of settings: its rows meet in one window
     t = t.join(have, "source", "left").fillna(0, ["tokens", "docs"])
     everything = Window.partitionBy(F.lit(1))
