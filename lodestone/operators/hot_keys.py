@@ -69,10 +69,23 @@ def _reducer(n_sums: int, order: Sequence[str], rows: int, packed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         pending = floor = 0
+        last = None
         for b in batches:
             if not b.num_rows:
                 continue
             t = flatten(b) if packed else pa.Table.from_batches([b])
+            # a batch says which columns hold no null, what was compacted does not
+            t = t.cast(pa.schema([f.with_nullable(True) for f in t.schema]))
+            if packed:
+                # blocks come in order: what is before the batch's last block is whole
+                own = t[BLOCK].to_numpy()
+                cut = int(np.searchsorted(own, own[-1]))
+                if cut or (held and last != own[-1]):
+                    whole = pa.concat_tables([*held, t.slice(0, cut)])
+                    if whole.num_rows:
+                        yield from _compact(whole, n_sums, order).drop_columns([BLOCK]).to_batches(max_chunksize=10_000)
+                    held, pending, floor, t = [], 0, 0, t.slice(cut)
+                last = own[-1]
             held.append(t)
             pending += t.num_rows
             if pending > rows + 2 * floor:
@@ -113,7 +126,8 @@ def dense_key_stats(
     extra columns of any name do no harm.
     """
     spark = df.sparkSession
-    blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a task holds the keys of one block at a time
+    blocks = 32 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kinds = {f.name: f.dataType for f in df.schema.fields}
     order = list(dict.fromkeys([*latest_by, *latest_row])) if latest_row else []
     cols = [F.col(f"`{key}`").alias(KEY), F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(blocks)).cast("int").alias(BLOCK), F.lit(1).cast("long").alias(COUNT)]
@@ -127,7 +141,7 @@ def dense_key_stats(
     singles = T.StructType([T.StructField(n, t) for n, t in shape if n != BLOCK])
     by = [f"__o{i}" for i in range(len(order))]
     partial = flat.mapInArrow(_reducer(len(sums), by, split_rows, False), lists)
-    reduced = partial.repartition(BLOCK).mapInArrow(_reducer(len(sums), by, split_rows, True), singles)
+    reduced = partial.repartition(BLOCK).sortWithinPartitions(BLOCK).mapInArrow(_reducer(len(sums), by, split_rows, True), singles)
     whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     return reduced.select(
         F.col(KEY).alias(key_alias),

@@ -38,6 +38,16 @@ def test_counts_sums_latest_with_nulls_ties_repeats_and_clashing_columns(spark):
         assert {r.key_value: (r.n, r.sum_v, r.sum_w, r.latest_id) for r in got} == brute(data)
 
 
+def test_blocks_that_span_batches(spark):
+    data = rows(1500, 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = dense_key_stats(spark.createDataFrame(data, SCHEMA).repartition(5), "name", ["v", "w"], ["t"], ["id"], split_rows=40).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.key_value: (r.n, r.sum_v, r.sum_w, r.latest_id) for r in got} == brute(data) and len(got) == len(brute(data))
+
+
 def test_integer_keys_keep_their_type(spark):
     df = spark.createDataFrame([(1, 5), (1, None), (None, 2), (2, None)], "k int, v bigint")
     got = dense_key_stats(df, "k", ["v"])
