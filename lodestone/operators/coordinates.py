@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.plans.skew import bounded
+
 
 def useful_symbol(kind: Column, symbol: Column) -> Column:
     """A definition with a name: not undefined or weak, not empty, not a mapping symbol."""
@@ -118,7 +120,7 @@ def balanced_screen(cases: DataFrame, group: str, cell: str, per_group: int = 2,
     groups = cases.select(group).distinct()
     groups = groups.select(group, (F.row_number().over(alone.orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col(group)), 256))) - 1).alias("__g"))
     turn = groups.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(per_group - 1))))
-    want = turn.crossJoin(F.broadcast(cells)).filter(F.col("__c") == F.pmod(F.col("__g") * per_group + F.col("__j"), F.col("__k"))).select(group, cell)
+    want = turn.crossJoin(bounded(cells)).filter(F.col("__c") == F.pmod(F.col("__g") * per_group + F.col("__j"), F.col("__k"))).select(group, cell)
     j = want.join(cases.withColumn("__have", F.lit(True)), [group, cell], "left")
     lacks = F.raise_error(F.concat(F.lit("incomplete matrix: "), F.concat_ws("/", F.col(group).cast("string"), F.col(cell).cast("string")))).cast("boolean")
     return j.filter(F.coalesce("__have", lacks)).drop("__have")
@@ -137,7 +139,7 @@ def build_panel(builds: DataFrame, family: str, level: str, choice: str, variant
     f = index(family, "__f", F.sha2(F.concat_ws(":", F.lit(seed), F.col(family)), 256))
     grid_ = f
     for part in (index(level, "__l"), index(choice, "__c"), index(variant, "__v")):
-        grid_ = grid_.crossJoin(F.broadcast(part))
+        grid_ = grid_.crossJoin(bounded(part))
     left_out = F.pmod(F.col("__f") + F.col("__l"), F.col("__cn"))
     want = grid_.filter((F.col("__c") != left_out) & (F.col("__v") == F.pmod(F.col("__f") + F.col("__l") + F.col("__c"), F.col("__vn")))).select(family, level, choice, variant)
     keys = [family, level, choice, variant]

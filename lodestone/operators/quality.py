@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.plans.skew import bounded
+
 
 def set_gaps(expected: DataFrame, observed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``keys.., side``: what is ``missing`` from the observed or ``extra`` there. Nulls equal nulls."""
@@ -41,8 +43,7 @@ def report_conflicts(matches: DataFrame, reported: DataFrame, keys: Sequence[str
 def shard_violations(rows: DataFrame, shard: str, catalog: Sequence[str], coordinates: Sequence[str]) -> DataFrame:
     """``check_name, shard, n``: of a union of shards, catalog entries a shard lacks (``catalog``), and coordinates that occur again (``repeated``) or in another shard too (``crossed``). Zeros are left out."""
     cat, shards = rows.select(*catalog).distinct(), rows.select(shard).distinct()
-    # shards are few
-    want = cat.crossJoin(F.broadcast(shards)).join(rows.select(*catalog, shard).distinct(), [*catalog, shard], "left_anti")
+    want = cat.crossJoin(bounded(shards)).join(rows.select(*catalog, shard).distinct(), [*catalog, shard], "left_anti")
     g = rows.groupBy(*coordinates, shard).agg(F.count(F.lit(1)).alias("n"))
     across = g.groupBy(*coordinates).agg(F.count(F.lit(1)).alias("shards"), F.min(shard).alias(shard))
     name = lambda df, c: df.groupBy(shard).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("check_name"), F.col(shard).cast("string").alias("shard"), "n")

@@ -76,10 +76,11 @@ def _mapping(raw: Column) -> Column:
 def parse_records(lines: DataFrame, payload: str, keys: list[str], strict: bool = True) -> DataFrame:
     """``keys..`` and a record's columns (``RECORD``) of every distinct unit record and call header.
 
-    With ``strict`` a text that is no JSON object is an error when it is read, else it is left out. Exact repeats count once.
+    With ``strict`` a text that is no JSON is an error when it is read, else it is left out, as null texts are. Exact repeats count once.
     """
+    lines = lines.filter(F.col(payload).isNotNull())
     whole = F.col("__variant").isNotNull()
-    bad = F.raise_error(F.concat(F.lit("invalid JSON feature: "), F.coalesce(F.substring(payload, 1, 60), F.lit("null")))).cast("boolean")
+    bad = F.raise_error(F.concat(F.lit("invalid JSON feature: "), F.substring(payload, 1, 60))).cast("boolean")
     rows = lines.withColumn("__variant", F.try_parse_json(payload)).filter(F.when(whole, F.lit(True)).otherwise(bad if strict else F.lit(False)))
     return rows.select(*keys, F.from_json(payload, RECORD, {"mode": "PERMISSIVE"}).alias("r")).filter("r.type in ('block_cu', 'source_call_targets')").select(*keys, "r.*").distinct()
 

@@ -140,12 +140,17 @@ def pareto(windows: DataFrame, keys: list[str], metrics: Sequence[str], order: s
 
 
 def grouped_folds(cases: DataFrame, group: str, n_folds: int, seed: str = "fold") -> DataFrame:
-    """``group, fold``: groups are never split; ranked by size and then by digest they are dealt back and forth over the folds."""
+    """``group, cases, fold``: groups are never split; ranked by size and then by digest they are dealt back and forth over the folds.
+
+    For folds balanced by labels too see ``planning.balanced_folds``. The ranks are found by range partitions, not in one task.
+    """
+    from lodestone.operators.truth import sharded
+
     sizes = cases.groupBy(group).agg(F.count(F.lit(1)).alias("cases"))
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("cases"), F.sha2(F.concat_ws(":", F.lit(seed), F.col(group)), 256))
-    r = F.row_number().over(w) - 1
+    order = sizes.withColumns({"__down": -F.col("cases"), "__digest": F.sha2(F.concat_ws(":", F.lit(seed), F.col(group)), 256)})
+    r = F.col("position") - 1
     lap, at = F.floor(r / n_folds), F.pmod(r, F.lit(n_folds))
-    return sizes.select(group, "cases", F.when(lap % 2 == 0, at).otherwise(n_folds - 1 - at).cast("int").alias("fold"))
+    return sharded(order, ["__down", "__digest"], 1).select(group, "cases", F.when(lap % 2 == 0, at).otherwise(n_folds - 1 - at).cast("int").alias("fold"))
 
 
 def greedy_search(start: Mapping[str, float], grid: Mapping[str, Sequence[float]], score: Callable[[Mapping[str, float]], float], rounds: int = 5) -> tuple[dict, float]:

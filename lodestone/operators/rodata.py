@@ -25,15 +25,16 @@ def constant_sections(sections: DataFrame, unit: list[str], name: str, size: str
 
 
 def gram_rows(df: DataFrame, keys: list[str], data: str, n: int = 16) -> DataFrame:
-    """``keys.., gram``: the ``n``-byte grams of a binary or text column as hex, one row each, without all-zero ones.
+    """``keys.., gram``: the distinct ``n``-byte grams of each row's binary or text column as 64-bit hashes, without all-zero ones.
 
-    Data shorter than ``n`` is one gram; null and empty data has none. Grams are cut in generated code, one hex text a row.
+    Data shorter than ``n`` is one gram; null and empty data has none. A row's repeats are dropped before they become rows.
     """
-    # a text becomes up to as many rows as it has bytes: spread the texts first, and take each gram of a text once
+    # a text becomes up to as many rows as it has bytes: spread the texts first
     raw = df.select(*keys, F.col(data).cast("binary").alias("__b")).filter(F.octet_length("__b") > 0).repartition(*keys)
     # slices of binary cost the same wherever they lie, unlike those of text
-    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length("__b") - (n - 1), F.lit(1))), lambda i: F.substring("__b", i, F.lit(n)))
-    return raw.select(*keys, F.explode(cuts).alias("__g")).select(*keys, F.hex("__g").alias("gram")).filter(F.ltrim("gram", F.lit("0")) != "")
+    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length("__b") - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.substring("__b", i, F.lit(n))))
+    zeros = F.xxhash64(F.unhex(F.repeat(F.lit("00"), F.least(F.octet_length("__b"), F.lit(n)))))
+    return raw.select(*keys, F.explode(F.array_distinct(F.array_remove(cuts, zeros))).alias("gram"))
 
 
 def string_weight(value: Column) -> Column:
@@ -59,11 +60,10 @@ def string_containment(cu: DataFrame, elf: DataFrame, unit: str, value: str) ->
 def gram_containment(cu: DataFrame, elf: DataFrame, unit: str, gram: str) -> DataFrame:
     """Set containment of each unit's grams in the binary's: ``unit, target_grams, matched_grams, byte_score``.
 
-    Grams cross the shuffle as 64-bit hashes beside none of their text.
+    ``cu`` has each gram of a unit once, as ``gram_rows`` gives them where a unit is one row.
     """
-    key = F.xxhash64(gram)
-    have = elf.select(key.alias("__g")).distinct().withColumn("__hit", F.lit(1))
-    out = cu.select(unit, key.alias("__g")).distinct().join(have, "__g", "left").groupBy(unit).agg(F.count(F.lit(1)).alias("target_grams"), F.count("__hit").alias("matched_grams"))
+    have = elf.select(gram).distinct().withColumn("__hit", F.lit(1))
+    out = cu.select(unit, gram).join(have, gram, "left").groupBy(unit).agg(F.count(F.lit(1)).alias("target_grams"), F.count("__hit").alias("matched_grams"))
     return out.withColumn("byte_score", F.col("matched_grams") / F.col("target_grams"))
 
 

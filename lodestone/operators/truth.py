@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.plans.skew import bounded
+
 
 def linker_map_members(maps: DataFrame, key: str, text: str) -> DataFrame:
     """``key, archive, member`` that a GNU linker map's inclusion section lists.
@@ -107,7 +109,7 @@ def cohort_cells(cells: DataFrame, programs: DataFrame, program: str) -> DataFra
     """
     alone = Window.partitionBy(F.lit(1))
     ring = programs.select(program, "supports", (F.row_number().over(alone.orderBy(program)) - 1).alias("__at"), F.count(F.lit(1)).over(alone).alias("__n"))
-    grid = cells.crossJoin(F.broadcast(ring))
+    grid = cells.crossJoin(bounded(ring))
     count, offset = F.least(F.coalesce("program_count", "__n"), F.col("__n")), F.coalesce("cohort_offset", F.lit(0))
     inside = F.pmod(F.col("__at") - offset, F.col("__n")) < count
     return grid.filter(inside & F.array_contains("supports", F.col("family"))).drop("__at", "__n", "supports")
@@ -117,7 +119,7 @@ def matrix_gap(coordinates: Sequence[DataFrame], observed: DataFrame) -> DataFra
     """Cells of the Cartesian matrix of a few small coordinate tables that were not observed."""
     cells = coordinates[0]
     for c in coordinates[1:]:
-        cells = cells.crossJoin(F.broadcast(c))
+        cells = cells.crossJoin(bounded(c))
     return cells.join(observed.select(*cells.columns).distinct(), cells.columns, "left_anti")
 
 

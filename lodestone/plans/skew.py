@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` to be broadcast, its rows counted first: more than ``most`` are an error. For tables of settings and coordinates."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows in a table that is to be broadcast")
+    return F.broadcast(df)
+
+
 def heavy_part(counts: DataFrame, weight: str, share: float) -> DataFrame:
     """The rows of ``counts`` with at least ``share`` of the sum of ``weight``: ``1 / share`` rows at most, whatever the data."""
     return counts.filter(F.col(weight) >= F.lit(share) * counts.agg(F.sum(weight)).scalar())

@@ -14,6 +14,7 @@ from lodestone.operators import similarity as M
 from lodestone.operators import structure as S
 from lodestone.operators import truth as T
 from lodestone.plans.session import table, written
+from lodestone.plans.skew import bounded
 from lodestone.queries import decisions as Q
 from lodestone.queries import matching as G
 
@@ -125,8 +126,7 @@ def cross_build_availability(spark: SparkSession, d: str) -> DataFrame:
     keys, parts = ["family", "package", "compiler", "optimization", "role"], []
     for dim in ("compiler", "optimization", "role"):
         values = cand.select(F.col(dim).alias("wanted")).distinct()
-        # the values of a coordinate are few
-        ask = anchors.dropna(subset=keys).select("case", *keys).distinct().crossJoin(F.broadcast(values))
+        ask = anchors.dropna(subset=keys).select("case", *keys).distinct().crossJoin(bounded(values))
         have = cand.select("label", *(k for k in keys if k != dim), F.col(dim).alias("wanted"))
         j = ask.join(have, [*(k for k in keys if k != dim), "wanted"], "left").join(accepted.withColumn("got", F.lit(1)), ["case", "label"], "left")
         per = j.groupBy("case", *keys, "wanted").agg(F.max(F.col("label").isNotNull().cast("int")).alias("available"), F.max(F.coalesce("got", F.lit(0))).alias("detected"))
