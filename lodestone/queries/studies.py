@@ -409,9 +409,88 @@ def scored_names(spark: SparkSession, d: str) -> DataFrame:
     return D.best_candidate(x, ["build_id", "family"], "score", "accepted", "library").groupBy("family").agg(F.count(F.lit(1)).alias("builds"), F.round(F.max("score"), 6).alias("best"))
 
 
+def planted_digests(spark: SparkSession, d: str) -> DataFrame:
+    """A C function for each order line, with comments and blanks that must not matter; the digest is over its tokens."""
+    from lodestone.functions.source_tokens import source_digest
+
+    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_linenumber").alias("b")).distinct()
+    pad = F.repeat(F.lit(" "), F.col("b"))
+    code = F.concat(F.lit("/* part "), "a", F.lit(' "x" */\nint'), pad, F.lit("f"), "b", F.lit("(void){ // "), "a", F.lit('\n\treturn'), pad, F.lit("g(\"/* "), "a", F.lit(' */\", 0x1f)'), pad, F.lit("+="), "b", F.lit(";\n}\n"))
+    return li.select("a", "b", source_digest(code).alias("digest"))
+
+
+def matrix_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog as a TSV file, read back: the selected archives that have a path."""
+    from lodestone.sources import sinks
+
+    a = table(spark, d, "library_archives").select(*(c.split()[0] for c in readers.LIBRARY_MATRIX.split(", ")))
+    path = _scratch(spark, "matrix")
+    sinks.write_table(a, path, "tsv")
+    return readers.library_matrix(spark, path).groupBy("toolchain", "optimization").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.trim("archive")).alias("archives"))
+
+
+def _scratch(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def truth_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Ground truth as JSON lines of all builds, read back for two compilers."""
+    r = table(spark, d, "elf_archives").dropDuplicates(["ref_id"])
+    arch = r.groupBy("build_id").agg(F.array_sort(F.collect_list(F.struct("archive", "archive_basename", "resolved", "selected_by_linker", "included_compilation_units"))).alias("archives"))
+    b = Q._builds(spark, d).join(arch, "build_id").select(F.concat(F.lit("/srv/"), "build_id").alias("binary"), "program", "compiler", F.col("optimization").alias("elf_optimization"), "archives")
+    path = _scratch(spark, "truth")
+    b.write.json(path)
+    t = readers.ground_truth(spark, path, compilers=["gcc-12", "clang-16"], one_a_file=False)
+    return t.groupBy("binary", "elf_compiler").agg(F.count("archive_basename").alias("named"), F.sum("included_compilation_units").alias("included"), F.count_if("selected_by_linker").alias("linked"))
+
+
+def elf_headers(spark: SparkSession, d: str) -> DataFrame:
+    """A small executable for each build, made of its record: those of one compiler have an interpreter, failed builds are cut short."""
+    b = Q._builds(spark, d).join(T.latest(table(spark, d, "build_info").select("build_id", "binary_size", "ingested_at"), ["build_id"], ["ingested_at", "binary_size"]).drop("ingested_at"), "build_id")
+    head = "7f454c46020101" + "00" * 9 + "02003e0001000000" + "00" * 8 + "40" + "00" * 7 + "00" * 14 + "3800" + "0200" + "00" * 6
+    kind = F.when(F.col("compiler").startswith("gcc"), "03000000").otherwise("01000000")
+    content = F.unhex(F.concat(F.lit(head + "01000000" + "00" * 52), kind, F.lit("00" * 52)))
+    content = F.when(F.coalesce(F.col("binary_size") > 0, F.lit(False)), content).otherwise(F.substring(content, 1, 100))
+    return readers.elf_headers(b.select(F.col("build_id").cast("string").alias("path"), content.alias("content"))).select("path", "is_elf64_x86", "has_interp", "link_type")
+
+
+def bundle_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The whole result bundle of all builds and libraries, checked for completeness, written, and its decisions read back."""
+    from lodestone.sources import sinks
+
+    m = table(spark, d, "block_matches").dropDuplicates(["match_id"]).select(F.col("build_id").cast("string").alias("elf_id"), F.trim("library").alias("library_id"), "cu_status").dropna()
+    m = written(m, "units")
+    elfs, libs = m.select("elf_id").distinct(), m.select("library_id").distinct()
+    got = m.groupBy("elf_id", "library_id").agg(F.count_if(F.col("cu_status") == "PASS").alias("accepted"))
+    names = libs.agg(F.collect_set("library_id").alias("l"))
+    full = elfs.crossJoin(F.broadcast(names)).select("elf_id", F.explode("l").alias("library_id")).join(got, ["elf_id", "library_id"], "left").fillna(0, ["accepted"])
+    path = _scratch(spark, "bundle")
+    sinks.write_checked_bundle(elfs, libs, written(full, "matches"), m, path)
+    back = sinks.read_bundle(spark, path, "library_match", "elf_id string, library_id string, accepted bigint")
+    return back.groupBy("library_id").agg(F.count(F.lit(1)).alias("decisions"), F.sum("accepted").alias("accepted"))
+
+
+def profile_table(spark: SparkSession, d: str) -> DataFrame:
+    """Structural profiles: the defaults, and every value of each grid at least once."""
+    from lodestone.operators.replay import profile_design
+
+    grid = {"coverage_mean": [0.5, 0.7, 0.9], "coverage_ratio": [0.2, 0.4], "function_spread": [0.1, 0.2, 0.3, 0.4]}
+    rows = [(i, k, float(v)) for i, p in enumerate(profile_design({"coverage_mean": 0.975, "coverage_ratio": 0.65, "function_spread": 0.3}, grid, 9)) for k, v in p.items()]
+    return spark.createDataFrame(rows, "profile int, parameter string, value double").groupBy("parameter").agg(F.countDistinct("value").alias("values"), F.max(F.when(F.col("profile") == 0, F.col("value"))).alias("default"), F.countDistinct("profile").alias("profiles"))
+
+
+def screen_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Two levels for each program, so that all levels occur nearly equally often."""
+    b = Q._builds(spark, d)
+    levels = b.select("optimization").dropna().distinct()
+    cases = b.select("program").dropna().distinct().crossJoin(F.broadcast(levels))
+    return O.balanced_screen(cases, "program", "optimization").groupBy("optimization").agg(F.count(F.lit(1)).alias("cases"), F.countDistinct("program").alias("programs"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        planted_digests, matrix_roundtrip, truth_roundtrip, elf_headers, bundle_roundtrip, profile_table, screen_cases,
         symbol_functions, address_order, rodata_sections, marked_records, report_settings, report_fractions, report_lines, linker_sections, confirmed_units, present_archives, cu_metrics, exact_builds, prediction_totals, function_edges, unit_edges, build_requirements,
         store_inventory, store_roundtrip, cache_misses, feature_reuse, canonical_digests, combined_digests, archive_set_gaps, feature_completeness, duplicate_members, report_conflicts, shard_checks, record_checks, truth_conflicts, audit_counts, decision_matrix, masked_mean_units,
         balanced_folds, covering_cases, quota_cases, archive_pools, version_plan, cohort_cells, position_ranges, prefix_limit, frequent_libraries, path_names, identities, times, whole_numbers, pair_maps, useful_symbols, selectors, function_hints, source_matches, file_magic, object_lines,
@@ -425,6 +504,15 @@ _B1 = "WITH b AS (SELECT DISTINCT ON (block_id) * FROM blocks)"
 _EDGES = "WITH c AS (SELECT l_suppkey AS library, l_partkey % 5 AS caller_cu, l_linenumber AS caller_function, l_orderkey % 5 AS callee_cu, l_quantity::INT % 7 + 1 AS callee_function FROM lineitem WHERE l_partkey % 5 <> l_orderkey % 5), f AS (SELECT *, count(*) AS relocations FROM c GROUP BY ALL)"
 
 SQL = {
+    "planted_digests": """WITH l AS (SELECT DISTINCT l_partkey AS a, l_linenumber AS b FROM lineitem) SELECT a, b, sha256(array_to_string(['int', 'f' || b, '(', 'void', ')', '{', 'return', 'g', '(', '"/* ' || a || ' */"', ',', '0x1f', ')', '+=', b::VARCHAR, ';', '}'], chr(31))) AS digest FROM l""",
+    "matrix_roundtrip": "SELECT toolchain, optimization, count(*) AS n, count(DISTINCT trim(archive)) AS archives FROM library_archives WHERE status = 'selected' AND path <> '' GROUP BY ALL",
+    "truth_roundtrip": Q._J + """, r AS (SELECT DISTINCT ON (ref_id) * FROM elf_archives) SELECT '/srv/' || r.build_id AS binary, compiler AS elf_compiler, count(archive_basename) AS named, sum(included_compilation_units)::BIGINT AS included, count(*) FILTER (selected_by_linker) AS linked
+FROM (SELECT build_id, archive_basename, included_compilation_units, selected_by_linker FROM r) r JOIN b ON b.build_id = r.build_id WHERE b.compiler IN ('gcc-12', 'clang-16') GROUP BY ALL""",
+    "elf_headers": Q._J + """, s AS (SELECT build_id, coalesce(binary_size > 0, false) AS ok FROM bb) SELECT b.build_id::VARCHAR AS path, ok AS is_elf64_x86, ok AND coalesce(starts_with(compiler, 'gcc'), false) AS has_interp, CASE WHEN NOT ok THEN NULL WHEN starts_with(compiler, 'gcc') THEN 'dynamic' ELSE 'static' END AS link_type FROM b JOIN s ON s.build_id = b.build_id""",
+    "bundle_roundtrip": """WITH m AS (SELECT DISTINCT ON (match_id) build_id, trim(library) AS library, cu_status FROM block_matches WHERE build_id IS NOT NULL AND library IS NOT NULL AND cu_status IS NOT NULL) SELECT library AS library_id, (SELECT count(DISTINCT build_id) FROM m) AS decisions, count(*) FILTER (cu_status = 'PASS') AS accepted FROM m GROUP BY library""",
+    "profile_table": """SELECT * FROM (VALUES ('coverage_mean', 4, 0.975::DOUBLE, 9), ('coverage_ratio', 3, 0.65::DOUBLE, 9), ('function_spread', 4, 0.3::DOUBLE, 9)) t(parameter, "values", "default", profiles)""",
+    "screen_cases": Q._J + """, p AS (SELECT count(DISTINCT program) AS n FROM b WHERE program IS NOT NULL), l AS (SELECT optimization, row_number() OVER (ORDER BY optimization) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT optimization FROM b WHERE optimization IS NOT NULL))
+SELECT optimization, 2 * n // k + (i < 2 * n % k)::INT AS cases, 2 * n // k + (i < 2 * n % k)::INT AS programs FROM l CROSS JOIN p""",
     "symbol_functions": _B1 + " SELECT block_id, address, raw_size FROM b WHERE n_instructions > 1 AND raw_size > 0 AND address IS NOT NULL",
     "address_order": _B1 + " SELECT block_id, row_number() OVER (PARTITION BY unit_type, unit_id ORDER BY address NULLS FIRST, block_id) - 1 AS place FROM b",
     "rodata_sections": r"""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS data, unnest(range(0, len(string_split(text, chr(10) || chr(10))))) AS i FROM documents),

@@ -23,9 +23,9 @@ def library_matrix(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, schema=LIBRARY_MATRIX).filter("status = 'selected' and path is not null and path <> ''")
 
 
-def ground_truth(spark: SparkSession, path: str, programs: list[str] | None = None, compilers: list[str] | None = None) -> DataFrame:
-    """Ground-truth JSON files, one row per linked archive, optionally of some programs and compilers."""
-    t = spark.read.schema(GROUND_TRUTH).json(path, multiLine=True)
+def ground_truth(spark: SparkSession, path: str, programs: list[str] | None = None, compilers: list[str] | None = None, one_a_file: bool = True) -> DataFrame:
+    """Ground-truth JSON files, one object a file or a line, as one row per linked archive, optionally of some programs and compilers."""
+    t = spark.read.schema(GROUND_TRUTH).json(path, multiLine=one_a_file)
     for column, values in (("program", programs), ("compiler", compilers)):
         t = t.filter(F.col(column).isin(values)) if values else t
     return t.select("binary", "binary_sha256", "binary_size", "program", "variant", F.col("compiler").alias("elf_compiler"), "elf_optimization", F.explode_outer("archives").alias("a")).select("*", "a.*").drop("a")
