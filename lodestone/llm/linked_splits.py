@@ -23,31 +23,65 @@ from lodestone.plans.skew import lookup_join
 
 @dataclass(frozen=True)
 class Components:
-    """What is kept between batches: ``keys(key, part)`` and ``splits(part, split_name)``, ``members(id, root, part, split_name, status)``, and ``bridges(a, b)``, parts that quarantined rows link."""
+    """What is kept between batches: ``keys(key, part)`` and ``splits(part, split_name)``, ``members(id, root, part, stratum, split_name, status)``, and ``bridges(a, b)``, parts that quarantined rows link.
+
+    ``delta`` has what the last batch added: new ``keys``, ``members`` and ``bridges``, ``splits`` of parts it made or grew, and ``moves(part, above)`` of old parts it merged into others.
+    """
 
     keys: DataFrame
     splits: DataFrame
     members: DataFrame
     bridges: DataFrame | None = None
+    delta: dict[str, DataFrame] | None = None
+
+    def save(self, path: str, version: int, whole: bool = False) -> None:
+        """Write what the last batch added (or, of a first batch or with ``whole``, all of the state) below ``path`` as ``version``.
 
-    def save(self, path: str, version: int) -> None:
-        """Write the state below ``path`` as ``version``; its last table commits it, so a version that was cut short is never read."""
-        for name in ("keys", "splits", "members", "bridges"):
-            table = getattr(self, name)
-            if table is not None:
-                table.write.mode("overwrite").parquet(f"{path}/v={version}/{name}")
-        done = self.keys.sparkSession.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(self.bridges is not None).alias("bridged"))
+        Its last table commits it, so a version that was cut short is never read.
+        """
+        full = whole or self.delta is None
+        tables = {"keys": self.keys, "splits": self.splits, "members": self.members, "bridges": self.bridges} if full else self.delta
+        tables = {k: t for k, t in tables.items() if t is not None}
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{path}/v={version}/{name}")
+        done = self.keys.sparkSession.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(full).alias("full"), F.lit(",".join(tables)).alias("tables"))
         done.coalesce(1).write.mode("append").parquet(f"{path}/commits")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Components | None:
-        """The latest committed state below ``path``; None where none is."""
+        """The latest committed state below ``path``, the last whole version with all that came after it; None where none is."""
         at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
         if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
             return None
-        last = spark.read.parquet(f"{path}/commits").agg(F.max(F.struct("version", "bridged")).alias("m")).first().m
-        names = ["keys", "splits", "members"] + ["bridges"] * last.bridged
-        return Components(**{n: spark.read.parquet(f"{path}/v={last.version}/{n}") for n in names})
+        # one row a batch; of a version saved again the later commit is like the first
+        commits = {r.version: r for r in spark.read.parquet(f"{path}/commits").collect()}
+        read = lambda v: {n: spark.read.parquet(f"{path}/v={v}/{n}") for n in commits[v].tables.split(",")}
+        first = max(v for v, r in commits.items() if r.full)
+        state = Components(**read(first))
+        for v in sorted(v for v in commits if v > first):
+            state = state.after(read(v))
+        return state
+
+    def after(self, delta: dict[str, DataFrame]) -> Components:
+        """The state with a batch's ``delta`` taken in.
+
+        Each table is read once, so plans grow by a few joins a batch; a hot part's rows are split by AQE, as each part has one row on the other side.
+        """
+        moves = delta["moves"]
+        above = lambda t: t.join(moves, "part", "left").withColumn("part", F.coalesce("above", "part")).drop("above")
+        keys = above(self.keys).select("key", "part").unionByName(delta["keys"])
+        replaced = moves.select("part").unionByName(delta["splits"].select("part")).distinct()
+        kept = self.splits.join(replaced, "part", "left_anti")
+        cols = ["id", "part", "stratum", "split_name", "status"]
+        members = above(self.members.select(*cols)).select(*cols).unionByName(delta["members"].select(*cols))
+        bridges = delta["bridges"] if self.bridges is None else delta["bridges"].unionByName(self.bridges)
+        for c in ("a", "b"):
+            bridges = bridges.join(moves.withColumnRenamed("part", c), c, "left").withColumn(c, F.coalesce("above", c)).drop("above")
+        bridges = written(bridges.select("a", "b").distinct(), "split-bridges")
+        # parts that quarantined rows link have one root
+        top = cut(connect(bridges)).select(F.col("node").alias("part"), "root")
+        members = members.join(top, "part", "left").select("id", F.coalesce("root", "part").alias("root"), *cols[1:])
+        return Components(keys, kept.unionByName(delta["splits"]), members, bridges, delta)
 
 
 def flatten_links(links: DataFrame) -> DataFrame:
@@ -230,24 +264,15 @@ def assign(batch: DataFrame, id_col: str, key_cols: Sequence[str], stratum: str,
     weight = tied.groupBy("root").agg(F.count(F.lit(1)).alias("w"))
     fresh_members = lookup_join(tied, marks.join(weight, "root"), "root", "w").join(apart, "id", "left")
     fresh_members = fresh_members.select("id", F.col("root").alias("part"), "stratum", F.when(F.col("apart").isNull(), F.col("split_name")).alias("split_name"), F.when(F.col("apart"), "quarantined").otherwise(F.col("status")).alias("status"))
-    # rows of earlier batches move to their component's new root and keep their split
-    moved = roots.select(F.col("node").alias("part"), F.col("root").alias("above"))
-    sized = moved.join(state.members.groupBy("part").agg(F.count(F.lit(1)).alias("w")), "part")
-    stay = state.members.join(moved.select("part"), "part", "left_anti")
-    went = lookup_join(state.members, sized, "part", "w").select("id", F.col("above").alias("part"), "stratum", "split_name", "status")
-    members = written(stay.select("id", "part", "stratum", "split_name", "status").unionByName(went).unionByName(fresh_members), "split-parts")
-    # parts that quarantined rows link have one root
-    bridges = torn if state.bridges is None else torn.unionByName(state.bridges)
+    # old parts that now belong to another; their rows keep their split
+    moves = roots.select(F.col("node").alias("part"), F.col("root").alias("above")).join(state.splits.select("part"), "part", "left_semi")
+    touched = tied.select(F.col("root").alias("part")).distinct()
+    splits = marks.select(F.col("root").alias("part"), "split_name").join(touched.unionByName(moves.select(F.col("above").alias("part"))).distinct(), "part", "left_semi")
+    new_keys = found.join(state.keys.select("key"), "key", "left_anti").select("key", F.col("root").alias("part"))
     for c in ("a", "b"):
-        bridges = bridges.join(moved.withColumnRenamed("part", c), c, "left").withColumn(c, F.coalesce("above", c)).drop("above")
-    bridges = written(bridges.select("a", "b").distinct(), "split-bridges")
-    top = cut(connect(bridges)).select(F.col("node").alias("part"), "root")
-    sized = top.join(members.groupBy("part").agg(F.count(F.lit(1)).alias("w")), "part")
-    alone = members.join(top.select("part"), "part", "left_anti").withColumn("root", F.col("part"))
-    members = alone.unionByName(lookup_join(members, sized, "part", "w")).select("id", "root", "part", "stratum", "split_name", "status")
-    kept_keys = state.keys.join(found.select("key"), "key", "left_anti").join(moved, "part", "left").select("key", F.coalesce("above", "part").alias("part"))
-    keys = kept_keys.unionByName(found.select("key", F.col("root").alias("part")))
-    return Components(written(keys, "split-keys"), written(marks.select(F.col("root").alias("part"), "split_name"), "split-splits"), written(members, "split-members"), bridges)
+        torn = torn.join(roots.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+    delta = {"keys": new_keys, "members": fresh_members, "moves": moves, "splits": splits, "bridges": torn.select("a", "b").distinct()}
+    return state.after({k: written(t, f"split-{k}") for k, t in delta.items()})
 
 
 def leads(state: Components) -> DataFrame:

@@ -119,6 +119,20 @@ def test_only_bridging_rows_are_quarantined_and_parts_keep_their_splits(spark):
     assert sum(r.status == "quarantined" for r in end.values()) == 2 and grouped(three) == components(first + second + third)
 
 
+def test_many_batches_by_path_equal_union_find(spark, tmp_path):
+    """Random rows in four batches, of which each is loaded from what the ones before left."""
+    rows, path = make(160, 9), f"file://{tmp_path}/many"
+    t = spark.createDataFrame(TARGETS, "split_name string, target_share double")
+    was = {}
+    for n in range(4):
+        assign(spark.createDataFrame(rows[n * 42 : (n + 1) * 42], SCHEMA), "id", ["a", "b"], "st", t, Components.load(spark, path)).save(path, n)
+        state = Components.load(spark, path)
+        now = {r.id: r for r in state.members.collect()}
+        assert grouped(state) == components(rows[: (n + 1) * 42]) and all(now[i].split_name == s for i, s in was.items())
+        assert all((r.split_name is None) == (r.status == "quarantined") for r in now.values())
+        was = {i: r.split_name for i, r in now.items()}
+
+
 def test_empty_table(spark):
     t = spark.createDataFrame(TARGETS, "split_name string, target_share double")
     state = assign(spark.createDataFrame([], SCHEMA), "id", ["a", "b"], "st", t)
@@ -143,7 +157,13 @@ def test_state_by_path_and_the_splits_it_keeps(spark, tmp_path):
     assert {i: r.split_name for i, r in end.items() if i in first} == first
     assert end["c1"].split_name == end["d1"].split_name == first["a0"] and end["d2"].split_name == first["b0"]
     assert [i for i, r in end.items() if r.status == "quarantined"] == ["c2"] and end["c2"].split_name is None
+    # a whole version may follow, and what comes after it builds on that
+    state = Components.load(spark, path)
+    state.save(path, 5, whole=True)
+    assign(make_rows(("e1", "C", None), ("e2", "A", "B9")), "id", ["a", "b"], "st", t, Components.load(spark, path)).save(path, 6)
+    last = {r.id: r for r in Components.load(spark, path).members.collect()}
+    assert {i: (r.part, r.root, r.split_name) for i, r in last.items() if i in end} == {i: (r.part, r.root, r.split_name) for i, r in end.items()} and last["e2"].split_name == first["a0"]
     parts = {}
-    for r in end.values():
+    for r in last.values():
         if r.split_name:
             assert parts.setdefault(r.part, r.split_name) == r.split_name
