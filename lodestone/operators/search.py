@@ -60,15 +60,15 @@ def greedy_on_spark(spark: SparkSession, start: Params, grid: Mapping[str, Seque
     return best, history
 
 
-def parzen_search(grid: Mapping[str, Sequence[float]], score: Callable[[list[Params]], list[float]], trials: int, startup: int = 50, batch: int = 8, gamma: float = 0.25, candidates: int = 24, seed: int = 0) -> tuple[Params, float]:
+def parzen_search(grid: Mapping[str, Sequence[float]], score: Callable[[list[Params]], list[float]], trials: int, startup: int = 50, batch: int = 8, gamma: float = 0.25, candidates: int = 24, seed: int = 0, seen: Sequence[tuple[Params, float]] = ()) -> tuple[Params, float]:
     """Tree-structured Parzen search over a grid of values: seeded random trials first, then batches that the better trials favour.
 
     For each parameter the ``gamma`` best trials and the others give two smoothed densities over its values; of ``candidates`` draws from the
     better ones' density that with the largest ratio of both is tried. ``score`` takes a batch, so a batch is one replay.
-    The first best trial wins.
+    The first best trial wins. ``seen`` trials of an earlier run count and are not tried again.
     """
-    rng = random.Random(seed)
-    seen: list[tuple[Params, float]] = []
+    seen = list(seen)
+    rng = random.Random(f"{seed}:{len(seen)}")
 
     def density(rows: list[Params], name: str) -> list[float]:
         values = list(grid[name])
@@ -105,3 +105,23 @@ def keep_trials(spark: SparkSession, path: str, study: str, rows: Sequence[tuple
     import json
 
     spark.createDataFrame([(study, i, json.dumps(p, sort_keys=True), float(s)) for i, p, s in rows], "study string, trial long, params string, score double").coalesce(1).write.mode("append").parquet(path)
+
+
+def tuned(spark: SparkSession, path: str, study: str, grid: Mapping[str, Sequence[float]], folds: Callable[[list[Params]], list[Sequence[float]]], held_out: Callable[[Params], float], trials: int, batch: int = 8, **how) -> tuple[Params, float, float]:
+    """Tune by the mean over folds, keep every trial below ``path``, and judge the winner once on what was held out: ``(params, mean, held-out score)``.
+
+    ``folds`` gives each trial's scores by fold. A study that was broken off goes on from the trials it kept.
+    """
+    import json
+
+    # a study's trials are its own bounded history
+    kept = [(json.loads(r.params), r.score) for r in trial_table(spark, path, study).orderBy("trial").collect()]
+
+    def score(ask: list[Params]) -> list[float]:
+        means = [sum(s) / max(len(s), 1) for s in folds(ask)]
+        keep_trials(spark, path, study, [(len(kept) + i, p, m) for i, (p, m) in enumerate(zip(ask, means))])
+        kept.extend(zip(ask, means))
+        return means
+
+    best, top = parzen_search(grid, score, trials, batch=batch, seen=list(kept), **how)
+    return best, top, held_out(best)

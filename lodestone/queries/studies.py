@@ -470,6 +470,16 @@ def bundle_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy("library_id").agg(F.count(F.lit(1)).alias("decisions"), F.sum("accepted").alias("accepted"))
 
 
+def encoded_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of every text through an encoder in windows: its length, its place in the window, and how much the window saw."""
+    from lodestone.operators.inference import encode_sequences
+
+    load = lambda: lambda lines: [[len(x), i, len(lines)] for i, x in enumerate(lines)]
+    v = encode_sequences(table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("lines")), ["doc_id"], "lines", load, size=8, ahead=3)
+    n = lambda i: F.col("vector")[i].cast("bigint")
+    return v.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(n(0)).alias("chars"), F.sum(n(1) * (F.col("position") + 1)).alias("places"), F.sum(n(2)).alias("seen"))
+
+
 def profile_table(spark: SparkSession, d: str) -> DataFrame:
     """Structural profiles: the defaults, and every value of each grid at least once."""
     from lodestone.operators.replay import profile_design
@@ -490,7 +500,7 @@ def screen_cases(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        planted_digests, matrix_roundtrip, truth_roundtrip, elf_headers, bundle_roundtrip, profile_table, screen_cases,
+        planted_digests, matrix_roundtrip, truth_roundtrip, elf_headers, bundle_roundtrip, encoded_lines, profile_table, screen_cases,
         symbol_functions, address_order, rodata_sections, marked_records, report_settings, report_fractions, report_lines, linker_sections, confirmed_units, present_archives, cu_metrics, exact_builds, prediction_totals, function_edges, unit_edges, build_requirements,
         store_inventory, store_roundtrip, cache_misses, feature_reuse, canonical_digests, combined_digests, archive_set_gaps, feature_completeness, duplicate_members, report_conflicts, shard_checks, record_checks, truth_conflicts, audit_counts, decision_matrix, masked_mean_units,
         balanced_folds, covering_cases, quota_cases, archive_pools, version_plan, cohort_cells, position_ranges, prefix_limit, frequent_libraries, path_names, identities, times, whole_numbers, pair_maps, useful_symbols, selectors, function_hints, source_matches, file_magic, object_lines,
@@ -510,6 +520,8 @@ SQL = {
 FROM (SELECT build_id, archive_basename, included_compilation_units, selected_by_linker FROM r) r JOIN b ON b.build_id = r.build_id WHERE b.compiler IN ('gcc-12', 'clang-16') GROUP BY ALL""",
     "elf_headers": Q._J + """, s AS (SELECT build_id, coalesce(binary_size > 0, false) AS ok FROM bb) SELECT b.build_id::VARCHAR AS path, ok AS is_elf64_x86, ok AND coalesce(starts_with(compiler, 'gcc'), false) AS has_interp, CASE WHEN NOT ok THEN NULL WHEN starts_with(compiler, 'gcc') THEN 'dynamic' ELSE 'static' END AS link_type FROM b JOIN s ON s.build_id = b.build_id""",
     "bundle_roundtrip": """WITH m AS (SELECT DISTINCT ON (match_id) build_id, trim(library) AS library, cu_status FROM block_matches WHERE build_id IS NOT NULL AND library IS NOT NULL AND cu_status IS NOT NULL) SELECT library AS library_id, (SELECT count(DISTINCT build_id) FROM m) AS decisions, count(*) FILTER (cu_status = 'PASS') AS accepted FROM m GROUP BY library""",
+    "encoded_lines": """WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(0, len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS n FROM documents)
+SELECT doc_id, count(*) AS lines, sum(length(s))::BIGINT AS chars, sum((i % 8) * (i + 1))::BIGINT AS places, sum(least(n - i // 8 * 8, 11))::BIGINT AS seen FROM x GROUP BY doc_id""",
     "profile_table": """SELECT * FROM (VALUES ('coverage_mean', 4, 0.975::DOUBLE, 9), ('coverage_ratio', 3, 0.65::DOUBLE, 9), ('function_spread', 4, 0.3::DOUBLE, 9)) t(parameter, "values", "default", profiles)""",
     "screen_cases": Q._J + """, p AS (SELECT count(DISTINCT program) AS n FROM b WHERE program IS NOT NULL), l AS (SELECT optimization, row_number() OVER (ORDER BY optimization) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT optimization FROM b WHERE optimization IS NOT NULL))
 SELECT optimization, 2 * n // k + (i < 2 * n % k)::INT AS cases, 2 * n // k + (i < 2 * n % k)::INT AS programs FROM l CROSS JOIN p""",

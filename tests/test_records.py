@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.records import DEFAULTS, causes, parse_records, record_detail, record_json, replay_libraries, replay_units, source_calls, unit_records, unit_windows, with_defaults
 from lodestone.operators.replay import GATES, factorial, gate_depth
-from lodestone.operators.search import greedy_on_spark, keep_trials, parzen_search, trial_table
+from lodestone.operators.search import greedy_on_spark, keep_trials, parzen_search, trial_table, tuned
 
 KEYS = ["binary_path", "library"]
 
@@ -132,3 +132,26 @@ def test_searches(spark, tmp_path):
     keep_trials(spark, path, "a", [(0, best, 0.5)])
     keep_trials(spark, path, "b", [(0, best, 0.1)])
     assert [(r.trial, r.score, json.loads(r.params)) for r in trial_table(spark, path, "a").collect()] == [(0, 0.5, best)]
+
+
+def test_a_study_goes_on_where_it_stopped(spark, tmp_path):
+    grid, path, asked = {"x": [0.0, 1.0, 2.0]}, f"file://{tmp_path}/study", []
+
+    def folds(ps):
+        asked.extend(ps)
+        return [[-abs(p["x"] - 1), -abs(p["x"] - 1) - 1] for p in ps]
+
+    first = tuned(spark, path, "s", grid, folds, lambda p: p["x"], 6, batch=3, startup=3)
+    again = tuned(spark, path, "s", grid, folds, lambda p: p["x"], 10, batch=2, startup=3)
+    assert first == again == ({"x": 1.0}, -0.5, 1.0) and len(asked) == 10
+    assert [r.trial for r in trial_table(spark, path, "s").orderBy("trial").collect()] == list(range(10))
+
+
+def test_windows_see_ahead_and_keep_their_own(spark):
+    from lodestone.operators.inference import encode_sequences, windows
+
+    assert windows(0, 5, 2) == [] and windows(11, 5, 2) == [(0, 5, 7), (5, 10, 11), (10, 11, 11)]
+    df = spark.createDataFrame([(1, ["a", None, "ccc", "d", "e"]), (2, []), (3, None)], "k int, s array<string>")
+    load = lambda: lambda texts: [[len(t), i, len(texts)] for i, t in enumerate(texts)]
+    got = {(r.k, r.position): r.vector for r in encode_sequences(df, ["k"], "s", load, 2, 1).collect()}
+    assert got == {(1, 0): [1, 0, 3], (1, 1): [0, 1, 3], (1, 2): [3, 0, 3], (1, 3): [1, 1, 3], (1, 4): [1, 0, 1]}
