@@ -42,8 +42,9 @@ def missing_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def archive_choice(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "library_archives").filter("status = 'selected' and path is not null").select(F.trim("archive").alias("archive"), "library_id", "path").distinct()
-    return O.chosen(a.withColumn("size", F.length("path")), ["archive"], ["size", "path", "library_id"])
+    """Of each program the smallest binary that is not empty, then the first variant."""
+    b = table(spark, d, "build_info").filter("binary_size > 0").dropDuplicates(["build_id"]).join(Q._builds(spark, d).select("build_id", F.col("program").alias("name")), "build_id")
+    return O.chosen(b.filter("name is not null").select("name", "binary_size", F.coalesce("variant", F.lit("")).alias("variant"), "build_id"), ["name"], ["binary_size", "variant", "build_id"])
 
 
 def coordinates_of_all(spark: SparkSession, d: str) -> DataFrame:
@@ -160,7 +161,7 @@ SELECT library, count(*) AS edges_expected, count(*) FILTER (pe IS NOT NULL AND
     "missing_reasons": """WITH a AS (SELECT trim(archive) AS archive, package, toolchain, optimization, status FROM library_archives), g AS (SELECT * FROM (SELECT DISTINCT archive, package FROM a) CROSS JOIN (SELECT DISTINCT toolchain FROM a) CROSS JOIN (SELECT DISTINCT optimization FROM a)),
 m AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.status = 'selected' AND a.archive = g.archive AND a.package = g.package AND a.toolchain = g.toolchain AND a.optimization = g.optimization))
 SELECT CASE WHEN package = 'glibc' AND starts_with(toolchain, 'clang-') THEN 'unsupported_compiler' WHEN package = 'glibc' AND optimization = 'O0' THEN 'unsupported_optimization' WHEN NOT EXISTS (SELECT 1 FROM a WHERE a.status = 'selected' AND a.package = m.package AND a.toolchain = m.toolchain AND a.optimization = m.optimization) THEN 'variant_not_built_or_unsupported' ELSE 'archive_not_produced_by_version' END AS reason, count(*) AS cells FROM m GROUP BY 1""",
-    "archive_choice": "SELECT archive, library_id, path, size FROM (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY size, path, library_id) AS n FROM (SELECT DISTINCT trim(archive) AS archive, library_id, path, length(path) AS size FROM library_archives WHERE status = 'selected' AND path IS NOT NULL)) WHERE n = 1",
+    "archive_choice": Q._J + ", s AS (SELECT DISTINCT ON (build_id) build_id, binary_size, coalesce(variant, '') AS variant FROM build_info WHERE binary_size > 0), r AS (SELECT b.program AS name, s.*, row_number() OVER (PARTITION BY b.program ORDER BY binary_size, variant, s.build_id) AS n FROM s JOIN b ON b.build_id = s.build_id WHERE b.program IS NOT NULL) SELECT name, binary_size, variant, build_id FROM r WHERE n = 1",
     "coordinates_of_all": "WITH a AS (SELECT * FROM library_archives WHERE status = 'selected') SELECT role, optimization FROM a GROUP BY ALL HAVING count(DISTINCT toolchain) = (SELECT count(DISTINCT toolchain) FROM a)",
     "profile_overlap": "SELECT lower(regexp_extract(h, '[0-9A-Fa-f]{64}')) AS digest, count(DISTINCT profile) AS profiles, count(*) AS n FROM (SELECT profile, unnest(hashes) AS h FROM profile_records) WHERE regexp_matches(h, '[0-9A-Fa-f]{64}') GROUP BY 1 HAVING count(DISTINCT profile) > 1",
     "manifest_summary": "SELECT count(*) AS builds, count(DISTINCT translate(lower(trim(program)), '_ ', '--')) AS programs, count(DISTINCT lower(binary_sha256)) AS hashes, count(DISTINCT variant) AS variants, sum(binary_size)::BIGINT AS bytes FROM (SELECT DISTINCT ON (build_id) * FROM build_info)",

@@ -76,7 +76,10 @@ def unit_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hungarian_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return M.match_windows(*_units(spark, d), TEST_PARAMS, *_edges(spark, d)).select("cu", "window_start", "assignment_quality", "assignment_ratio", "evaluated")
+    """Assignments of every window that passes the coverage gates, of units and binaries so small that SQL can try all."""
+    cu, elf, *edges = _small(spark, d)
+    w = M.match_windows(cu, elf, SMALL_PARAMS, *edges, stride=3)
+    return w.select("cu", "elf", "window_start", F.round("assignment_quality", 6).alias("assignment_quality"), F.round("assignment_ratio", 6).alias("assignment_ratio"), "evaluated")
 
 
 def negative_bound(spark: SparkSession, d: str) -> DataFrame:
@@ -313,6 +316,7 @@ UNION ALL SELECT cu::VARCHAR, elf::VARCHAR, -1, false, round(bm, 6), 0, 0, 0, 0,
 
 SQL = {
     "unit_match": _SMALL,
+    "hungarian_assignment": _SMALL[: _SMALL.index("wp AS (")].replace("JOIN ok ON ok.cu = s.cu AND ok.elf = s.elf ", "").rstrip().rstrip(",") + " SELECT cu::VARCHAR AS cu, elf::VARCHAR AS elf, st AS window_start, round(g3, 6) AS assignment_quality, round(g4, 6) AS assignment_ratio, evaluated FROM w",
     "block_spans": """WITH b AS (SELECT DISTINCT ON (block_id) * FROM blocks), g AS (SELECT unit_type, unit_id, function_index, count(*) FILTER (normalized_embeddings IS NOT NULL AND n_instructions >= 5) AS n FROM b GROUP BY ALL)
 SELECT unit_type, unit_id, row_number() OVER w - 1 AS f, (sum(n) OVER w)::BIGINT - n AS low, (sum(n) OVER w)::BIGINT AS high FROM g WINDOW w AS (PARTITION BY unit_type, unit_id ORDER BY function_index)""",
     "unit_eligibility": "WITH m AS (SELECT DISTINCT ON (member_id) coalesce(trim(archive_basename), '-') AS library, member_id, n_functions FROM archive_members) SELECT library, member_id, row_number() OVER (PARTITION BY library ORDER BY member_id) - 1 AS target_cu_index FROM m WHERE n_functions >= 2",
