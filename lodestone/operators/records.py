@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import decide, rodata
@@ -144,6 +144,16 @@ def with_defaults(configs: DataFrame, **given) -> DataFrame:
     return configs.withColumns({k: F.lit(v) for k, v in wanted.items() if k not in configs.columns})
 
 
+def unit_settings(configs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``configs`` with ``rep``, the first configuration that treats units alike, and the configurations that are their own ``rep``.
+
+    Cross-unit calls and the library's threshold come after the units, so configurations that differ only in these share a replay of units.
+    """
+    alike = [c for c in configs.columns if c.startswith("min_") or c.startswith("rodata_")]
+    linked = configs.withColumn("rep", F.min("config").over(Window.partitionBy(*alike)))
+    return linked, linked.filter("config = rep")
+
+
 def replay_units(windows: DataFrame, units: DataFrame, configs: DataFrame, keys: list[str]) -> DataFrame:
     """Of every configuration and unit whether it passes, is penalised, its score, and the mapping of its best passing window.
 
@@ -172,7 +182,7 @@ def replay_units(windows: DataFrame, units: DataFrame, configs: DataFrame, keys:
 def replay_libraries(units: DataFrame, elf_calls: DataFrame, configs: DataFrame, case: list[str], keys: list[str], mode: str = "top3_mean") -> DataFrame:
     """Of every configuration and library its accepted units, its score after the cross-unit calls, and the decision.
 
-    ``units`` from ``replay_units``; ``elf_calls(case.., caller, callee)`` is the binary's call graph. A call counts as expected if both
+    ``units`` from ``replay_units``, of every configuration or of each ``rep`` (see ``unit_settings``); ``elf_calls(case.., caller, callee)`` is the binary's call graph. A call counts as expected if both
     its units are accepted, as evaluable if both functions are mapped.
     ``config, keys.., accepted, penalised, library_score, edges_expected, edges_evaluable, edges_matched, adjusted, predicted``.
     """
@@ -187,7 +197,8 @@ def replay_libraries(units: DataFrame, elf_calls: DataFrame, configs: DataFrame,
     both = F.col("caller").isNotNull() & F.col("callee").isNotNull()
     ev = e.join(hit, [*case, "caller", "callee"], "left").groupBy("config", *keys).agg(F.count(F.lit(1)).alias("edges_expected"), F.count_if(both).alias("edges_evaluable"), F.count_if(both & F.col("__hit").isNotNull()).alias("edges_matched"))
     j = scores.join(ev, ["config", *keys], "left").fillna(0, ["edges_expected", "edges_evaluable", "edges_matched"])
-    j = j.join(F.broadcast(configs.select("config", "cross_bonus", "cross_penalty", "cross_saturation", "library_min_score")), "config")
+    linked = configs if "rep" in configs.columns else configs.withColumn("rep", F.col("config"))
+    j = j.withColumnRenamed("config", "rep").join(F.broadcast(linked.select("rep", "config", "cross_bonus", "cross_penalty", "cross_saturation", "library_min_score")), "rep")
     n, exp, m, s = (F.col(c) for c in ("edges_evaluable", "edges_expected", "edges_matched", "library_score"))
     rel = F.least(F.lit(1.0), n / F.greatest(F.col("cross_saturation"), F.lit(1))) * n / exp
     moved = s + F.col("cross_bonus") * rel * (m / n) * (1 - s) - F.col("cross_penalty") * rel * (1 - m / n) * s

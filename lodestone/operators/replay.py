@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.plans.session import written
+from lodestone.plans.skew import spread
 
 GATES = ("coverage_mean", "coverage_ratio", "assignment_quality", "assignment_ratio", "call_edge_ratio", "function_concentration", "function_spread", "function_coverage")
 #: Gates that a module of the factorial study switches off when it is missing.
@@ -84,6 +85,31 @@ def _dominated(own: np.ndarray, own_at: np.ndarray, other: np.ndarray, other_at:
     return out
 
 
+def _beaten(code: np.ndarray, v: np.ndarray, at: np.ndarray, small: int = 64, pairs: int = 1 << 20) -> np.ndarray:
+    """Which rows a row of the same group dominates; small groups are compared together, pair by pair, large ones by themselves."""
+    by = np.argsort(code, kind="stable")
+    starts = np.flatnonzero(np.r_[True, code[by][1:] != code[by][:-1]])
+    sizes = np.diff(np.r_[starts, len(by)])
+    out = np.zeros(len(code), bool)
+    for s, n in zip(starts[sizes > small], sizes[sizes > small]):
+        rows = by[s : s + n]
+        out[rows] = _dominated(v[rows], at[rows], v[rows], at[rows])
+    starts, sizes = starts[sizes <= small], sizes[sizes <= small]
+    cut = np.flatnonzero(np.diff(np.r_[0, np.cumsum(sizes.astype(np.int64) ** 2) // pairs])) if len(sizes) else []
+    for part in np.split(np.arange(len(sizes)), cut):
+        s, n = starts[part], sizes[part]
+        own = np.repeat(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s, n), np.repeat(n, n))
+        first, width = np.repeat(s, n * n), np.repeat(n, n * n)
+        turn = np.arange(len(own)) - np.repeat(np.cumsum(n * n) - n * n, n * n)
+        x, y = by[own], by[first + turn % width]
+        ge, gt = np.ones(len(x), bool), at[y] < at[x]
+        for k in range(v.shape[1]):
+            ge &= v[y, k] >= v[x, k]
+            gt |= v[y, k] > v[x, k]
+        out[x[ge & gt]] = True
+    return out
+
+
 def pareto(windows: DataFrame, keys: list[str], metrics: Sequence[str], order: str, part_rows: int = 20_000) -> DataFrame:
     """The windows no other of their group dominates; of equal vectors the first by ``order``, a unique number, stays.
 
@@ -95,37 +121,42 @@ def pareto(windows: DataFrame, keys: list[str], metrics: Sequence[str], order: s
         finite = finite & F.col(m).isNotNull() & ~F.isnan(m) & (F.abs(m) < F.lit(float("inf")))
     names = list(metrics)
 
+    def frontier(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The rows of whole groups that their own group leaves."""
+        code = pdf.groupby("__g", sort=False).ngroup().to_numpy()
+        return pdf[~_beaten(code, pdf[names].to_numpy(float), pdf[order].to_numpy())]
+
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = np.ones(len(b), bool)
-            for at in b.groupby("__g", sort=False).indices.values():
-                v, o = b[names].to_numpy(float)[at], b[order].to_numpy()[at]
-                keep[at[_dominated(v, o, v, o)]] = False
-            yield b[keep]
+            if len(b):
+                yield frontier(b)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, now = [], None
-
-        def close() -> Iterator[pd.DataFrame]:
-            if held:
-                rows = pd.concat(held)
-                if rows.__k.iloc[0] == 1:
-                    v, o = rows[names].to_numpy(float), rows[order].to_numpy()
-                    rows = rows[~_dominated(v, o, v, o)]
-                yield rows.drop(columns=["__k", "__s", "__own"])
-
+        extra, held, now, small = ["__k", "__s", "__own"], [], None, []
         for b in batches:
-            for key, part in b.groupby(["__g", "__s"], sort=False):
+            one, many = b[b.__k == 1], b[b.__k > 1]
+            if len(one):
+                # all groups but the last have ended
+                rows = pd.concat([*small, one])
+                last = rows.__g.to_numpy() == rows.__g.iloc[-1]
+                small = [rows[last]]
+                if not last.all():
+                    yield frontier(rows[~last]).drop(columns=extra)
+            for key, part in many.groupby(["__g", "__s"], sort=False):
                 if key != now:
-                    yield from close()
+                    if held:
+                        yield held[0].drop(columns=extra)
                     held, now = [], key
                 own, other = part[part.__own], part[~part.__own]
                 if len(own):
-                    held = [*held, own]
+                    held = [pd.concat([*held, own])]
                 if held and len(other):
-                    whole = pd.concat(held)
-                    held = [whole[~_dominated(whole[names].to_numpy(float), whole[order].to_numpy(), other[names].to_numpy(float), other[order].to_numpy())]]
-        yield from close()
+                    gone = _dominated(held[0][names].to_numpy(float), held[0][order].to_numpy(), other[names].to_numpy(float), other[order].to_numpy())
+                    held = [held[0][~gone]]
+        for rows in held:
+            yield rows.drop(columns=extra)
+        for rows in small:
+            yield frontier(rows).drop(columns=extra)
 
     group = F.to_json(F.struct(*keys)) if keys else F.lit("")
     rows = windows.filter(finite).withColumn("__g", group)
@@ -135,7 +166,7 @@ def pareto(windows: DataFrame, keys: list[str], metrics: Sequence[str], order: s
     sized = part.join(large, "__g", "left").withColumn("__k", F.coalesce("__k", F.lit(1)))
     own = sized.withColumn("__s", F.pmod(F.xxhash64(order), F.col("__k")).cast("int")).withColumn("__own", F.lit(True))
     other = sized.filter("__k > 1").withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__k") - 1))).withColumn("__own", F.lit(False))
-    both = own.unionByName(other).repartition("__g", "__s").sortWithinPartitions("__g", "__s", F.desc("__own"))
+    both = spread(own.unionByName(other), "__g", "__s").sortWithinPartitions("__g", "__s", F.desc("__own"))
     return both.mapInPandas(scan, part.schema).drop("__g").select(*windows.columns)
 
 

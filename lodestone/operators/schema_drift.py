@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import flooding
 from lodestone.functions.flooding import Leaf, SchemaGraph, correspondences, trigrams
 from lodestone.plans.session import cut
+from lodestone.plans.skew import spread
 
 LEAF = "array<struct<path:array<string>,kind:string>>"
 NUMBERS = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE", "DECIMAL")
@@ -90,7 +91,7 @@ def file_schemas(lines: DataFrame) -> DataFrame:
     shape = F.when(F.col("__shape").startswith("OBJECT"), F.col("__shape")).alias("shape")
     # lines are parsed once: their distinct schemas, a few a file, are needed twice
     shapes = cut(parsed.select("campaign_id", "file_seq", "file_id", shape).distinct())
-    known = _spread(shapes.select("shape").filter("shape is not null").distinct(), "shape").mapInPandas(_leaves, f"shape string, leaves {LEAF}")
+    known = spread(shapes.select("shape").filter("shape is not null").distinct(), "shape").mapInPandas(_leaves, f"shape string, leaves {LEAF}")
     return (
         shapes.join(known, "shape", "left")
         .groupBy("campaign_id", "file_seq", "file_id")
@@ -131,11 +132,6 @@ def target_matcher(markers: Mapping[str, tuple[str, str]]):
     return match
 
 
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` over all shuffle partitions: flooding costs far more than its few bytes tell, so they must not be merged by size."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*keys))
-
-
 def _pairs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(file_id, prior_key, leaves_key)`` of every file whose schema is another than that of the file before it in its
     campaign, and the distinct pairs of schemas ``(prior_key, leaves_key, prior, leaves)``.
@@ -149,7 +145,7 @@ def _pairs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = pairs.filter("prior_key is not null and prior_key <> leaves_key").select("file_id", "prior_key", "leaves_key")
     schemas = keyed.groupBy("leaves_key").agg(F.first("leaves").alias("leaves"))
     distinct = pairs.select("prior_key", "leaves_key").distinct().join(schemas, "leaves_key").join(schemas.toDF("prior_key", "prior"), "prior_key")
-    return pairs, _spread(distinct, "prior_key", "leaves_key")
+    return pairs, spread(distinct, "prior_key", "leaves_key")
 
 
 def _read(leaves) -> list[Leaf]:
@@ -278,7 +274,7 @@ def unified(lines: DataFrame, files: DataFrame, markers: Mapping[str, tuple[str,
                 rows.append((file_id, *(sorted(set(paths[f])) for f, _ in seen)))
             yield pd.DataFrame(rows, columns=["file_id", *(f for f, _ in seen)])
 
-    routes = _spread(files.filter("size(leaves) > 0").select("file_id", "leaves"), "file_id").mapInPandas(run, schema)
+    routes = spread(files.filter("size(leaves) > 0").select("file_id", "leaves"), "file_id").mapInPandas(run, schema)
     for f in markers:
         routes = routes.withColumnRenamed(f, f"__{f}")
     body = with_object(lines.select("file_id", "line_no", "payload"), "payload").filter(F.col("__object").isNotNull()).select("file_id", "line_no", "payload").distinct()

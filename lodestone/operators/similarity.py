@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.assignment import assignment_scores
 from lodestone.operators.replay import pareto
 from lodestone.plans.session import written
+from lodestone.plans.skew import spread
 
 
 @dataclass(frozen=True)
@@ -232,7 +233,7 @@ def _met(packed: DataFrame, tiled: DataFrame, known: dict[int, tuple[int, int]],
         allowed = only.join(place, "cu").groupBy("elf", "cls", "pack").agg(F.collect_list("cu").alias("allowed"))
         turns = turns.withColumn("elf", F.col("elf").cast("string")).join(allowed, ["elf", "cls", "pack"])
     if sum(n for n, _ in known.values()) <= broadcast_blocks:
-        return turns.join(F.broadcast(packed), ["cls", "pack"])
+        return spread(turns, "elf", "tile", "pack").join(F.broadcast(packed), ["cls", "pack"])
     salts = packed.sparkSession.sparkContext.defaultParallelism
     turns = turns.withColumn("salt", F.pmod(F.xxhash64("elf", "tile"), F.lit(salts)).cast("int"))
     return turns.join(packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["cls", "pack", "salt"])

@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all shuffle partitions, for rows that cost far more than their few bytes tell: they must not be merged by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*keys))
+
+
 def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
     """``df`` to be broadcast, its rows counted first: more than ``most`` are an error. For tables of settings and coordinates."""
     if df.limit(most + 1).count() > most:

@@ -80,7 +80,8 @@ def _configs(spark: SparkSession) -> DataFrame:
 
 def _replayed(spark: SparkSession, d: str, configs: DataFrame) -> DataFrame:
     units, windows, calls = _parsed(spark, d)
-    return L.replay_libraries(L.replay_units(windows, units, configs, KEYS), calls, configs, ["binary_path"], KEYS)
+    linked, alone = L.unit_settings(configs)
+    return L.replay_libraries(L.replay_units(windows, units, alone, KEYS), calls, linked, ["binary_path"], KEYS)
 
 
 def replay_evidence(spark: SparkSession, d: str) -> DataFrame:

@@ -104,3 +104,19 @@ def test_conflicts_and_replacement(spark):
     assert [(r.k, r.versions) for r in readers.conflicting(df, ["k"], "p").collect()] == [(1, 2)]
     fresh = spark.createDataFrame([(1, "z")], "k int, p string")
     assert sorted((r.k, r.p or "") for r in T.replaced(df, fresh, "k").collect()) == [(1, "z"), (2, "a"), (2, "a"), (3, "")]
+
+
+def test_pareto_of_small_and_large_groups(spark):
+    """Groups on either side of the sizes that are handled apart, against brute force."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(f"g{g}", i, *map(float, rng.integers(0, 6, 3) / 5)) for g, n in enumerate((1, 2, 5, 63, 64, 65, 300)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i int, a double, b double, c double").repartition(5)
+    want = set()
+    for g, i, *v in rows:
+        beats = lambda w, j: all(x >= y for x, y in zip(w, v)) and (any(x > y for x, y in zip(w, v)) or j < i)
+        if not any(h == g and beats(w, j) for h, j, *w in rows):
+            want.add((g, i))
+    for part_rows in (20_000, 7):
+        assert {(r.g, r.i) for r in P.pareto(df, ["g"], ["a", "b", "c"], "i", part_rows).collect()} == want
