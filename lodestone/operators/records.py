@@ -154,11 +154,11 @@ def unit_settings(configs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return linked, linked.filter("config = rep")
 
 
-def replay_units(windows: DataFrame, units: DataFrame, configs: DataFrame, keys: list[str]) -> DataFrame:
+def replay_units(windows: DataFrame, units: DataFrame, configs: DataFrame, keys: list[str], passing: bool = False) -> DataFrame:
     """Of every configuration and unit whether it passes, is penalised, its score, and the mapping of its best passing window.
 
     ``config, keys.., target_cu_index, passed, penalised, score, mapping``. The configurations are a table of settings, a row
-    each, and are broadcast; windows are scanned once and reduced to one row a unit before any join.
+    each, and are broadcast; windows are scanned once and reduced to one row a unit before any join. With ``passing`` only units that pass come out.
     """
     settings = F.broadcast(configs)
     ok = F.lit(True)
@@ -166,6 +166,7 @@ def replay_units(windows: DataFrame, units: DataFrame, configs: DataFrame, keys:
         ok = ok & (F.coalesce(F.col(g), F.lit(0.0)) >= F.col(f"min_{g}"))
     best = F.max(F.when(ok, F.struct("coverage_mean", (-F.col("window_no")).alias("early"), "window_no"))).alias("b")
     per = windows.crossJoin(settings.select("config", *(f"min_{g}" for g in GATES))).groupBy("config", *keys, "target_cu_index").agg(best)
+    per = per.filter("b is not null") if passing else per
     # the mapping is fetched by window number, as it need not travel with every configuration
     chosen = windows.select(*keys, "target_cu_index", "window_no", "mapping")
     per = per.withColumn("window_no", F.col("b.window_no")).join(chosen, [*keys, "target_cu_index", "window_no"], "left")
@@ -179,11 +180,12 @@ def replay_units(windows: DataFrame, units: DataFrame, configs: DataFrame, keys:
     return j.select("config", *keys, "target_cu_index", F.col("b").isNotNull().alias("passed"), (informative & (score <= F.col("rodata_penalty"))).alias("penalised"), lifted.alias("score"), "mapping", "inter_cu_calls", score.alias("rodata_score"))
 
 
-def replay_libraries(units: DataFrame, elf_calls: DataFrame, configs: DataFrame, case: list[str], keys: list[str], mode: str = "top3_mean") -> DataFrame:
+def replay_libraries(units: DataFrame, elf_calls: DataFrame, configs: DataFrame, case: list[str], keys: list[str], mode: str = "top3_mean", pairs: DataFrame | None = None) -> DataFrame:
     """Of every configuration and library its accepted units, its score after the cross-unit calls, and the decision.
 
     ``units`` from ``replay_units``, of every configuration or of each ``rep`` (see ``unit_settings``); ``elf_calls(case.., caller, callee)`` is the binary's call graph. A call counts as expected if both
-    its units are accepted, as evaluable if both functions are mapped.
+    its units are accepted, as evaluable if both functions are mapped. ``pairs(keys..)`` come out for every configuration, with zeros where none of
+    their units passes.
     ``config, keys.., accepted, penalised, library_score, edges_expected, edges_evaluable, edges_matched, adjusted, predicted``.
     """
     units = written(units, "replayed-units")
@@ -196,9 +198,11 @@ def replay_libraries(units: DataFrame, elf_calls: DataFrame, configs: DataFrame,
     hit = elf_calls.select(*case, "caller", "callee").distinct().withColumn("__hit", F.lit(1))
     both = F.col("caller").isNotNull() & F.col("callee").isNotNull()
     ev = e.join(hit, [*case, "caller", "callee"], "left").groupBy("config", *keys).agg(F.count(F.lit(1)).alias("edges_expected"), F.count_if(both).alias("edges_evaluable"), F.count_if(both & F.col("__hit").isNotNull()).alias("edges_matched"))
-    j = scores.join(ev, ["config", *keys], "left").fillna(0, ["edges_expected", "edges_evaluable", "edges_matched"])
     linked = configs if "rep" in configs.columns else configs.withColumn("rep", F.col("config"))
-    j = j.withColumnRenamed("config", "rep").join(F.broadcast(linked.select("rep", "config", "cross_bonus", "cross_penalty", "cross_saturation", "library_min_score")), "rep")
+    linked = F.broadcast(linked.select("rep", "config", "cross_bonus", "cross_penalty", "cross_saturation", "library_min_score"))
+    j = scores.join(ev, ["config", *keys], "left").withColumnRenamed("config", "rep")
+    j = j.join(linked, "rep") if pairs is None else pairs.select(*keys).distinct().crossJoin(linked).join(j, ["rep", *keys], "left")
+    j = j.fillna(0, ["accepted", "penalised", "library_score", "edges_expected", "edges_evaluable", "edges_matched"])
     n, exp, m, s = (F.col(c) for c in ("edges_evaluable", "edges_expected", "edges_matched", "library_score"))
     rel = F.least(F.lit(1.0), n / F.greatest(F.col("cross_saturation"), F.lit(1))) * n / exp
     moved = s + F.col("cross_bonus") * rel * (m / n) * (1 - s) - F.col("cross_penalty") * rel * (1 - m / n) * s

@@ -81,7 +81,7 @@ def _configs(spark: SparkSession) -> DataFrame:
 def _replayed(spark: SparkSession, d: str, configs: DataFrame) -> DataFrame:
     units, windows, calls = _parsed(spark, d)
     linked, alone = L.unit_settings(configs)
-    return L.replay_libraries(L.replay_units(windows, units, alone, KEYS), calls, linked, ["binary_path"], KEYS)
+    return L.replay_libraries(L.replay_units(windows, units, alone, KEYS, passing=True), calls, linked, ["binary_path"], KEYS, pairs=units)
 
 
 def replay_evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +124,7 @@ def _searched(spark: SparkSession, d: str) -> dict:
     t = written(_truth(spark, d), "truth")
 
     def score(configs: DataFrame) -> DataFrame:
-        per = L.replay_libraries(L.replay_units(windows, units, configs, KEYS), calls, configs, ["binary_path"], KEYS)
+        per = L.replay_libraries(L.replay_units(windows, units, configs, KEYS, passing=True), calls, configs, ["binary_path"], KEYS, pairs=units)
         return K.f1_metrics(per.join(t, KEYS, "left").groupBy("config").agg(*K.counts())).select("config", "f1")
 
     start = {"min_coverage_mean": 0.9, "min_assignment_ratio": 0.45, "rodata_penalty": 0.35}
