@@ -63,18 +63,23 @@ def pooled_and_macro(df: DataFrame, key: str) -> DataFrame:
     return metrics(pooled)
 
 
-def cu_metrics(predicted: DataFrame, expected: DataFrame, candidates: DataFrame, keys: list[str], cu: str = "cu") -> DataFrame:
+def cu_metrics(predicted: DataFrame, expected: DataFrame, candidates: DataFrame, keys: list[str], cu: str = "cu", unit_keys: list[str] | None = None) -> DataFrame:
     """One row ``cu_evaluated_pairs, cu_tp, cu_fp, cu_fn, cu_precision, cu_recall, cu_f1`` of unit identities; there is no tn.
 
     ``candidates(keys.., expected, labelled)`` are the pairs of case and candidate: one that is expected but has no labelled units is left
-    out, all units predicted for one that is not expected are false. ``predicted`` and ``expected`` are ``(keys.., cu)``.
+    out, all units predicted for one that is not expected are false. ``predicted`` is ``(keys.., cu)``, ``expected`` is ``(unit_keys.., cu)``:
+    its units hold for every pair with these of the ``keys`` (all of them by default). They are counted and never written out by pair, whose
+    number times that of the units may be far more than either table has. Pairs with a null key are evaluated, but match nothing.
     """
-    kept = candidates.filter(~F.coalesce("expected", F.lit(False)) | F.coalesce("labelled", F.lit(False))).select(*keys, F.coalesce("expected", F.lit(False)).alias("__e")).distinct()
-    p = predicted.select(*keys, cu).distinct().withColumn("__p", F.lit(True))
-    e = expected.select(*keys, cu).distinct().withColumn("__t", F.lit(True))
-    full = kept.join(p.join(e, [*keys, cu], "full"), keys, "left")
-    hit, said = F.coalesce(F.col("__t"), F.lit(False)) & F.col("__e"), F.coalesce("__p", F.lit(False))
-    c = full.agg(F.count_distinct(F.struct(*keys)).alias("cu_evaluated_pairs"), F.count_if(hit & said).alias("cu_tp"), F.count_if(~hit & said).alias("cu_fp"), F.count_if(hit & ~said).alias("cu_fn"))
+    on = unit_keys or keys
+    yes, known = F.coalesce("expected", F.lit(False)), reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    pairs = candidates.filter(~yes | F.coalesce("labelled", F.lit(False))).groupBy(*keys).agg(F.max(yes.cast("int")).alias("__e"), F.max((~yes).cast("int")).alias("__o"))
+    units = expected.select(*on, cu).distinct()
+    said = predicted.select(*keys, cu).distinct().join(units.withColumn("__t", F.lit(1)), [*on, cu], "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("__p"), F.count("__t").alias("__h"))
+    by = pairs.join(said, keys, "left").groupBy(*on).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.when(known, F.col("__e"))).alias("__e"), F.sum(F.col("__e") * F.col("__h")).alias("__h"), F.sum((F.col("__e") + F.col("__o")) * F.col("__p")).alias("__p"))
+    full = by.join(units.groupBy(*on).agg(F.count(F.lit(1)).alias("__u")), on, "left")
+    n, e, h, p = (F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("__n"), F.col("__e") * F.col("__u"), F.col("__h"), F.col("__p")))
+    c = full.agg(n.alias("cu_evaluated_pairs"), h.alias("cu_tp"), (p - h).alias("cu_fp"), (e - h).alias("cu_fn"))
     tp, fp, fn = (F.col(x).cast("double") for x in ("cu_tp", "cu_fp", "cu_fn"))
     return c.withColumns({"cu_precision": F.round(ratio(tp, tp + fp), 6), "cu_recall": F.round(ratio(tp, tp + fn), 6), "cu_f1": F.round(ratio(2 * tp, 2 * tp + fp + fn), 6)})
 

@@ -102,8 +102,7 @@ def cu_metrics(spark: SparkSession, d: str) -> DataFrame:
     members = table(spark, d, "archive_members").filter("name is not null and n_functions >= 2").select(F.trim("archive_basename").alias("library"), X.cu_name(F.col("name")).alias("cu")).distinct()
     e = table(spark, d, "elf_archives").groupBy("build_id", F.trim("archive_basename").alias("library")).agg(F.bool_or("selected_by_linker").alias("expected"))
     cand = m.select("build_id", F.trim("library").alias("library")).distinct().join(e, ["build_id", "library"], "left").join(members.select("library", F.lit(True).alias("labelled")).distinct(), "library", "left")
-    truth = cand.filter("expected").join(members, "library").select("build_id", "library", "cu")
-    return K.cu_metrics(pred, truth, cand, ["build_id", "library"])
+    return K.cu_metrics(pred, members, cand, ["build_id", "library"], unit_keys=["library"])
 
 
 def exact_builds(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import itertools
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from lodestone.operators import decide as D
 from lodestone.operators import metrics as K
 from lodestone.operators import replay as P
 from lodestone.operators import truth as T
+from lodestone.queries import studies
 from lodestone.sources import readers, sinks
 
 
@@ -68,6 +70,28 @@ def test_metrics_of_nothing_are_zero(spark):
     assert all(v == 0 for v in r.values())
 
 
+def test_units_are_counted_without_a_row_for_each_pair_and_unit(spark, tmp_path):
+    n = 50_000  # builds that link one library, and its units: 2.5e9 rows if written out
+    i = spark.range(n)
+    i.selectExpr("id as build_id", "' lib.a' as library", "concat('d/u', id, '.c.o') as cu_name", "id % 2 = 0 as passed").union(i.selectExpr("id", "'none.a'", "'u0.o'", "id < 10")).write.parquet(f"{tmp_path}/block_matches.parquet")
+    i.selectExpr("'lib.a' as archive_basename", "concat('u', if(id < 100, id, id + 1000000), '.o') as name", "2 as n_functions").write.parquet(f"{tmp_path}/archive_members.parquet")
+    i.selectExpr("id as build_id", "'lib.a ' as archive_basename", "true as selected_by_linker").union(i.selectExpr("id", "'none.a'", "id >= 10")).write.parquet(f"{tmp_path}/elf_archives.parquet")
+    end = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    end.start()
+    try:
+        r = studies.cu_metrics(spark, str(tmp_path)).first()
+    finally:
+        end.cancel()
+    assert r[:4] == (n + 10, 50, n // 2 - 50 + 10, n * n - 50)
+
+
+def test_units_of_pairs_with_nulls_and_of_contradictory_pairs(spark):
+    c = spark.createDataFrame([(1, 1, True, True), (1, 1, False, True), (2, 1, True, True), (None, 1, True, True), (3, None, None, None), (4, 2, True, None)], "a int, b int, expected boolean, labelled boolean")
+    p = spark.createDataFrame([(1, 1, "x"), (1, 1, "y"), (2, 1, "x"), (2, 1, "x"), (None, 1, "x"), (3, None, "x"), (4, 2, "x"), (2, 1, None)], "a int, b int, cu string")
+    u = spark.createDataFrame([(1, "x"), (1, "z"), (1, "z"), (1, None), (None, "x"), (2, "x")], "b int, cu string")
+    assert K.cu_metrics(p, u, c, ["a", "b"], unit_keys=["b"]).first()[:4] == (4, 2, 4, 4)
+
+
 def test_two_builds_of_one_family(spark):
     rows = [("c", "libssl", True, True), ("c", "libssl", True, False), ("c", "libcrypto", False, True), ("c", "libz", True, None)]
     r = D.family_rollup(spark.createDataFrame(rows, "case string, family string, e boolean, p boolean"), ["case", "family"], "e", "p")
